@@ -1,0 +1,3 @@
+"""Queries (filled in below)."""
+
+from .catalog import register  # noqa: F401
