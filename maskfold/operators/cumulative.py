@@ -1,12 +1,12 @@
 """Running totals over an ordered key without one-task-per-group windows.
 
 A plain ``sum() over (partition by g order by v)`` puts every row of a group
-into a single task.  Here rows are first collapsed to one row per distinct
-``(g, v)`` (map-side partial aggregation, so a value carried by a third of all
-rows becomes one row), then cut into ``n_buckets`` value ranges per group using
-approximate quantiles.  Bucket totals (a table of groups x buckets rows) give
-each bucket its offset; the window then runs per (group, bucket).  The result
-is exact: buckets only change where the work happens, never the sums.
+into a single task.  Here the caller passes one row per distinct ``(g, v)``
+(after a map-side partial aggregation, so a value carried by a third of all rows
+is one row), the rows are cut into ``n_buckets`` value ranges per group with
+approximate quantiles, bucket totals (groups x buckets rows) give each bucket
+its offset, and the window runs per (group, bucket).  Exact: buckets only move
+work between tasks, never change a sum.
 """
 
 from __future__ import annotations
@@ -14,45 +14,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Upper bound on (groups x buckets) rows for the side tables that are broadcast.
+MAX_SIDE_ROWS = 2_000_000
 
-def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int = 32,
-                   accuracy: int = 10000) -> DataFrame:
-    """For a frame with one row per (keys, order_col), add ``<c>_cum`` = sum of
-    ``c`` over rows of the same keys with order value <= this row's value."""
+
+def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int = 16,
+                   accuracy: int = 10000, max_side_rows: int = MAX_SIDE_ROWS) -> DataFrame:
+    """For a frame with one row per (keys, order_col) add ``<c>_cum`` (sum of c
+    over rows of the same keys with order value <= this one) and ``<c>_tot``
+    (group total) for every c in ``sum_cols``."""
     keys = list(keys)
-    if not keys:
+    drop_all = not keys
+    if drop_all:
         df = df.withColumn("_all", F.lit(0))
         keys = ["_all"]
-        drop_all = True
-    else:
-        drop_all = False
     sum_cols = list(sum_cols)
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = df.groupBy(*keys).agg(
-            F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits"))
-        # splits has (#groups x n_buckets) values; AQE broadcasts it once its
-        # real size is known, otherwise it is an ordinary shuffle join.
-        b = df.join(splits, keys).withColumn(
-            "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(order_col)))).drop("_splits")
-    else:
-        b = df.withColumn("_bucket", F.lit(0))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    splits = df.groupBy(*keys).agg(
+        F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits")).persist()
+    n_groups = splits.count()
+    small = n_groups * n_buckets <= max_side_rows
+
+    def side(t):
+        return F.broadcast(t) if small else t
+
+    b = df.join(side(splits), keys).withColumn(
+        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(order_col)))).drop("_splits")
     tot = b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wall = Window.partitionBy(*keys)
     off = tot.select(*keys, "_bucket", *[
-        (F.sum(f"_bt_{c}").over(wk) - F.col(f"_bt_{c}")).alias(f"_off_{c}") for c in sum_cols])
-    j = b.join(off, keys + ["_bucket"])
+        (F.sum(f"_bt_{c}").over(wk) - F.col(f"_bt_{c}")).alias(f"_off_{c}") for c in sum_cols],
+        *[F.sum(f"_bt_{c}").over(wall).alias(f"{c}_tot") for c in sum_cols])
+    j = b.join(side(off), keys + ["_bucket"])
     wb = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = j.select(*[F.col(c) for c in b.columns if c != "_bucket"],
-                   *[(F.sum(c).over(wb) + F.col(f"_off_{c}")).alias(f"{c}_cum") for c in sum_cols])
-    if drop_all:
-        out = out.drop("_all")
-    return out
-
-
-def value_at_index(cum: DataFrame, keys, order_col: str, count_col: str, index_col: str) -> DataFrame:
-    """Given running counts ``<count_col>_cum`` and a per-row 0-based target
-    index, keep the row whose value range covers the index (exact order
-    statistic without collecting a group)."""
-    c = F.col(f"{count_col}_cum")
-    return cum.filter((c - F.col(count_col) <= F.col(index_col)) & (F.col(index_col) < c))
+                   *[(F.sum(c).over(wb) + F.col(f"_off_{c}")).alias(f"{c}_cum") for c in sum_cols],
+                   *[F.col(f"{c}_tot") for c in sum_cols])
+    return out.drop("_all") if drop_all else out

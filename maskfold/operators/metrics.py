@@ -18,38 +18,46 @@ from .cumulative import running_totals
 
 
 def binary_metrics(scored: DataFrame, group_cols=(), score_col: str = "score",
-                   label_col: str = "outlier", q: float = 0.8, n_buckets: int = 32,
+                   label_col: str = "outlier", q: float = 0.8, n_buckets: int = 16,
                    digits: int | None = 6) -> DataFrame:
-    g = list(group_cols) or ["_g"]
-    s = scored if group_cols else scored.withColumn("_g", F.lit(0))
+    """One row per group: auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier."""
+    g = list(group_cols)
     y = F.col(label_col).cast("long")
-    agg = s.groupBy(*g, F.col(score_col).alias("score")).agg(
+    agg = scored.groupBy(*g, F.col(score_col).alias("score")).agg(
         F.sum(y).alias("p"), (F.count(F.lit(1)) - F.sum(y)).alias("n"), F.count(F.lit(1)).alias("c"))
-    cum = running_totals(agg, g, "score", ["p", "n", "c"], n_buckets=n_buckets)
-    tot = agg.groupBy(*g).agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"), F.sum("c").alias("tot_t"))
-    j = cum.join(tot, g)
-    pos = F.lit(q) * (F.col("tot_t") - 1)
+    j = running_totals(agg, g, "score", ["p", "n", "c"], n_buckets=n_buckets)
+    P, N, T = F.col("p_tot"), F.col("n_tot"), F.col("c_tot")
+    pos = F.lit(q) * (T - 1)
     lo, hi = F.floor(pos), F.ceil(pos)
     before = F.col("c_cum") - F.col("c")
-    tp_ge = F.col("tot_p") - F.col("p_cum") + F.col("p")
-    fp_ge = F.col("tot_n") - F.col("n_cum") + F.col("n")
-    m = j.groupBy(*g).agg(
-        F.first("tot_p").alias("tot_p"), F.first("tot_n").alias("tot_n"), F.first("tot_t").alias("tot_t"),
+    at_lo = (before <= lo) & (lo < F.col("c_cum"))
+    at_hi = (before <= hi) & (hi < F.col("c_cum"))
+    tp_ge = P - F.col("p_cum") + F.col("p")
+    fp_ge = N - F.col("n_cum") + F.col("n")
+    grouped = j.groupBy(*g) if g else j.groupBy()
+    m = grouped.agg(
+        F.max(P).alias("tot_p"), F.max(N).alias("tot_n"), F.max(T).alias("tot_t"),
         F.sum(F.col("p") * (F.col("n_cum") - F.col("n") / 2.0)).alias("_auc_num"),
         F.sum(F.col("p") * tp_ge / (tp_ge + fp_ge)).alias("_ap_num"),
-        F.max(F.when((before <= lo) & (lo < F.col("c_cum")), F.col("score"))).alias("_vlo"),
-        F.max(F.when((before <= hi) & (hi < F.col("c_cum")), F.col("score"))).alias("_vhi"),
-        F.first(pos).alias("_pos"))
-    m = m.withColumn("thr", F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo")))
-    f = j.join(m.select(*g, "thr"), g).groupBy(*g).agg(
-        F.sum(F.when(F.col("score") > F.col("thr"), F.col("p")).otherwise(0)).alias("TP"),
-        F.sum(F.when(F.col("score") > F.col("thr"), F.col("n")).otherwise(0)).alias("FP"))
-    r = m.join(f, g).select(
+        F.max(F.when(at_lo, F.col("score"))).alias("_vlo"),
+        F.max(F.when(at_hi, F.col("score"))).alias("_vhi"),
+        F.max(F.when(at_lo, F.col("p_cum"))).alias("_plo"),
+        F.max(F.when(at_lo, F.col("n_cum"))).alias("_nlo"),
+        F.max(F.when(at_hi, F.col("p_cum"))).alias("_phi"),
+        F.max(F.when(at_hi, F.col("n_cum"))).alias("_nhi"),
+        F.max(pos).alias("_pos"))
+    # threshold by linear interpolation; v_lo and v_hi are adjacent order
+    # statistics, so "score > thr" keeps everything above v_lo, or above v_hi
+    # when the threshold lands exactly on v_hi.
+    thr = F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))
+    on_hi = thr >= F.col("_vhi")
+    tp = F.col("tot_p") - F.when(on_hi, F.col("_phi")).otherwise(F.col("_plo"))
+    fp = F.col("tot_n") - F.when(on_hi, F.col("_nhi")).otherwise(F.col("_nlo"))
+    r = m.select(
         *g,
         F.try_divide(F.col("_auc_num"), F.col("tot_p") * F.col("tot_n")).alias("auc"),
         F.try_divide(F.col("_ap_num"), F.col("tot_p")).alias("prauc"),
-        F.coalesce(F.try_divide(2.0 * F.col("TP"), 2.0 * F.col("TP") + F.col("FP") + (F.col("tot_p") - F.col("TP"))),
-                   F.lit(0.0)).alias("f1"),
+        F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + (F.col("tot_p") - tp)), F.lit(0.0)).alias("f1"),
         F.col("tot_t").cast("long").alias("n_test"),
         F.col("tot_p").cast("long").alias("n_outlier"),
         (F.col("tot_p") / F.col("tot_t") * 100.0).alias("pct_outlier"),
@@ -57,8 +65,6 @@ def binary_metrics(scored: DataFrame, group_cols=(), score_col: str = "score",
     if digits is not None:
         for c in ("auc", "prauc", "f1", "pct_outlier", "pct_inlier"):
             r = r.withColumn(c, F.round(c, digits))
-    if not group_cols:
-        r = r.drop("_g")
     return r
 
 
