@@ -24,6 +24,18 @@ def h(id_col, seed: int) -> Column:
                   F.lit(MODULUS))
 
 
+def h_col(id_col, seed_col) -> Column:
+    """h with a per-row seed column (e.g. one seed per experiment run)."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    s = F.col(seed_col) if isinstance(seed_col, str) else seed_col
+    return F.pmod(c.cast("long") * F.lit(LCG_MULT) + F.lit(LCG_INC) + s.cast("long") * F.lit(SEED_MULT),
+                  F.lit(MODULUS))
+
+
+def h_sql_seed(id_expr: str, seed_expr: str) -> str:
+    return f"((({id_expr}) * {LCG_MULT} + {LCG_INC} + ({seed_expr}) * {SEED_MULT}) % {MODULUS})"
+
+
 def h_sql(id_expr: str, seed: int) -> str:
     """The same hash as SQL text (valid in Spark SQL and DuckDB)."""
     return f"((({id_expr}) * {LCG_MULT} + {LCG_INC + seed * SEED_MULT}) % {MODULUS})"

@@ -14,12 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on (groups x buckets) rows for the side tables that are broadcast.
-MAX_SIDE_ROWS = 2_000_000
-
-
 def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int = 16,
-                   accuracy: int = 10000, max_side_rows: int = MAX_SIDE_ROWS) -> DataFrame:
+                   accuracy: int = 10000) -> DataFrame:
     """For a frame with one row per (keys, order_col) add ``<c>_cum`` (sum of c
     over rows of the same keys with order value <= this one) and ``<c>_tot``
     (group total) for every c in ``sum_cols``."""
@@ -31,12 +27,14 @@ def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int
     sum_cols = list(sum_cols)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits")).persist()
-    n_groups = splits.count()
-    small = n_groups * n_buckets <= max_side_rows
+        F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits"))
 
+    # Side tables hold (#groups x n_buckets) rows.  Without group keys that is
+    # one row (a proven bound): broadcast it.  With group keys the size is
+    # only known at runtime, so the join is left to AQE, which turns it into a
+    # broadcast join when the materialised table is below the threshold.
     def side(t):
-        return F.broadcast(t) if small else t
+        return F.broadcast(t) if drop_all else t
 
     b = df.join(side(splits), keys).withColumn(
         "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(order_col)))).drop("_splits")

@@ -60,3 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage
+    (reliable checkpoint: survives executor loss, unlike a local checkpoint).
+    Used for small result tables that several later plans read."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
