@@ -24,11 +24,17 @@ from .cumulative import running_totals
 def ecdf_table(long_df: DataFrame, keys, value_col: str = "v") -> DataFrame:
     """(keys..., v) rows -> (keys..., v, o_l, o_r, o_a) with one row per distinct value."""
     keys = list(keys)
-    agg = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c"))
+    # distinct values with counts: the only frame read by several branches, so
+    # it is persisted (it is at most as large as the input and usually far smaller)
+    agg = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c")).persist()
     cum = running_totals(agg, keys, value_col, ["c"])
-    mom = agg.groupBy(*keys).agg((F.sum(F.col("c") * F.col(value_col)) / F.sum("c")).alias("_mean"))
-    skew = agg.join(mom, keys).groupBy(*keys).agg(
-        F.sum(F.col("c") * F.pow(F.col(value_col) - F.col("_mean"), 3)).alias("_m3"))
+    # population skewness sign from raw moments (same formula in the SQL oracle)
+    v = F.col(value_col)
+    mom = agg.groupBy(*keys).agg((F.sum("c")).alias("_n"), F.sum(F.col("c") * v).alias("_s1"),
+                                 F.sum(F.col("c") * v * v).alias("_s2"), F.sum(F.col("c") * v * v * v).alias("_s3"))
+    mu = F.col("_s1") / F.col("_n")
+    m3 = F.col("_s3") / F.col("_n") - 3 * mu * F.col("_s2") / F.col("_n") + 2 * mu * mu * mu
+    skew = mom.select(*keys, m3.alias("_m3"))
     t = cum.join(skew, keys).select(
         *keys, value_col,
         (-F.log(F.col("c_cum") / F.col("c_tot"))).alias("o_l"),

@@ -98,9 +98,7 @@ xl AS (SELECT dataset, run, row_id, UNNEST(range(len(emb))) AS dim, UNNEST(emb)
 cnt AS (SELECT dataset, run, dim, v, COUNT(*) AS c FROM xl GROUP BY ALL),
 cum AS (SELECT *, SUM(c) OVER (PARTITION BY dataset, run, dim ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_cum,
                SUM(c) OVER (PARTITION BY dataset, run, dim) AS c_tot FROM cnt),
-mu AS (SELECT dataset, run, dim, SUM(c * v) / SUM(c) AS mu FROM cnt GROUP BY ALL),
-sk AS (SELECT cnt.dataset, cnt.run, cnt.dim, SUM(c * POW(v - mu, 3)) AS m3 FROM cnt JOIN mu USING (dataset, run, dim)
-       GROUP BY cnt.dataset, cnt.run, cnt.dim),
+sk AS (SELECT dataset, run, dim, SUM(c * v * v * v) / SUM(c) - 3 * (SUM(c * v) / SUM(c)) * SUM(c * v * v) / SUM(c) + 2 * POW(SUM(c * v) / SUM(c), 3) AS m3 FROM cnt GROUP BY ALL),
 tab AS (SELECT cum.dataset, cum.run, cum.dim, v, -LN(c_cum / c_tot) AS o_l, -LN((c_tot - c_cum + c) / c_tot) AS o_r,
                m3 < 0 AS neg FROM cum JOIN sk USING (dataset, run, dim)),
 o AS (SELECT x.dataset, x.run, x.row_id, x.dim, t.o_l, t.o_r, CASE WHEN t.neg THEN t.o_l ELSE t.o_r END AS o_a

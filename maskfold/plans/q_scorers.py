@@ -30,8 +30,7 @@ def _ecod_line_sql():
 e{i}_cnt AS (SELECT CAST({c} AS DOUBLE) AS v, COUNT(*) AS c FROM lineitem GROUP BY 1),
 e{i}_cum AS (SELECT v, c, SUM(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_cum,
                     SUM(c) OVER () AS c_tot FROM e{i}_cnt),
-e{i}_mu AS (SELECT SUM(c * v) / SUM(c) AS mu FROM e{i}_cnt),
-e{i}_sk AS (SELECT SUM(c * POW(v - mu, 3)) AS m3 FROM e{i}_cnt, e{i}_mu),
+e{i}_sk AS (SELECT SUM(c * v * v * v) / SUM(c) - 3 * (SUM(c * v) / SUM(c)) * SUM(c * v * v) / SUM(c) + 2 * POW(SUM(c * v) / SUM(c), 3) AS m3 FROM e{i}_cnt),
 e{i} AS (SELECT v, -LN(c_cum / c_tot) AS o_l, -LN((c_tot - c_cum + c) / c_tot) AS o_r,
                 CASE WHEN m3 < 0 THEN -LN(c_cum / c_tot) ELSE -LN((c_tot - c_cum + c) / c_tot) END AS o_a
          FROM e{i}_cum, e{i}_sk)""")
@@ -76,8 +75,7 @@ xl AS ({emb_long_sql('ds', 'row_id')}),
 cnt AS (SELECT dim, v, COUNT(*) AS c FROM xl GROUP BY dim, v),
 cum AS (SELECT dim, v, c, SUM(c) OVER (PARTITION BY dim ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_cum,
                SUM(c) OVER (PARTITION BY dim) AS c_tot FROM cnt),
-mu AS (SELECT dim, SUM(c * v) / SUM(c) AS mu FROM cnt GROUP BY dim),
-sk AS (SELECT cnt.dim, SUM(c * POW(v - mu, 3)) AS m3 FROM cnt JOIN mu ON cnt.dim = mu.dim GROUP BY cnt.dim),
+sk AS (SELECT dim, SUM(c * v * v * v) / SUM(c) - 3 * (SUM(c * v) / SUM(c)) * SUM(c * v * v) / SUM(c) + 2 * POW(SUM(c * v) / SUM(c), 3) AS m3 FROM cnt GROUP BY dim),
 tab AS (SELECT cum.dim, v, -LN(c_cum / c_tot) AS o_l, -LN((c_tot - c_cum + c) / c_tot) AS o_r, m3 < 0 AS neg
         FROM cum JOIN sk ON cum.dim = sk.dim),
 o AS (SELECT x.row_id, x.dim, t.o_l, t.o_r, CASE WHEN t.neg THEN t.o_l ELSE t.o_r END AS o_a

@@ -13,6 +13,7 @@ from ..operators.ecod import ecod_scores
 from ..operators.masks import MASK_SEED, MASK_STRIDE
 from ..operators.metrics import binary_metrics, metrics_sql
 from ..sources.datasets import document_dataset
+from ..session import materialize
 from ..sources.tables import table
 from .catalog import register
 from .sqlparts import split_sql
@@ -282,7 +283,9 @@ def _text_views(spark, sf_dir):
         aggs.append(F.sum(F.get("v", k)).alias(f"f{k}"))
         for j in range(N_TEXT_MASKS):
             aggs.append(F.sum(F.get("v", k) * _bit(F.col("pos"), j)).alias(f"m{j}_{k}"))
-    s = wv.groupBy("doc_id").agg(*aggs)
+    # one row per document: small next to the word rows and read by two
+    # branches (per-view ECOD and the distance), so it is checkpointed once
+    s = materialize(wv.groupBy("doc_id").agg(*aggs))
     full = F.array(*[F.col(f"f{k}") / F.col("nw") for k in range(8)])
     views = F.array(*[F.struct(F.lit(j).alias("subspace_id"),
                                F.array(*[F.col(f"m{j}_{k}") / F.col("nw") for k in range(8)]).alias("x"))
@@ -327,9 +330,7 @@ view_ AS (SELECT vl.row_id, mj.subspace_id, vl.k,
 cnt AS (SELECT subspace_id, k, x, COUNT(*) AS c FROM view_ GROUP BY subspace_id, k, x),
 cum AS (SELECT *, SUM(c) OVER (PARTITION BY subspace_id, k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_cum,
                SUM(c) OVER (PARTITION BY subspace_id, k) AS c_tot FROM cnt),
-mu AS (SELECT subspace_id, k, SUM(c * x) / SUM(c) AS mu FROM cnt GROUP BY subspace_id, k),
-sk AS (SELECT cnt.subspace_id, cnt.k, SUM(c * POW(x - mu, 3)) AS m3 FROM cnt JOIN mu
-       ON cnt.subspace_id = mu.subspace_id AND cnt.k = mu.k GROUP BY cnt.subspace_id, cnt.k),
+sk AS (SELECT subspace_id, k, SUM(c * x * x * x) / SUM(c) - 3 * (SUM(c * x) / SUM(c)) * SUM(c * x * x) / SUM(c) + 2 * POW(SUM(c * x) / SUM(c), 3) AS m3 FROM cnt GROUP BY subspace_id, k),
 tab AS (SELECT cum.subspace_id, cum.k, x, -LN(c_cum / c_tot) AS o_l, -LN((c_tot - c_cum + c) / c_tot) AS o_r, m3 < 0 AS neg
         FROM cum JOIN sk ON cum.subspace_id = sk.subspace_id AND cum.k = sk.k),
 o AS (SELECT v.row_id, v.subspace_id, t.o_l, t.o_r, CASE WHEN t.neg THEN t.o_l ELSE t.o_r END AS o_a
