@@ -1,0 +1,206 @@
+"""Mask learning (MDL-01, MDL-05, MDL-06, UDF-04, UDF-07) as rounds of Spark jobs.
+
+A small generator maps Gaussian noise to a soft mask u in [0,1]^d.  Training
+minimises  MMD^2(X_b, u*X_b) + weight * mean(u)  over mini-batches X_b.
+
+Execution: X is hash-partitioned on ``row_id`` into P partitions and cached.
+Every round broadcasts the flat parameter vector; ``mapInPandas`` runs
+``local_epochs`` of Adam on each partition's own mini-batches (noise seeded by
+seed, round and partition) and returns one row of parameters per partition;
+the driver averages them weighted by the number of batches (local SGD).  Only
+parameter vectors (a few thousand numbers) cross the driver.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.kernels import RBF_MULTIPLIERS
+
+HEADS = ("sigmoid", "upper_softmax")
+
+
+def init_params(d: int, latent: int, hidden: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    w1 = rng.normal(0, 1 / math.sqrt(latent), (latent, hidden))
+    w2 = rng.normal(0, 1 / math.sqrt(hidden), (hidden, d))
+    return np.concatenate([w1.ravel(), np.zeros(hidden), w2.ravel(), np.zeros(d)])
+
+
+def _unpack(theta, d, latent, hidden):
+    i = 0
+    w1 = theta[i:i + latent * hidden].reshape(latent, hidden); i += latent * hidden
+    b1 = theta[i:i + hidden]; i += hidden
+    w2 = theta[i:i + hidden * d].reshape(hidden, d); i += hidden * d
+    b2 = theta[i:i + d]
+    return w1, b1, w2, b2
+
+
+def forward(theta, z, d, latent, hidden, head):
+    w1, b1, w2, b2 = _unpack(theta, d, latent, hidden)
+    a = z @ w1 + b1
+    hdn = np.maximum(a, 0.0)
+    logits = hdn @ w2 + b2
+    if head == "sigmoid":
+        u = 1.0 / (1.0 + np.exp(-logits))
+    else:  # upper softmax: d * softmax, capped at 1 (at least one feature kept)
+        e = np.exp(logits - logits.max(1, keepdims=True))
+        sm = e / e.sum(1, keepdims=True)
+        u = np.minimum(1.0, d * sm)
+    return u, (z, a, hdn, logits, u)
+
+
+def backward(theta, cache, du, d, latent, hidden, head):
+    w1, b1, w2, b2 = _unpack(theta, d, latent, hidden)
+    z, a, hdn, logits, u = cache
+    if head == "sigmoid":
+        dl = du * u * (1 - u)
+    else:
+        e = np.exp(logits - logits.max(1, keepdims=True))
+        sm = e / e.sum(1, keepdims=True)
+        g = np.where(d * sm < 1.0, du * d, 0.0)  # gradient through the cap
+        dl = sm * (g - (g * sm).sum(1, keepdims=True))
+    gw2 = hdn.T @ dl
+    gb2 = dl.sum(0)
+    dh = dl @ w2.T * (a > 0)
+    gw1 = z.T @ dh
+    gb1 = dh.sum(0)
+    return np.concatenate([gw1.ravel(), gb1, gw2.ravel(), gb2])
+
+
+def batch_bandwidth(x, y):
+    """AGG-01 for one batch (closed form, same pool as the distributed version)."""
+    B = len(x)
+    sx, sy = (x * x).sum(), (y * y).sum()
+    vx, vy = x.sum(0), y.sum(0)
+    num = 2 * B * sx - 2 * vx @ vx + 2 * B * sy - 2 * vy @ vy + 2 * (B * sx + B * sy - 2 * vx @ vy)
+    return num / (4 * B * B - 2 * B)
+
+
+def mmd_and_grad(x, u, weight):
+    """MMD^2(x, u*x) with the five-bandwidth RBF (bandwidth held constant) +
+    weight * mean(u); returns (loss, mmd, dloss/du)."""
+    y = u * x
+    B, d = x.shape
+    bw = max(batch_bandwidth(x, y), 1e-12)
+
+    def sq(a, b):
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+    dxx, dxy, dyy = sq(x, x), sq(x, y), sq(y, y)
+    kxx = sum(np.exp(-dxx / (bw * m)) for m in RBF_MULTIPLIERS)
+    mmd = kxx.mean()
+    gy = np.zeros_like(y)
+    kxy_tot = 0.0
+    kyy_tot = 0.0
+    for m in RBF_MULTIPLIERS:
+        c = bw * m
+        kxy = np.exp(-dxy / c)
+        kyy = np.exp(-dyy / c)
+        kxy_tot += kxy.mean()
+        kyy_tot += kyy.mean()
+        # d/dy_b of mean K(x_a, y_b): (1/B^2) sum_a K * 2 (x_a - y_b) / c
+        gxy = (2.0 / c) * (kxy.T @ x - kxy.sum(0)[:, None] * y)
+        # d/dy_b of mean K(y_a, y_c) (both arguments): (2/B^2) sum_a K * 2 (y_a - y_b) / c
+        gyy = (2.0 / c) * (kyy @ y - kyy.sum(1)[:, None] * y) * 2
+        gy += (-2.0 * gxy + gyy) / (B * B)
+    mmd = mmd - 2 * kxy_tot + kyy_tot
+    du = gy * x + weight / (B * d)
+    return mmd + weight * u.mean(), mmd, du
+
+
+def _round_fn(bc, d, latent, hidden, head, batch, local_epochs, lr, weight, seed, rnd):
+    def run(it):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        xs = [np.stack(p["x"].to_numpy()) for p in it if len(p)]
+        if not xs:
+            return
+        X = np.concatenate(xs)
+        theta = bc.value.copy()
+        m = np.zeros_like(theta)
+        v = np.zeros_like(theta)
+        b1, b2, t = 0.5, 0.9, 0
+        rng = np.random.default_rng([seed, rnd, pid])
+        losses, mmds, gn, nb = [], [], [], 0
+        bsz = min(batch, len(X))
+        for _ in range(local_epochs):
+            order = rng.permutation(len(X))
+            for s in range(0, len(X) - bsz + 1, bsz):  # incomplete batch dropped
+                xb = X[order[s:s + bsz]]
+                z = rng.standard_normal((bsz, latent))
+                u, cache = forward(theta, z, d, latent, hidden, head)
+                loss, mmd, du = mmd_and_grad(xb, u, weight)
+                g = backward(theta, cache, du, d, latent, hidden, head)
+                t += 1
+                m = b1 * m + (1 - b1) * g
+                v = b2 * v + (1 - b2) * g * g
+                theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + 1e-8)
+                losses.append(loss); mmds.append(mmd); gn.append(float(np.linalg.norm(g))); nb += 1
+        if nb:
+            yield pd.DataFrame({"params": [theta.tolist()], "n_batches": [nb], "loss_sum": [float(np.sum(losses))],
+                                "mmd_sum": [float(np.sum(mmds))], "grad_norm": [float(np.mean(gn))]})
+    return run
+
+
+def fit_subspaces(x: DataFrame, *, rounds: int = 10, local_epochs: int = 5, batch: int = 256, lr: float = 3e-3,
+                  weight: float = 0.0, seed: int = 0, head: str = "upper_softmax", latent: int | None = None,
+                  hidden: int = 16, x_col: str = "x", id_col: str = "row_id", on_round=None, patience: int = 5):
+    """MDL-01: returns (params, spec, history DataFrame-as-pandas).  ``on_round``
+    (UDF-07) is called as on_round(round, params, history_row)."""
+    if head not in HEADS:
+        raise ValueError(f"head must be one of {HEADS}")
+    spark = x.sparkSession
+    n = x.count()
+    d = len(x.select(x_col).first()[0])
+    latent = latent or max(d // 16, 8)
+    P = max(1, n // (4 * batch))
+    data = x.select(F.col(id_col).alias("row_id"), F.col(x_col).cast("array<double>").alias("x")) \
+        .repartition(P, "row_id").persist()
+    theta = init_params(d, latent, hidden, seed)
+    hist = []
+    best, best_loss, stale = theta, float("inf"), 0
+    for r in range(rounds):
+        bc = spark.sparkContext.broadcast(theta)
+        fn = _round_fn(bc, d, latent, hidden, head, batch, local_epochs, lr, weight, seed, r)
+        rows = data.mapInPandas(fn, "params array<double>, n_batches long, loss_sum double, mmd_sum double, "
+                                    "grad_norm double").collect()
+        bc.unpersist()
+        w = np.array([row["n_batches"] for row in rows], dtype=float)
+        theta = (np.array([row["params"] for row in rows]) * w[:, None]).sum(0) / w.sum()
+        h = {"round": r, "generator_loss": sum(row["loss_sum"] for row in rows) / w.sum(),
+             "mmd_loss": sum(row["mmd_sum"] for row in rows) / w.sum(),
+             "gradient": float(np.mean([row["grad_norm"] for row in rows]))}
+        hist.append(h)
+        if on_round:
+            on_round(r, theta, h)
+        if h["mmd_loss"] < best_loss - 1e-9:
+            best, best_loss, stale = theta.copy(), h["mmd_loss"], 0
+        else:
+            stale += 1
+            if stale >= patience:
+                break
+    data.unpersist()
+    spec = {"d": d, "latent": latent, "hidden": hidden, "head": head}
+    return best, spec, pd.DataFrame(hist)
+
+
+def sample_masks(spark: SparkSession, params, spec, n: int = 1000, seed: int = 0, threshold: float | None = None):
+    """MDL-05 + FN-14: seeded noise -> generator -> binarised masks (driver
+    forward pass on n x d numbers) as a DataFrame (sample_id, mask array<int>).
+    Sigmoid head: u >= .5; upper-softmax head: softmax >= 1/d."""
+    d = spec["d"]
+    z = np.random.default_rng(seed).standard_normal((n, spec["latent"]))
+    u, _ = forward(params, z, d, spec["latent"], spec["hidden"], spec["head"])
+    if spec["head"] == "sigmoid":
+        masks = (u >= (0.5 if threshold is None else threshold)).astype(int)
+    else:
+        # upper softmax: keep feature i when softmax_i >= 1/d, i.e. d*softmax_i
+        # reaches the cap 1; the masks can never be all ones unless uniform
+        masks = (u >= (1.0 - 1e-12 if threshold is None else threshold)).astype(int)
+    return spark.createDataFrame([(i, list(map(int, m))) for i, m in enumerate(masks)],
+                                 "sample_id int, mask array<int>")

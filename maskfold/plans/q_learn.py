@@ -1,3 +1,44 @@
-"""Queries (filled in below)."""
+"""Learned-subspace queries (rows/property checks only: iterative and random)."""
 
-from .catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import mask_text
+from ..operators.distance import subspace_distance
+from ..operators.masks import drop_zero_masks, subspace_distribution, top_subspaces
+from ..operators.metrics import binary_metrics
+from ..sources.datasets import embedding_dataset
+from .catalog import register
+from .learn import fit_subspaces, sample_masks
+
+ROUNDS, LOCAL_EPOCHS, BATCH, WEIGHT = 4, 3, 128, 1.0
+
+
+def _learned(spark, sf_dir, k=10):
+    ds = embedding_dataset(spark, sf_dir, 0)
+    train = ds.filter("split = 'train'")
+    params, spec, hist = fit_subspaces(train, rounds=ROUNDS, local_epochs=LOCAL_EPOCHS, batch=BATCH, weight=WEIGHT, seed=0)
+    masks = sample_masks(spark, params, spec, n=1000, seed=1)
+    dist = drop_zero_masks(subspace_distribution(masks))
+    top = top_subspaces(dist, k)
+    return ds, spec, hist, top
+
+
+@register("learned_subspaces")
+def q_learned_subspaces(spark, sf_dir):
+    """MDL-01 (local-SGD rounds) -> MDL-05 1000 sampled masks -> AGG-11 ->
+    PRJ-13 -> SRT-01 top-10 renormalised."""
+    _, _, _, top = _learned(spark, sf_dir)
+    return top.select(F.col("_key").alias("mask_key"), F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_dims"),
+                      F.round("proba", 6).alias("proba"))
+
+
+@register("learned_subspace_detector_metrics")
+def q_learned_subspace_detector_metrics(spark, sf_dir):
+    """MDL-13 end to end: learned masks -> distance-to-subspace score -> metrics."""
+    ds, spec, _, top = _learned(spark, sf_dir)
+    masks = top.select(F.monotonically_increasing_id().cast("int").alias("subspace_id"), "mask", "proba")
+    test = ds.filter("split = 'test'")
+    s = subspace_distance(test, masks, spec["d"], out_col="score")
+    return binary_metrics(s.select("outlier", F.round("score", 6).alias("score")))
