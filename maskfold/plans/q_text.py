@@ -359,3 +359,16 @@ def q_text_subspace_scores(spark, sf_dir):
                                    f"{metrics_sql('scored')} SELECT * FROM _metrics")
 def q_text_subspace_metrics(spark, sf_dir):
     return binary_metrics(text_subspace_scores(spark, sf_dir).select("score", "outlier"))
+
+
+@register("stream_document_features", f"""WITH w AS (SELECT doc_id, lang, {_sql_words(_sql_clean('text'))} AS ws FROM documents)
+SELECT doc_id, lang, CAST(len(ws) AS INTEGER) AS n_words,
+       ROUND(COALESCE(list_sum(list_transform(ws, lambda x: CAST(length(x) AS DOUBLE))), 0.0) / GREATEST(len(ws), 1), 6) AS mean_word_len,
+       ROUND(COALESCE(list_sum(list_transform(ws, lambda x: CAST({_sql_count('x', 'eE')} AS DOUBLE))), 0.0) / GREATEST(len(ws), 1), 6) AS mean_e
+FROM w""")
+def q_stream_document_features(spark, sf_dir):
+    """STR-01: the document features computed by an availableNow Structured
+    Streaming query (file source -> parquet sink with checkpoint), read back;
+    equals the batch computation."""
+    from ..streaming.incremental import incremental_document_features
+    return incremental_document_features(spark, sf_dir)
