@@ -160,3 +160,13 @@ def embed_words_udf(model_fn, dim: int):
                 out.append([list(map(float, r)) for r in np.asarray(v)])
             yield pd.Series(out)
     return _embed
+
+
+def token_to_word_mean(vectors, counts) -> Column:
+    """FN-07: collapse token vectors to word vectors (mean over each word's
+    tokens); ``counts`` are the token counts per word, in order."""
+    v, c = _c(vectors), _c(counts)
+    starts = F.transform(c, lambda n, i: F.aggregate(F.slice(c, 1, i), F.lit(0), lambda a, x: a + x))
+    return F.zip_with(starts, c, lambda s, n: F.transform(
+        F.get(F.slice(v, s + 1, n), 0),
+        lambda _x, k: F.aggregate(F.slice(v, s + 1, n), F.lit(0.0), lambda a, row: a + F.get(row, k)) / n))
