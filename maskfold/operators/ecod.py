@@ -35,7 +35,8 @@ def ecdf_table(long_df: DataFrame, keys, value_col: str = "v") -> DataFrame:
     mu = F.col("_s1") / F.col("_n")
     m3 = F.col("_s3") / F.col("_n") - 3 * mu * F.col("_s2") / F.col("_n") + 2 * mu * mu * mu
     skew = mom.select(*keys, m3.alias("_m3"))
-    t = cum.join(skew, keys).select(
+    # without keys the skew table is one aggregate row: broadcast it (proven bound)
+    t = (cum.join(skew, keys) if keys else cum.join(F.broadcast(skew), how="inner", on=F.lit(True))).select(
         *keys, value_col,
         (-F.log(F.col("c_cum") / F.col("c_tot"))).alias("o_l"),
         (-F.log((F.col("c_tot") - F.col("c_cum") + F.col("c")) / F.col("c_tot"))).alias("o_r"),
@@ -76,14 +77,21 @@ def ecod_subspace_scores(o_long: DataFrame, masks_long: DataFrame, id_cols=("row
 
 
 def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=()) -> DataFrame:
-    """ECOD over plain numeric columns of a table that has no row id: one
-    value-keyed lookup join per column (d joins, no regrouping by row)."""
+    """ECOD over plain numeric columns of a table that has no row id.  The
+    columns are unpivoted into one (dim, v) frame so a single ECDF pass serves
+    all of them; each column then takes its terms with one value-keyed join
+    (d joins, no regrouping by row)."""
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v"))
+                                         for i, c in enumerate(cols)])).alias("t")).select("t.dim", "t.v")
+    # one row per distinct (column, value): read by every per-column join
+    table = ecdf_table(long, ["dim"], "v").persist()
     out = df.select(*keep, *cols)
     ol, orr, oa = [], [], []
     for i, c in enumerate(cols):
-        t = ecdf_table(df.select(F.col(c).cast("double").alias("v"), F.lit(0).alias("_k")), ["_k"], "v") \
-            .select(F.col("v").alias(f"_v{i}"), F.col("o_l").alias(f"_l{i}"),
-                    F.col("o_r").alias(f"_r{i}"), F.col("o_a").alias(f"_a{i}"))
+        t = table.filter(F.col("dim") == i).select(
+            F.col("v").alias(f"_v{i}"), F.col("o_l").alias(f"_l{i}"),
+            F.col("o_r").alias(f"_r{i}"), F.col("o_a").alias(f"_a{i}"))
         out = out.join(t, F.col(c).cast("double") == F.col(f"_v{i}"))
         ol.append(F.col(f"_l{i}"))
         orr.append(F.col(f"_r{i}"))

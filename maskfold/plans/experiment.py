@@ -56,7 +56,9 @@ def results_grid(spark, sf_dir):
     test = g.filter("split = 'test'").select(*keys, "row_id", "outlier")
     masks = fixed_masks(spark, D, 8)
     dist = subspace_distance(x, masks, D).select("row_id", F.col("distance").alias("score"))
-    o = ecod_long(g, ["row_id"], group_cols=keys)
+    # per-(row, dim) ECOD terms feed both the full-space and the per-subspace
+    # scores; persisted so the two branches do not recompute the ECDF tables
+    o = ecod_long(g, ["row_id"], group_cols=keys).persist()
     full = o.groupBy(*keys, "row_id").agg(F.greatest(F.sum("o_l"), F.sum("o_r"), F.sum("o_a")).alias("score"))
     ml = masks.select("subspace_id", F.posexplode("mask").alias("dim", "u")).filter("u = 1") \
         .select("subspace_id", F.col("dim").cast("int").alias("dim"))
