@@ -126,8 +126,11 @@ def q_vocabulary(spark, sf_dir):
     """FN-22: vocabulary of cleaned words with document and term frequency."""
     d = table(spark, sf_dir, "documents")
     w = d.select("doc_id", F.explode(TX.words(TX.vocab_clean("text"))).alias("word"))
-    return w.groupBy("word").agg(F.countDistinct("doc_id").alias("doc_freq"),
-                                 F.count(F.lit(1)).alias("n_occurrences"))
+    # two plain aggregations instead of a distinct aggregate: (word, doc)
+    # counts combine map-side, then one row per (word, doc) is summed per word
+    per_doc = w.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"),
+                                       F.sum("n").alias("n_occurrences"))
 
 
 _PREFIX, _SUFFIX, _FULL, _PLEN = TX.build_prompt(**PROMPT)
