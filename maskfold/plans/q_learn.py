@@ -42,3 +42,29 @@ def q_learned_subspace_detector_metrics(spark, sf_dir):
     test = ds.filter("split = 'test'")
     s = subspace_distance(test, masks, spec["d"], out_col="score")
     return binary_metrics(s.select("outlier", F.round("score", 6).alias("score")))
+
+
+@register("myopicity_pvalues")
+def q_myopicity_pvalues(spark, sf_dir):
+    """AGG-10 + AGG-09: column-normalise X (PRJ-10), take a hash-ordered sample
+    of at most 500 rows (SRT-05), build the mean-imputed masked copy with one
+    drawn mask per row (PRJ-09), and run the permutation two-sample test at
+    bandwidths .01 and the recommended 1/bandwidth (1000 permutations spread
+    over tasks).  Random by nature: no SQL oracle."""
+    import numpy as np
+    from ..operators.masks import fixed_masks, sample_subspaces
+    from ..operators.mmd import closed_form_bandwidths, column_l2_normalize, hash_sample, permutation_pvalues
+    from ..sources.datasets import embedding_matrix
+    from .q_core import D_EMB
+    x = column_l2_normalize(embedding_matrix(spark, sf_dir))
+    smp = hash_sample(x, 500, seed=3)
+    drawn = sample_subspaces(smp, fixed_masks(spark, D_EMB, 8), seed=11)
+    rows = smp.join(drawn, "row_id").select("row_id", "x", "mask").orderBy("row_id").collect()  # <= 500 rows
+    X = np.array([r["x"] for r in rows])
+    U = np.array([r["mask"] for r in rows], dtype=float)
+    Y = U * X + (1 - U) * X.mean(0)
+    bw = closed_form_bandwidths(smp, [(0, [1] * D_EMB)])[0]
+    res = permutation_pvalues(spark, X, Y, sorted([0.01, 1.0 / bw]), n_perm=1000, seed=0)
+    return spark.createDataFrame([(float(a), float(p), float(s)) for a, p, s in
+                                  zip(res["alpha"], res["p_value"], res["statistic"])],
+                                 "alpha double, p_value double, statistic double")

@@ -92,3 +92,17 @@ def test_distribution_tails():
     assert abs(chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9
     assert abs(chi2_sf(5.991464547107979, 2) - 0.05) < 1e-9
     assert abs(2 * t_sf(2.2281388519649385, 10) - 0.05) < 1e-9
+
+
+def test_column_normalize_and_hash_sample(spark):
+    from maskfold.operators.mmd import column_l2_normalize, hash_sample
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(30, 3))
+    X[:, 2] = 0.0
+    got = column_l2_normalize(_frame(spark, X)).orderBy("row_id").toPandas()
+    G = np.stack(got["x"].to_numpy())
+    exp = X / np.where(np.linalg.norm(X, axis=0) == 0, 1, np.linalg.norm(X, axis=0))
+    assert np.allclose(G, exp)
+    a = [r["row_id"] for r in hash_sample(_frame(spark, X), 10, seed=1).collect()]
+    b = [r["row_id"] for r in hash_sample(_frame(spark, X).repartition(5), 10, seed=1).collect()]
+    assert len(a) == 10 and sorted(a) == sorted(b)
