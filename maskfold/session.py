@@ -68,3 +68,25 @@ def materialize(df):
     Used for small result tables that several later plans read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``maskfold`` importable in Python workers (pandas UDFs pickle
+    references to it): zip the package once per SparkContext and hand it to
+    ``addPyFile``, which copies it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_maskfold_shipped", False):
+        return
+    import maskfold
+    root = os.path.dirname(os.path.abspath(maskfold.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="maskfold-pkg-"), "maskfold.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    sc._maskfold_shipped = True
