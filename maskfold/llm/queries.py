@@ -8,6 +8,8 @@ from maskfold.sources.tables import table
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
+from .packing import pack
 
 QUERIES: dict[str, tuple] = {}
 
@@ -57,3 +59,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
         F.sha2("text", 256).alias("kept_sha256"))
+
+
+def tokenizer_files() -> dict:
+    """The public byte-level vocabulary as tokenizer, as ranks, and its pre-tokenisation."""
+    import public_tokenizers as tokenizers_of
+    return {"tokenizer_file": tokenizers_of.path("byte_bpe_50k.json"),
+            "ranks_file": tokenizers_of.path("byte_bpe_50k.tiktoken"), "pattern": tokenizers_of.PATTERN}
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), **tokenizer_files()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        F.col("offset"), "tier", "step_group")
