@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
+from .toxicity import fit_toxicity, held_out, toxicity_score
 
 QUERIES: dict[str, tuple] = {}
 
@@ -78,3 +79,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), **tokenizer_files()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
         F.col("offset"), "tier", "step_group")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out()))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity_score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
