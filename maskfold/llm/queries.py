@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maskfold.sources.tables import table
 
 from .exact_dedup import exact_dedup
+from .html_content import main_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -114,3 +115,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_i
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", main_text(pages).alias("text")).withColumn(
+        "n_chars", F.char_length("text").cast("long"))
