@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maskfold.sources.tables import table
 
 from .exact_dedup import exact_dedup
+from .hnsw import nearest
 from .html_content import main_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import line_dedup
@@ -122,3 +123,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", main_text(pages).alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
+
+
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0)).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
