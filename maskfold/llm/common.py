@@ -23,7 +23,14 @@ def id_of(col: str = "doc_id") -> Column:
 
 
 def lower_ascii(col: Column) -> Column:
-    return F.translate(col, UPPER, LOWER)
+    """A-Z lower-cased, other letters as they are (``lower`` does just that to pure ASCII, faster)."""
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+
+
+def without_spaces(col: Column) -> Column:
+    for c in WS:
+        col = F.replace(col, F.lit(c), F.lit(""))
+    return col
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
