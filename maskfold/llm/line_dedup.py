@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WS, id_of, lower_ascii, text_of
+from .common import WS, id_of, lower_ascii, stage_table, text_of
 
 
 def split_lines(text):
@@ -33,17 +33,20 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       min_docs: int = 2) -> DataFrame:
     """(id, text_hash, dropped array<int>) of the documents that lose lines."""
     text = text_of(text_col)
-    lines = docs.select(id_of(id_col).alias("id"), F.md5(text).alias("text_hash"),
-                        F.posexplode(split_lines(lower_ascii(text))).alias("pos", "line"))
-    keys = (lines.withColumn("key", F.btrim("line", F.lit(WS))).where(F.char_length("key") >= min_chars)
-            .select("id", "text_hash", "pos", F.unhex(F.md5("key")).alias("h")))
+    # the columns beside the lines come first, else they are made anew for each line
+    split = docs.select(id_of(id_col).alias("id"), F.unhex(F.md5(text)).alias("text_hash"),
+                        split_lines(lower_ascii(text)).alias("lines"))
+    lines = split.select("id", "text_hash", F.posexplode("lines").alias("pos", "line"))
+    keys = stage_table(lines.withColumn("key", F.btrim("line", F.lit(WS))).where(F.char_length("key") >= min_chars)
+                       .select("id", "text_hash", "pos", F.unhex(F.md5("key")).alias("h")), "line-keys")
     if min_docs <= 2:
         repeated = (keys.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                     .where("first < last").select("h", "first"))
     else:
         repeated = (keys.select("h", "id").distinct().groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
                     .where(F.col("n") >= min_docs).select("h", "first"))
-    return (keys.join(repeated, "h").where("id <> first")
+    # written, so that the join reads two plain exchanges and AQE may split a hot line
+    return (keys.join(stage_table(repeated, "repeated-lines"), "h").where("id <> first")
             .groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
 
 
@@ -54,7 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs).select(
         F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
     text = text_of(text_col)
-    joined = docs.join(drops, (id_of(id_col) == F.col("__id")) & (F.md5(text) == F.col("__hash")), "left")
+    joined = docs.join(drops, (id_of(id_col) == F.col("__id")) & (F.unhex(F.md5(text)) == F.col("__hash")), "left")
     lines = split_lines(text)
     # positions are integers, so array_except works with a hash set
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__dropped")
