@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskfold.sources.tables import table
 
+from .chat_format import preference_format
 from .exact_dedup import exact_dedup
 from .hnsw import nearest
 from .html_content import main_text
 from .jaccard_join import jaccard_classes
+from .license_scan import TEMPLATES, WORD, inherit, scan, weigh
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
@@ -130,3 +132,84 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0)).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def _licence_sql() -> str:
+    vectors, idf, other = weigh(TEMPLATES)
+    weights = ", ".join(f"('{n}', '{w}', {x!r}::DOUBLE)" for n, v in vectors.items() for w, x in v.items())
+    idfs = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
+    return f"""
+WITH tpl(license, word, weight) AS (VALUES {weights}),
+idf(word, idf) AS (VALUES {idfs}),
+f AS (SELECT doc_id, coalesce(source, '') || CASE WHEN coalesce(lang, 'en') = 'en' THEN '' ELSE '/' || lang END AS dir,
+             coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, i, list_extract(ls, i) AS line
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f))),
+w AS (SELECT doc_id, i, word, count(*) AS tf
+      FROM (SELECT doc_id, i, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                     'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS word FROM l)
+      GROUP BY ALL),
+x AS (SELECT doc_id, i, w.word, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM w LEFT JOIN idf ON idf.word = w.word),
+n AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.i, license, round(sum(x * weight) / any_value(norm), 9) AS score
+      FROM x JOIN tpl ON tpl.word = x.word JOIN n ON n.doc_id = x.doc_id AND n.i = x.i GROUP BY ALL),
+b AS (SELECT doc_id, license, score,
+             row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.8),
+o AS (SELECT f.doc_id, f.dir, b.license, b.score FROM f LEFT JOIN b ON b.doc_id = f.doc_id AND b.k = 1),
+v AS (SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, license) AS k
+      FROM o WHERE license IS NOT NULL GROUP BY dir, license),
+d AS (SELECT dir, license FROM v WHERE k = 1)
+SELECT o.doc_id, coalesce(o.license, own.license, up.license) AS license, o.score,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN own.license IS NOT NULL OR up.license IS NOT NULL THEN 'inherited'
+            ELSE 'none' END AS origin,
+       CASE WHEN o.license IS NULL THEN coalesce(own.dir, up.dir) END AS from_dir
+FROM o LEFT JOIN d own ON own.dir = o.dir LEFT JOIN d up ON up.dir = split_part(o.dir, '/', 1) AND up.dir <> o.dir
+"""
+
+
+@query("op1_license_scan", _licence_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is the file source/doc_id.txt, and source/lang/doc_id.txt in languages other than English."""
+    lang = F.coalesce("lang", F.lit("en"))
+    files = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("key"), "text", F.concat(
+            F.coalesce("source", F.lit("")), F.when(lang == "en", "/").otherwise(F.concat(F.lit("/"), lang, F.lit("/"))),
+            F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")).alias("path"))
+    return inherit(files, scan(files)).withColumnRenamed("file", "doc_id")
+
+
+@query("op2_chat_formatting", r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS shown,
+         CASE WHEN role = 'assistant' THEN '01' ELSE '00' END AS mask
+  FROM t),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+h AS (SELECT conv_id // 2 AS pair, min(conv_id) AS x, max(conv_id) AS y FROM n GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
+p AS (
+  SELECT CASE WHEN ny.n > nx.n THEN y ELSE x END AS chosen, CASE WHEN ny.n > nx.n THEN x ELSE y END AS rejected
+  FROM h JOIN n nx ON nx.conv_id = x JOIN n ny ON ny.conv_id = y),
+c AS (
+  SELECT p.chosen, p.rejected,
+         coalesce(min(a.i) FILTER (WHERE b.i IS NULL OR a.role <> b.role OR a.text <> b.text) - 1, max(a.i))::INTEGER AS n_common
+  FROM p JOIN o a ON a.conv_id = p.chosen LEFT JOIN o b ON b.conv_id = p.rejected AND b.i = a.i
+  GROUP BY ALL)
+SELECT c.chosen, c.rejected, c.n_common,
+  (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM o WHERE conv_id = c.chosen AND i <= c.n_common) AS prompt,
+  (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM o WHERE conv_id = c.chosen AND i > c.n_common) AS chosen_text,
+  (SELECT coalesce(string_agg(mask, '' ORDER BY i), '') FROM o WHERE conv_id = c.chosen AND i > c.n_common) AS chosen_mask,
+  (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM o WHERE conv_id = c.rejected AND i > c.n_common) AS rejected_text,
+  (SELECT coalesce(string_agg(mask, '' ORDER BY i), '') FROM o WHERE conv_id = c.rejected AND i > c.n_common) AS rejected_mask
+FROM c
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks as one digit per segment of the completion."""
+    out = preference_format(table(spark, sf_dir, "conversations"))
+    digits = {f"{side}_mask": F.array_join(F.transform(f"{side}_segments", lambda s: s["mask"].cast("string")), "")
+              for side in ("chosen", "rejected")}
+    return out.withColumns(digits).select("chosen", "rejected", "n_common", "prompt", "chosen_text", "chosen_mask",
+                                          "rejected_text", "rejected_mask")
