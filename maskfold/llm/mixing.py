@@ -71,7 +71,7 @@ def apportion(shards: DataFrame, blocks: int, votes: str = "target", keys: tuple
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: int = 3, seed: int = 17,
-        block_words: int = 1024, shard_words: int = 4_000_000, shard_rows: int = 200_000, id_col: str = "doc_id",
+        block_words: int = 1024, shard_words: int = 250_000, shard_rows: int = 5_000, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", payload: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken and its place:
     ``passes`` whole uses and then the words ``[from_word, to_word)`` once more.
