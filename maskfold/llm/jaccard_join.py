@@ -37,7 +37,7 @@ from .common import MAX_LONG, id_of, stage_table, text_of
 from .components import components
 
 LOW = np.uint64((1 << 48) - 1)
-TOKENS_A_RANGE = 4_000_000
+TOKENS_A_RANGE = 3_200_000
 CLASSES_A_GROUP = 20_000
 
 
@@ -144,9 +144,8 @@ def prefixes(shared: DataFrame, classes: DataFrame, groups: int, a: int, b: int)
     def run(shared, classes):
         import pandas as pd
 
-        none = pd.DataFrame({"node": [], "n": [], "f": [], "tokens": [], "prefix": []})
         if not len(shared):
-            return none
+            return pd.DataFrame([], columns=["node", "n", "f", "tokens", "prefix"], dtype=object)
         keys = pd.DataFrame(np.frombuffer(b"".join(shared["keys"]), np.int64).reshape(-1, 2), columns=["k1", "k2"])
         counts = np.frombuffer(b"".join(shared["counts"]), np.int32)
         tokens = np.frombuffer(b"".join(shared["tokens"]), np.uint64)
@@ -167,8 +166,8 @@ def prefixes(shared: DataFrame, classes: DataFrame, groups: int, a: int, b: int)
         lo = np.searchsorted(own, who, "left")
         hi = np.searchsorted(own, who, "right")
         return pd.DataFrame({"node": classes["node"].to_numpy()[who], "n": n[who], "f": f[who],
-                             "tokens": [tokens[x:y] for x, y in zip(lo, hi)],
-                             "prefix": [tokens[x:x + m] for x, m in zip(lo, (prefix - alone)[who])]})
+                             "tokens": pd.Series([tokens[x:y] for x, y in zip(lo, hi)], dtype=object),
+                             "prefix": pd.Series([tokens[x:x + m] for x, m in zip(lo, (prefix - alone)[who])], dtype=object)})
 
     grouped = classes.withColumn("g", F.pmod("k1", F.lit(groups)))
     return shared.groupBy("g").cogroup(grouped.groupBy("g")).applyInPandas(
@@ -253,8 +252,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3
     total, rows = members.agg(F.sum("n"), F.count("*")).first()
     classes = stage_table(members.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("node")),
                           "classes")
-    ranges = max(16, ceil((total or 0) / TOKENS_A_RANGE))
-    groups = max(16, ceil(rows / CLASSES_A_GROUP))
+    ranges = max(8, ceil((total or 0) / TOKENS_A_RANGE))
+    groups = max(8, ceil(rows / CLASSES_A_GROUP))
     sets = stage_table(prefixes(shared_tokens(texts, k, ranges, groups), classes, groups, a, b), "prefixes")
     linked = link_components(sets, a, b)
     labels = stage_table(classes.join(linked, "node", "left").select(
