@@ -1,8 +1,12 @@
 """Deterministic pseudo-random numbers shared by Spark and plain SQL engines.
 
 Every random draw of the package (train/test split, samples, random scores,
-feature-bagging masks, fixed mask tables) is a function of a row id and a seed,
+feature-bagging masks, fixed mask tables) is a function of a key and a seed,
 so results do not depend on partitioning and an SQL oracle can reproduce them.
+
+The draw is 31 bits of the md5 of "key|seed": any 64-bit id (or text key) works
+without overflow, and draws of different seeds are independent.  A null key
+counts as an empty one.
 """
 
 from __future__ import annotations
@@ -10,44 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Linear congruential constants and modulus.
-LCG_MULT = 1103515245
-LCG_INC = 12345
-SEED_MULT = 2654435761
 MODULUS = 2147483648  # 2**31
 
 
+def _draw(key: Column, seed: Column) -> Column:
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), seed.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(MODULUS)
+
+
 def h(id_col, seed: int) -> Column:
-    """h(id, s) = (id * 1103515245 + 12345 + s * 2654435761) mod 2^31 (BIGINT)."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(c.cast("long") * F.lit(LCG_MULT) + F.lit(LCG_INC + seed * SEED_MULT),
-                  F.lit(MODULUS))
+    """h(key, s) in [0, 2^31) (BIGINT)."""
+    return _draw(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit(seed))
 
 
 def h_col(id_col, seed_col) -> Column:
     """h with a per-row seed column (e.g. one seed per experiment run)."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    s = F.col(seed_col) if isinstance(seed_col, str) else seed_col
-    return F.pmod(c.cast("long") * F.lit(LCG_MULT) + F.lit(LCG_INC) + s.cast("long") * F.lit(SEED_MULT),
-                  F.lit(MODULUS))
+    return _draw(F.col(id_col) if isinstance(id_col, str) else id_col,
+                 F.col(seed_col) if isinstance(seed_col, str) else seed_col)
 
 
 def h_sql_seed(id_expr: str, seed_expr: str) -> str:
-    return f"((({id_expr}) * {LCG_MULT} + {LCG_INC} + ({seed_expr}) * {SEED_MULT}) % {MODULUS})"
+    """The same draw as DuckDB SQL text."""
+    return (f"(CAST('0x' || substr(md5(COALESCE(CAST(({id_expr}) AS VARCHAR), '') || '|' || CAST(({seed_expr}) AS VARCHAR)), 1, 8) "
+            f"AS BIGINT) % {MODULUS})")
 
 
 def h_sql(id_expr: str, seed: int) -> str:
-    """The same hash as SQL text (valid in Spark SQL and DuckDB)."""
-    return f"((({id_expr}) * {LCG_MULT} + {LCG_INC + seed * SEED_MULT}) % {MODULUS})"
+    return h_sql_seed(id_expr, str(seed))
 
 
 def uniform(id_col, seed: int) -> Column:
     """Uniform [0, 1) draw per id."""
     return h(id_col, seed) / F.lit(float(MODULUS))
-
-
-def h_np(ids, seed: int):
-    """numpy version for driver-side fixtures and tests."""
-    import numpy as np
-    ids = np.asarray(ids, dtype=np.int64)
-    return (ids * LCG_MULT + LCG_INC + seed * SEED_MULT) % MODULUS

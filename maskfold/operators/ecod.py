@@ -11,6 +11,9 @@ scorer does at scoring time):
 
 ECDF tables come from ``running_totals`` over distinct values, so no dimension
 is ever held by one task and hot values collapse before the shuffle.
+
+A null or NaN component has no rank.  ``nulls="error"`` (default) stops with a message; with
+``nulls="neutral"`` the component is left out of its dimension's ECDF and adds 0 to its row, which stays.
 """
 
 from __future__ import annotations
@@ -45,20 +48,38 @@ def ecdf_table(long_df: DataFrame, keys, value_col: str = "v") -> DataFrame:
                     F.when(F.col("_neg"), F.col("o_l")).otherwise(F.col("o_r")).alias("o_a"))
 
 
-def ecod_long(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=()) -> DataFrame:
+def _checked(v, nulls: str):
+    """The value; null where it is missing and may be."""
+    missing = v.isNull() | F.isnan(v)
+    if nulls == "neutral":
+        return F.when(~missing, v)
+    return F.when(missing, F.raise_error(F.lit("a component is missing; pass nulls='neutral' to keep such rows"))).otherwise(v)
+
+
+def _terms(rows: DataFrame, table: DataFrame, keys) -> DataFrame:
+    """The terms of every value; 0 for a missing one."""
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("o_l", "o_r", "o_a")]
+    others = [c for c in rows.columns if c != "v"]
+    return rows.join(table, keys, "left").select(*others, *zero)
+
+
+def ecod_long(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=(), nulls: str = "error") -> DataFrame:
     """ECOD over array vectors.  Returns (group..., id..., dim, o_l, o_r, o_a)
     per (row, dimension), so any subspace sum can be taken from it."""
     g, ids = list(group_cols), list(id_cols)
-    long = df.select(*g, *ids, F.posexplode(x_col).alias("dim", "v"))
-    table = ecdf_table(long, g + ["dim"], "v")
-    return long.join(table, g + ["dim", "v"]).select(*g, *ids, "dim", "o_l", "o_r", "o_a")
+    long = df.select(*g, *ids, F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v"), nulls))
+    if nulls == "error":
+        table = ecdf_table(long, g + ["dim"], "v")
+        return long.join(table, g + ["dim", "v"]).select(*g, *ids, "dim", "o_l", "o_r", "o_a")
+    table = ecdf_table(long.where("v is not null"), g + ["dim"], "v")
+    return _terms(long, table, g + ["dim", "v"])
 
 
 def ecod_scores(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=(),
-                out_col: str = "score") -> DataFrame:
+                out_col: str = "score", nulls: str = "error") -> DataFrame:
     """Full-space ECOD score per row."""
     g, ids = list(group_cols), list(id_cols)
-    o = ecod_long(df, ids, x_col, g)
+    o = ecod_long(df, ids, x_col, g, nulls)
     s = o.groupBy(*g, *ids).agg(F.sum("o_l").alias("sl"), F.sum("o_r").alias("sr"), F.sum("o_a").alias("sa"))
     return s.select(*g, *ids, F.greatest("sl", "sr", "sa").alias(out_col))
 
@@ -76,14 +97,14 @@ def ecod_subspace_scores(o_long: DataFrame, masks_long: DataFrame, id_cols=("row
     return s.select(*g, "subspace_id", *ids, F.greatest("sl", "sr", "sa").alias(out_col))
 
 
-def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=()) -> DataFrame:
+def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=(), nulls: str = "error") -> DataFrame:
     """ECOD over plain numeric columns of a table that has no row id.  The
     columns are unpivoted into one (dim, v) frame so a single ECDF pass serves
     all of them; each column then takes its terms with one value-keyed join
     (d joins, no regrouping by row)."""
     cols = list(cols)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v"))
-                                         for i, c in enumerate(cols)])).alias("t")).select("t.dim", "t.v")
+                                         for i, c in enumerate(cols)])).alias("t")).select("t.dim", _checked(F.col("t.v"), nulls).alias("v")).where("v is not null")
     # one row per distinct (column, value): read by every per-column join
     table = ecdf_table(long, ["dim"], "v").persist()
     out = df.select(*keep, *cols)
@@ -92,10 +113,10 @@ def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=()) -> DataFr
         t = table.filter(F.col("dim") == i).select(
             F.col("v").alias(f"_v{i}"), F.col("o_l").alias(f"_l{i}"),
             F.col("o_r").alias(f"_r{i}"), F.col("o_a").alias(f"_a{i}"))
-        out = out.join(t, F.col(c).cast("double") == F.col(f"_v{i}"))
-        ol.append(F.col(f"_l{i}"))
-        orr.append(F.col(f"_r{i}"))
-        oa.append(F.col(f"_a{i}"))
+        out = out.join(t, F.col(c).cast("double") == F.col(f"_v{i}"), "inner" if nulls == "error" else "left")
+        ol.append(F.coalesce(f"_l{i}", F.lit(0.0)))
+        orr.append(F.coalesce(f"_r{i}", F.lit(0.0)))
+        oa.append(F.coalesce(f"_a{i}", F.lit(0.0)))
 
     def tot(xs):
         acc = xs[0]

@@ -68,13 +68,13 @@ BAGGING_SEED = 13
 def bagging_masks_long(spark, d: int, members: int = BAGGING_MEMBERS, seed: int = BAGGING_SEED) -> DataFrame:
     """MDL-11 masks: member e keeps s_e = floor(d/2) + h(e) mod (d - floor(d/2))
     features (so floor(d/2) .. d-1), namely the s_e dimensions with the smallest
-    hash h(e * 4096 + i).  Long form (subspace_id, dim)."""
+    hash h("e:i").  Long form (subspace_id, dim)."""
     from pyspark.sql import Window
     half = d // 2
     e = spark.range(members).select(F.col("id").cast("int").alias("subspace_id"))
     size = (F.lit(half) + F.pmod(h(F.col("subspace_id").cast("long"), seed), F.lit(d - half))).alias("k")
     dims = e.select("subspace_id", size, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("dim"))
-    w = Window.partitionBy("subspace_id").orderBy(h(F.col("subspace_id").cast("long") * 4096 + F.col("dim"),
-                                                    seed + 1), "dim")
+    w = Window.partitionBy("subspace_id").orderBy(
+        h(F.concat_ws(":", F.col("subspace_id").cast("string"), F.col("dim").cast("string")), seed + 1), "dim")
     return dims.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("k")) \
         .select("subspace_id", F.col("dim").cast("int").alias("dim"))

@@ -17,8 +17,7 @@ from ..functions.hashing import h
 from ..functions.vectors import mask_text
 
 # Fixed values of the deterministic mask table: bit i of mask j is
-# (h(i * 64 + j, 7) div 65536) mod 2; mask j has weight 1/(j+1).
-MASK_STRIDE = 64
+# (h("i:j", 7) div 65536) mod 2; mask j has weight 1/(j+1).
 MASK_SEED = 7
 MAX_BROADCAST_MASK_CELLS = 4_000_000
 
@@ -30,12 +29,10 @@ def _lcm_upto(m: int) -> int:
 def fixed_masks(spark: SparkSession, d: int, m: int = 8, seed: int = MASK_SEED) -> DataFrame:
     """MDL-07: a fixed mask distribution (no learning).  ``weight`` is the
     integer lcm(1..m)/(j+1) so sampling can be done in exact integer arithmetic."""
-    if m > MASK_STRIDE:
-        raise ValueError("at most 64 fixed masks")
     L = _lcm_upto(m)
     base = spark.range(m).select(F.col("id").cast("int").alias("subspace_id"))
     mask = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                       lambda i: (F.floor(h(i.cast("long") * MASK_STRIDE + F.col("subspace_id"), seed) / 65536)
+                       lambda i: (F.floor(h(F.concat_ws(":", i.cast("string"), F.col("subspace_id").cast("string")), seed) / 65536)
                                   % 2).cast("int"))
     weight = (F.lit(L) / (F.col("subspace_id") + 1)).cast("long")
     total = sum(L // (j + 1) for j in range(m))
@@ -105,20 +102,3 @@ def leftover_mask(masks: DataFrame, mask_col: str = "mask") -> DataFrame:
     return used.agg(F.sort_array(F.collect_list(F.struct("dim", (1 - F.col("used")).alias("u")))).alias("s")) \
         .select(F.transform("s", lambda t: t["u"]).alias(mask_col)) \
         .filter(F.exists(mask_col, lambda v: v == 1))
-
-
-def diversity(masks_long: DataFrame, tau: float = 0.1) -> DataFrame:
-    """AGG-7: mean over all n^2 ordered pairs (diagonal counted as 0) of
-    exp(-||u - u'||^2 / tau).  Input long form (set_id, subspace_id, dim, u);
-    mask sets are small (<= a few hundred masks), so the pair join is bounded."""
-    a = masks_long.alias("a")
-    b = masks_long.alias("b")
-    pairs = a.join(b, (F.col("a.set_id") == F.col("b.set_id")) & (F.col("a.dim") == F.col("b.dim"))
-                   & (F.col("a.subspace_id") != F.col("b.subspace_id")))
-    d2 = pairs.groupBy(F.col("a.set_id").alias("set_id"), F.col("a.subspace_id").alias("i"),
-                       F.col("b.subspace_id").alias("j")) \
-        .agg(F.sum((F.col("a.u") - F.col("b.u")) * (F.col("a.u") - F.col("b.u"))).alias("d2"))
-    n = masks_long.groupBy("set_id").agg(F.countDistinct("subspace_id").alias("n"))
-    s = d2.groupBy("set_id").agg(F.sum(F.exp(-F.col("d2") / F.lit(tau))).alias("s"))
-    return n.join(s, "set_id", "left").select(
-        "set_id", (F.coalesce(F.col("s"), F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("diversity"))

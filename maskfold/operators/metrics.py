@@ -19,11 +19,18 @@ from .cumulative import running_totals
 
 def binary_metrics(scored: DataFrame, group_cols=(), score_col: str = "score",
                    label_col: str = "outlier", q: float = 0.8, n_buckets: int = 16,
-                   digits: int | None = 6) -> DataFrame:
-    """One row per group: auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier."""
+                   digits: int | None = 6, nulls: str = "error") -> DataFrame:
+    """Null and NaN scores and null labels raise an error, or are left out with nulls="drop".
+    One row per group: auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier."""
     g = list(group_cols)
     y = F.col(label_col).cast("long")
-    agg = scored.groupBy(*g, F.col(score_col).alias("score")).agg(
+    value = F.col(score_col)
+    if nulls == "drop":
+        scored = scored.where(value.isNotNull() & ~F.isnan(value.cast("double")) & y.isNotNull())
+    else:  # a missing score or label has no rank: say so instead of ranking it
+        value = F.when(value.isNull() | F.isnan(value.cast("double")) | y.isNull(),
+                       F.raise_error(F.lit("a score or label is missing; pass nulls='drop' to leave such rows out"))).otherwise(value)
+    agg = scored.groupBy(*g, value.alias("score")).agg(
         F.sum(y).alias("p"), (F.count(F.lit(1)) - F.sum(y)).alias("n"), F.count(F.lit(1)).alias("c"))
     j = running_totals(agg, g, "score", ["p", "n", "c"], n_buckets=n_buckets)
     P, N, T = F.col("p_tot"), F.col("n_tot"), F.col("c_tot")

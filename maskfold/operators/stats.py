@@ -1,123 +1,14 @@
-"""Rank statistics (AGG-30..32) and the distribution tails they need.
-
-scipy is not available, so the chi-square and Student-t tails are computed
-from the regularised incomplete gamma / beta functions (series and continued
-fractions, Numerical-Recipes style).  They run inside a pandas UDF over the few
-rows of a statistics table.
-"""
+"""Rank statistics over result tables: pooled average ranks, Kruskal-Wallis and Conover-Iman
+statistics, significance symbols (AGG-30..32)."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .cumulative import running_totals
 
 
-def _gammainc_lower_series(a, x):
-    s, term, n = 1.0 / a, 1.0 / a, a
-    for _ in range(1000):
-        n += 1
-        term *= x / n
-        s += term
-        if abs(term) < abs(s) * 1e-15:
-            break
-    return s * math.exp(-x + a * math.log(x) - math.lgamma(a))
-
-
-def _gammainc_upper_cf(a, x):
-    b = x + 1 - a
-    c = 1 / 1e-300
-    d = 1 / b
-    hh = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        delta = d * c
-        hh *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * hh
-
-
-def chi2_sf(x, df):
-    if x is None or df is None or math.isnan(x):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    a, y = df / 2.0, x / 2.0
-    if y < a + 1:
-        return 1.0 - _gammainc_lower_series(a, y)
-    return _gammainc_upper_cf(a, y)
-
-
-def _betacf(a, b, x):
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1e-300 if abs(d) < 1e-300 else d
-    d = 1 / d
-    hh = d
-    for m in range(1, 1000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = 1 + aa / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        hh *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = 1 + aa / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        delta = d * c
-        hh *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return hh
-
-
-def betainc(a, b, x):
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
-
-
-def t_sf(t, df):
-    """P(T > t) for Student's t with df degrees of freedom."""
-    if t is None or df is None or math.isnan(t):
-        return float("nan")
-    x = df / (df + t * t)
-    tail = 0.5 * betainc(df / 2.0, 0.5, x)
-    return tail if t > 0 else 1 - tail
-
-
-@F.pandas_udf(DoubleType())
-def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), float(b)) for a, b in zip(x, df)])
-
-
-@F.pandas_udf(DoubleType())
-def two_sided_t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([min(1.0, 2.0 * t_sf(abs(float(a)), float(b))) for a, b in zip(t, df)])
-
-
 def pooled_average_ranks(df: DataFrame, keys, value_col: str) -> DataFrame:
     """Average (mid) ranks of ``value_col`` pooled within ``keys``: values
     below + (ties + 1) / 2, from running counts over distinct values."""

@@ -1 +1 @@
-"""Composed jobs: the query catalog, experiment grids and mask learning."""
+"""Composed jobs: the query catalog and experiment grids."""

@@ -16,7 +16,7 @@ from ..sources.datasets import embedding_dataset
 from ..sources.tables import table
 from .catalog import register
 from .sqlparts import emb_dataset_sql, emb_long_sql, fixed_mask_weights_sql, fixed_masks_long_sql
-from ..functions.hashing import h_sql
+from ..functions.hashing import h, h_sql
 
 D = 64
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -173,7 +173,7 @@ def q_subspace_ensemble_pick_one(spark, sf_dir):
     """AGG-16: the "exact" ensemble, one hashed detector per row times its weight."""
     ds, masks, per, test = _sub_ecod(spark, sf_dir)
     p = pick_one(per, masks, 8, seed=5)
-    sub = per.filter(F.pmod(F.expr(h_sql("row_id", 5)), F.lit(8)) == F.col("subspace_id")).select("row_id", "subspace_id")
+    sub = per.filter(F.pmod(h("row_id", 5), F.lit(8)) == F.col("subspace_id")).select("row_id", "subspace_id")
     return test.join(p, "row_id").join(sub, "row_id").select(
         "row_id", "outlier", "subspace_id", F.round("ensemble", 6).alias("ensemble"))
 
@@ -182,7 +182,7 @@ def q_subspace_ensemble_pick_one(spark, sf_dir):
 _BAG_SQL = _ECOD_EMB_SQL + f""",
 bdims AS (SELECT CAST(e AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim,
                  {D // 2} + {h_sql('e', 13)} % {D - D // 2} AS k,
-                 ROW_NUMBER() OVER (PARTITION BY e ORDER BY {h_sql('e * 4096 + i', 14)}, i) AS r
+                 ROW_NUMBER() OVER (PARTITION BY e ORDER BY {h_sql("e || ':' || i", 14)}, i) AS r
           FROM range(10) AS te(e), range({D}) AS ti(i)),
 bm AS (SELECT subspace_id, dim FROM bdims WHERE r <= k),
 per AS (SELECT o.row_id, bm.subspace_id, GREATEST(SUM(o_l), SUM(o_r), SUM(o_a)) AS s

@@ -10,7 +10,7 @@ from ..functions import text as TX
 from ..functions.hashing import h, h_sql
 from ..functions.vectors import row_l2_normalize
 from ..operators.ecod import ecod_scores
-from ..operators.masks import MASK_SEED, MASK_STRIDE
+from ..operators.masks import MASK_SEED
 from ..operators.metrics import binary_metrics, metrics_sql
 from ..sources.datasets import document_dataset
 from ..session import materialize
@@ -22,6 +22,7 @@ from .sqlparts import split_sql
 PROMPT = dict(sample_prefix="Text :", label_prefix="Quality :",
               samples=["a clear and useful text", "spam spam spam"], labels=["good", "bad"])
 TOKEN_CAP = 512
+TRUNCATE_TOKENS = 256  # the truncation feature's length
 
 _SQL_CLEAN = r"replace(translate({t}, '\()[]{{}}.,:;!?', ''), '-', ' ')"
 
@@ -153,12 +154,23 @@ def q_prompt_wrap(spark, sf_dir):
                     F.element_at(wrapped, -1).alias("last_word"))
 
 
+# Mask j over word positions keeps the positions whose draw has bit 8 + j set (one draw per position).
 def _bit_sql(pos, j):
-    return f"CAST(({h_sql(f'({pos}) * {MASK_STRIDE} + {j}', MASK_SEED)} // 65536) % 2 AS INTEGER)"
+    return f"CAST(({h_sql(pos, MASK_SEED)} >> (8 + {j})) % 2 AS INTEGER)"
 
 
-def _bit(pos_col, j):
-    return (F.floor(h(pos_col.cast("long") * MASK_STRIDE + j, MASK_SEED) / 65536) % 2).cast("int")
+def _draws(ws):
+    """One draw per word position."""
+    return F.transform(ws, lambda w, i: h(i, MASK_SEED).cast("int"))
+
+
+def _bit(draw, j):
+    return F.shiftright(draw, 8 + j).bitwiseAND(1)
+
+
+def _kept(ws, draws, j):
+    """The words that mask j keeps, null for the others."""
+    return F.zip_with(ws, draws, lambda w, d: F.when(_bit(d, j) == 1, w))
 
 
 @register("word_token_masks", f"""WITH w AS (SELECT doc_id, UNNEST({_sql_words(_sql_clean('text'))}) AS word,
@@ -171,7 +183,7 @@ def q_word_token_masks(spark, sf_dir):
     expanded to token positions by each word's token count."""
     d = table(spark, sf_dir, "documents").select("doc_id", TX.words(TX.clean("text")).alias("ws"))
     d = d.filter(F.size("ws") > 0)
-    mask = F.transform("ws", lambda w, i: _bit(i, 0))
+    mask = F.transform(_draws(F.col("ws")), lambda d: _bit(d, 0))
     counts = F.transform("ws", lambda w: TX.token_count(w))
     ws, m = TX.align_words_mask(F.col("ws"), mask)
     tm = TX.expand_mask(m, counts)
@@ -180,10 +192,10 @@ def q_word_token_masks(spark, sf_dir):
                     F.aggregate(m, F.lit(0), lambda a, v: a + v).alias("n_words_kept"))
 
 
-def _word_vectors(d):
-    """(doc_id, pos, word, v array<double>) from cleaned words."""
-    return d.select("doc_id", F.posexplode(TX.words(TX.clean("text"))).alias("pos", "word")) \
-        .withColumn("v", TX.char_profile("word"))
+def _joined(ws):
+    """All words as one string.  Every feature of the character profile is a sum over words, so the
+    profile of the joined words is the sum of the words' profiles, without a row or lambda per word."""
+    return F.array_join(ws, "")
 
 
 @register("text_pooling", f"""WITH w AS (SELECT doc_id, UNNEST({_sql_words(_sql_clean('text'))}) AS word,
@@ -194,27 +206,25 @@ avgv AS (SELECT doc_id, k, AVG(x) AS a FROM vl GROUP BY doc_id, k),
 an AS (SELECT doc_id, SQRT(SUM(a * a)) AS nrm FROM avgv GROUP BY doc_id),
 lastp AS (SELECT doc_id, MAX(pos) AS p FROM v GROUP BY doc_id),
 lv AS (SELECT v.doc_id, v.f FROM v JOIN lastp ON v.doc_id = lastp.doc_id AND v.pos = lastp.p)
+SELECT d.doc_id, COALESCE(avg_len, 0.0) AS avg_len, COALESCE(avg_e, 0.0) AS avg_e, COALESCE(avg_norm, 0.0) AS avg_norm,
+       COALESCE(last_len, 0.0) AS last_len FROM documents d LEFT JOIN (
 SELECT an.doc_id,
        ROUND(MAX(CASE WHEN avgv.k = 0 THEN avgv.a END) / GREATEST(an.nrm, 1e-12), 6) AS avg_len,
        ROUND(MAX(CASE WHEN avgv.k = 2 THEN avgv.a END) / GREATEST(an.nrm, 1e-12), 6) AS avg_e,
        ROUND(an.nrm, 6) AS avg_norm,
        ROUND(MAX(lv.f[1]) / GREATEST(SQRT(list_sum(list_transform(MAX(lv.f), lambda z: z * z))), 1e-12), 6) AS last_len
-FROM an JOIN avgv ON an.doc_id = avgv.doc_id JOIN lv ON lv.doc_id = an.doc_id GROUP BY an.doc_id, an.nrm""")
+FROM an JOIN avgv ON an.doc_id = avgv.doc_id JOIN lv ON lv.doc_id = an.doc_id GROUP BY an.doc_id, an.nrm) q ON q.doc_id = d.doc_id""")
 def q_text_pooling(spark, sf_dir):
-    """FN-11 (avg and last pooling) + PRJ-11 row L2 normalisation over the
-    default word embedder."""
-    d = table(spark, sf_dir, "documents")
-    wv = _word_vectors(d)
-    long = wv.select("doc_id", "pos", F.posexplode("v").alias("k", "x"))
-    avgv = long.groupBy("doc_id", "k").agg(F.avg("x").alias("a"))
-    pooled = avgv.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "a"))).alias("s")) \
-        .select("doc_id", F.transform("s", lambda t: t["a"]).alias("avg"))
-    last = wv.groupBy("doc_id").agg(F.max_by("v", "pos").alias("last"))
-    j = pooled.join(last, "doc_id")
-    na = row_l2_normalize("avg")
-    nl = row_l2_normalize("last")
+    """FN-11 (avg and last pooling) + PRJ-11 row L2 normalisation over the default word embedder.
+    A document without words has the zero vector."""
     from ..functions.vectors import l2_norm
-    return j.select("doc_id", F.round(F.get(na, 0), 6).alias("avg_len"), F.round(F.get(na, 2), 6).alias("avg_e"),
+    d = table(spark, sf_dir, "documents").select("doc_id", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
+    d = d.select("doc_id", F.size("ws").alias("n"), _joined("ws").alias("all"),
+                 F.coalesce(F.try_element_at("ws", F.lit(-1)), F.lit("")).alias("end"))
+    d = d.select("doc_id", "n", TX.char_profile("all").alias("total"), TX.char_profile("end").alias("last"))
+    d = d.withColumn("avg", F.transform("total", lambda x: x / F.greatest("n", F.lit(1))))
+    na, nl = row_l2_normalize("avg"), row_l2_normalize("last")
+    return d.select("doc_id", F.round(F.get(na, 0), 6).alias("avg_len"), F.round(F.get(na, 2), 6).alias("avg_e"),
                     F.round(l2_norm("avg"), 6).alias("avg_norm"), F.round(F.get(nl, 0), 6).alias("last_len"))
 
 
@@ -229,7 +239,7 @@ toks AS (SELECT d.doc_id, COALESCE(list(tid ORDER BY pos, i) FILTER (WHERE tid I
 mx AS (SELECT MAX(len(tokens)) AS L FROM toks)
 SELECT doc_id, CAST(L AS INTEGER) AS padded_len, CAST(len(tokens) AS INTEGER) AS effective_len,
        CAST(len(tokens) AS INTEGER) AS n_nonpad,
-       CAST(LEAST(len(tokens), 256) AS INTEGER) AS truncated_len,
+       CAST(LEAST(len(tokens), {TRUNCATE_TOKENS}) AS INTEGER) AS truncated_len,
        CAST(list_sum(tokens) AS BIGINT) AS token_sum
 FROM toks, mx""")
 def q_token_padding(spark, sf_dir):
@@ -240,15 +250,14 @@ def q_token_padding(spark, sf_dir):
                                                     lambda w: F.transform(TX.token_pieces(w), TX.token_id)))
                     .alias("tokens"))
     L = toks.agg(F.max(F.size("tokens")).alias("L"))
-    # materialise the padded array once: a lambda that referenced the padding
-    # expression would rebuild it for every element
-    j = toks.join(L, how="inner", on=F.lit(True)).withColumn("padded", TX.pad_to(F.col("tokens"), F.col("L")))
-    padded = F.col("padded")
-    return j.select("doc_id", F.size(padded).cast("int").alias("padded_len"),
-                    TX.effective_length(padded).cast("int").alias("effective_len"),
-                    F.when(F.size("tokens") == 0, 0).otherwise(F.size(TX.remove_padding(padded))).cast("int")
+    # Padding only adds pad ids at the end: lengths are taken from the tokens, and no array is padded
+    # to the longest document here.  L is one aggregate row.
+    j = toks.join(F.broadcast(L), how="inner", on=F.lit(True))
+    return j.select("doc_id", F.greatest(F.col("L"), F.size("tokens")).cast("int").alias("padded_len"),
+                    TX.effective_length("tokens").cast("int").alias("effective_len"),
+                    F.when(F.size("tokens") == 0, 0).otherwise(F.size(TX.remove_padding("tokens"))).cast("int")
                     .alias("n_nonpad"),
-                    F.size(F.slice(F.col("tokens"), 1, 256)).cast("int").alias("truncated_len"),
+                    F.size(F.slice(F.col("tokens"), 1, TRUNCATE_TOKENS)).cast("int").alias("truncated_len"),
                     F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v).alias("token_sum"))
 
 
@@ -279,21 +288,17 @@ N_TEXT_MASKS = 8
 
 def _text_views(spark, sf_dir):
     ds = _docs(spark, sf_dir)
-    wv = _word_vectors(ds.withColumnRenamed("row_id", "doc_id"))
-    # per doc: full pooled sum and, per mask j, sum of v * u_j(pos); divisor = all words
-    aggs = [F.count(F.lit(1)).alias("nw")]
-    for k in range(8):
-        aggs.append(F.sum(F.get("v", k)).alias(f"f{k}"))
-        for j in range(N_TEXT_MASKS):
-            aggs.append(F.sum(F.get("v", k) * _bit(F.col("pos"), j)).alias(f"m{j}_{k}"))
-    # one row per document: small next to the word rows and read by two
-    # branches (per-view ECOD and the distance), so it is checkpointed once
-    s = materialize(wv.groupBy("doc_id").agg(*aggs))
-    full = F.array(*[F.col(f"f{k}") / F.col("nw") for k in range(8)])
-    views = F.array(*[F.struct(F.lit(j).alias("subspace_id"),
-                               F.array(*[F.col(f"m{j}_{k}") / F.col("nw") for k in range(8)]).alias("x"))
-                      for j in range(N_TEXT_MASKS)])
-    return ds, s.select(F.col("doc_id").alias("row_id"), full.alias("full"), views.alias("views"))
+    # Masked sums are profiles of the kept words joined: a fold inside the row, no row per word.
+    # The divisor is the number of all words; a document without words has zero views.
+    w = ds.select("row_id", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
+    w = w.select("row_id", F.size("ws").alias("nw"), "ws", _draws(F.col("ws")).alias("draws"))
+    w = w.select("row_id", "nw", _joined("ws").alias("all"), *[
+        F.array_join(_kept("ws", "draws", j), "").alias(f"kept{j}") for j in range(N_TEXT_MASKS)])
+    n = F.greatest("nw", F.lit(1))
+    mean = lambda c: F.transform(TX.char_profile(c), lambda x: x / n)
+    views = F.array(*[F.struct(F.lit(j).alias("subspace_id"), mean(f"kept{j}").alias("x")) for j in range(N_TEXT_MASKS)])
+    # one row per document, read by two branches (per-view ECOD and the distance)
+    return ds, materialize(w.select("row_id", mean("all").alias("full"), views.alias("views")))
 
 
 def text_subspace_scores(spark, sf_dir):

@@ -5,7 +5,7 @@ compute, so each registered query can be checked against an independent engine."
 from __future__ import annotations
 
 from ..functions.hashing import h_sql
-from ..operators.masks import MASK_SEED, MASK_STRIDE, _lcm_upto
+from ..operators.masks import MASK_SEED, _lcm_upto
 
 
 def split_sql(id_expr: str, seed: int = 42, test_mod: int = 5) -> str:
@@ -29,7 +29,7 @@ def emb_long_sql(src: str = "embeddings", id_col: str = "vec_id") -> str:
 def fixed_masks_long_sql(d: int, m: int = 8, seed: int = MASK_SEED) -> str:
     """CTE body: (subspace_id, dim, u) of the fixed mask table."""
     return f"""SELECT CAST(j AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim,
-               CAST(({h_sql(f'i * {MASK_STRIDE} + j', seed)} // 65536) % 2 AS INTEGER) AS u
+               CAST(({h_sql("i || ':' || j", seed)} // 65536) % 2 AS INTEGER) AS u
                FROM range({m}) AS tj(j), range({d}) AS ti(i)"""
 
 

@@ -43,11 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read here.
-    When it is unset (local tests) a private folder is created once and
-    registered, so ``DataFrame.checkpoint`` and streaming checkpoints work.
+    When it is unset, a local session (tests) gets a private folder once; any
+    other master is an error, since a folder of one machine would lose data.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="maskfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,6 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_kind(spark: SparkSession, path: str) -> str:
+    """'file', 'folder' or 'none', asked of the path's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return "none"
+    return "folder" if fs.getFileStatus(where).isDirectory() else "file"
+
+
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and cut its lineage
     (reliable checkpoint: survives executor loss, unlike a local checkpoint).

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_kind
+
 RESULT_PARTITIONS = ("dataset", "emb_model", "run")
 
 
@@ -50,10 +52,9 @@ def pending(spec: DataFrame, done: DataFrame, keys) -> DataFrame:
 def incremental_append(spark: SparkSession, source: DataFrame, cache_path: str, key: str, transform) -> DataFrame:
     """SRC-12/13: transform only rows whose key is not in the cache yet and
     append them; returns the full cache."""
-    try:
-        existing = spark.read.parquet(cache_path)
-        todo = source.join(existing.select(key), key, "left_anti")
-    except Exception:  # noqa: BLE001 - first run: no cache yet
+    if path_kind(spark, cache_path) == "none":
         todo = source
+    else:
+        todo = source.join(spark.read.parquet(cache_path).select(key), key, "left_anti")
     transform(todo).write.mode("append").parquet(cache_path)
     return spark.read.parquet(cache_path)

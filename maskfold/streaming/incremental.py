@@ -8,36 +8,43 @@ processed once.  The batch result of ``document_features`` must be identical.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..session import scratch_path
+from ..session import checkpoint_dir, path_kind
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def document_features(df: DataFrame) -> DataFrame:
     """Stateless per-row features: word count and the mean character profile."""
-    ws = TX.words(TX.clean("text"))
-    prof = F.transform(ws, lambda w: TX.char_profile(w))
-    n = F.size(ws)
-    mean_len = F.aggregate(prof, F.lit(0.0), lambda a, v: a + F.get(v, 0)) / F.greatest(n, F.lit(1))
-    mean_e = F.aggregate(prof, F.lit(0.0), lambda a, v: a + F.get(v, 2)) / F.greatest(n, F.lit(1))
-    return df.select("doc_id", "lang", n.alias("n_words"), F.round(mean_len, 6).alias("mean_word_len"),
-                     F.round(mean_e, 6).alias("mean_e"))
-
-
-def run_incremental(spark: SparkSession, source_dir: str, sink_path: str, checkpoint: str,
-                    glob: str = "documents.parquet") -> None:
-    stream = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 16).parquet(source_dir))
+    ws = df.select("doc_id", "lang", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
+    n = F.greatest(F.size("ws"), F.lit(1))
+    joined = ws.select("doc_id", "lang", F.size("ws").alias("n_words"), n.alias("n"), F.array_join("ws", "").alias("all"))
+    return joined.select("doc_id", "lang", "n_words", F.round(F.length("all") / F.col("n"), 6).alias("mean_word_len"),
+                         F.round(TX.count_chars("all", "eE") / F.col("n"), 6).alias("mean_e"))
+
+
+def run_incremental(spark: SparkSession, source: str, sink_path: str, checkpoint: str) -> None:
+    """``source``: a table's folder of part files, or a single Parquet file."""
+    stream = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", 16)
+    if path_kind(spark, source) == "file":
+        folder, name = source.rstrip("/").rsplit("/", 1)
+        stream = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = stream.parquet(source)
     q = (document_features(stream).writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def incremental_document_features(spark: SparkSession, source_dir: str) -> DataFrame:
-    sink = scratch_path(spark, "doc-features")
-    run_incremental(spark, source_dir, sink, sink + "-checkpoint")
+    """The sink and its checkpoint have a fixed place per source, so a second call
+    reads only files that arrived since the first."""
+    source = f"{source_dir.rstrip('/')}/documents.parquet"
+    sink = f"{checkpoint_dir(spark).rstrip('/')}/doc-features-{hashlib.md5(source.encode()).hexdigest()[:12]}"
+    run_incremental(spark, source, sink, sink + "-checkpoint")
     return spark.read.parquet(sink)

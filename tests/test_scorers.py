@@ -2,13 +2,14 @@
 import math
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
 from maskfold.operators.ecod import ecod_scores
 from maskfold.operators.knn import knn, lof_scores
 from maskfold.operators.mmd import closed_form_bandwidths, mmd_masks
-from maskfold.operators.stats import chi2_sf, t_sf
+from maskfold.plans.q_report import two_sided_t
 
 
 def _frame(spark, X, start=0):
@@ -88,10 +89,43 @@ def test_mmd_properties(spark):
     assert abs(bw - brute) < 1e-9
 
 
-def test_distribution_tails():
-    assert abs(chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(chi2_sf(5.991464547107979, 2) - 0.05) < 1e-9
-    assert abs(2 * t_sf(2.2281388519649385, 10) - 0.05) < 1e-9
+def test_two_sided_t(spark):
+    # quantiles of Student's t at 5 %, odd and even degrees of freedom
+    rows = [(12.706204736432095, 1), (4.302652729911275, 2), (3.182446305284263, 3), (2.2281388519649385, 10),
+            (2.0301079282503425, 35), (0.0, 4)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t double, df int").coalesce(1)
+           .select(two_sided_t(F.col("t"), F.col("df").cast("double"))).collect()]
+    assert all(abs(p - 0.05) < 1e-9 for p in got[:-1]) and got[-1] == 1.0
+
+
+def test_missing_scores_and_components(spark):
+    from maskfold.operators.ecod import ecod_columns
+    from maskfold.operators.metrics import binary_metrics
+    rows = [(0.1, 0), (0.9, 1), (None, 1), (float("nan"), 0), (0.4, None)]
+    scored = spark.createDataFrame(rows, "score double, outlier int")
+    with pytest.raises(Exception, match="missing"):
+        binary_metrics(scored).collect()
+    kept = binary_metrics(scored, nulls="drop").first()
+    assert kept["n_test"] == 2 and kept["auc"] == 1.0
+    x = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, None]), (2, [None, None]), (3, [3.0, 2.0])], "row_id long, x array<double>")
+    with pytest.raises(Exception, match="missing"):
+        ecod_scores(x).collect()
+    got = {r["row_id"]: r["score"] for r in ecod_scores(x, nulls="neutral").collect()}
+    assert set(got) == {0, 1, 2, 3} and got[2] == 0.0 and got[3] > got[1]
+    wide = x.select("row_id", F.get("x", 0).alias("a"), F.get("x", 1).alias("b"))
+    wide_got = {r["row_id"]: r["score"] for r in ecod_columns(wide, ["a", "b"], keep=["row_id"], nulls="neutral").collect()}
+    assert all(abs(wide_got[i] - got[i]) < 1e-12 for i in got)
+
+
+def test_hash_takes_any_id_and_seeds_are_independent(spark):
+    from maskfold.functions.hashing import h
+    ids = spark.range(4000).select((F.col("id") * 3 + F.lit(2**62)).alias("id"))
+    draws = ids.select(*[(h("id", s) % 5 == 0).alias(f"s{s}") for s in (0, 1, 2)]).collect()
+    size = [sum(r[k] for r in draws) for k in range(3)]
+    assert all(700 < n < 900 for n in size)
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        assert 110 < sum(r[a] and r[b] for r in draws) < 215  # near 4 % of the rows
+
 
 
 def test_column_normalize_and_hash_sample(spark):
