@@ -3,8 +3,8 @@
 A plain ``sum() over (partition by g order by v)`` puts every row of a group
 into a single task.  Here the caller passes one row per distinct ``(g, v)``
 (after a map-side partial aggregation, so a value carried by a third of all rows
-is one row), the rows are cut into ``n_buckets`` value ranges per group with
-approximate quantiles, bucket totals (groups x buckets rows) give each bucket
+is one row), the rows are cut into ``n_buckets`` value ranges per group (by default
+as many as the session has shuffle partitions) with approximate quantiles, bucket totals (groups x buckets rows) give each bucket
 its offset, and the window runs per (group, bucket).  Exact: buckets only move
 work between tasks, never change a sum.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int = 16,
+def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int | None = None,
                    accuracy: int = 10000) -> DataFrame:
     """For a frame with one row per (keys, order_col) add ``<c>_cum`` (sum of c
     over rows of the same keys with order value <= this one) and ``<c>_tot``
@@ -25,6 +25,7 @@ def running_totals(df: DataFrame, keys, order_col: str, sum_cols, n_buckets: int
         df = df.withColumn("_all", F.lit(0))
         keys = ["_all"]
     sum_cols = list(sum_cols)
+    n_buckets = max(2, n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits"))

@@ -2,10 +2,9 @@
 
     dist(x) = min_j || t(x) - t(u_j * x) ||_2  (/ sqrt(d) when scaled)
 
-The subspace table is small and size-checked, so it is packed into one row and
-attached to every data row by a broadcast join; the minimum over masks is then
-a per-row array expression (no shuffle of the data).  Above the size bound the
-exact fallback explodes subspace ids and takes a grouped minimum instead.
+The subspace table is cut into chunks of a bounded number of cells; each chunk is packed
+into one row, attached to every data row by a broadcast join, and folded into a running
+minimum.  So there is one plan for every size of that table, and the data is not shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from .masks import MAX_BROADCAST_MASK_CELLS
 
 
 def subspace_distance(df: DataFrame, masks: DataFrame, d: int, x_col: str = "x",
-                      id_cols=("row_id",), scale: bool = True, transform=None,
+                      scale: bool = True, transform=None,
                       out_col: str = "distance", max_cells: int = MAX_BROADCAST_MASK_CELLS) -> DataFrame:
     """Adds ``out_col``; ``transform`` (UDF-02) maps an array column to an array
     column and is applied to both the point and its projection."""
@@ -36,16 +35,15 @@ def subspace_distance(df: DataFrame, masks: DataFrame, d: int, x_col: str = "x",
             return F.sqrt(masked_residual_sq(x, m))
         return l2_dist(transform(x), transform(soft_project(x, m)))
 
-    if n_masks * d <= max_cells:
-        packed = masks.agg(F.collect_list("mask").alias("_masks"))
-        j = df.join(F.broadcast(packed), how="inner", on=F.lit(True))
-        return j.withColumn(out_col, F.array_min(F.transform("_masks", lambda m: one(F.col(x_col), m)))
-                            / F.lit(denom)).drop("_masks")
-    # exact fallback for very large subspace tables
-    e = df.join(masks.select("subspace_id", "mask"), how="inner", on=F.lit(True)) \
-        .withColumn("_d", one(F.col(x_col), F.col("mask")))
-    mins = e.groupBy(*id_cols).agg(F.min("_d").alias(out_col))
-    return df.join(mins, list(id_cols)).withColumn(out_col, F.col(out_col) / F.lit(denom))
+    chunks = max(1, math.ceil(n_masks * d / max_cells))
+    numbered = masks.select("mask", F.pmod(F.xxhash64("subspace_id", "mask"), F.lit(chunks)).alias("_chunk"))
+    out = df.withColumn(out_col, F.lit(None).cast("double"))
+    for k in range(chunks):
+        packed = numbered.where(F.col("_chunk") == k).agg(F.collect_list("mask").alias("_masks"))
+        best = F.array_min(F.transform("_masks", lambda m: one(F.col(x_col), m))) / F.lit(denom)
+        out = out.join(F.broadcast(packed), how="inner", on=F.lit(True)) \
+            .withColumn(out_col, F.least(out_col, best)).drop("_masks")
+    return out
 
 
 def min_projected_distance(df: DataFrame, projections: DataFrame, x_col: str = "x",

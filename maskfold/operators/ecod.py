@@ -21,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .cumulative import running_totals
 
 
 def ecdf_table(long_df: DataFrame, keys, value_col: str = "v") -> DataFrame:
     """(keys..., v) rows -> (keys..., v, o_l, o_r, o_a) with one row per distinct value."""
     keys = list(keys)
-    # distinct values with counts: the only frame read by several branches, so
-    # it is persisted (it is at most as large as the input and usually far smaller)
-    agg = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c")).persist()
+    # distinct values with counts: read by several branches, so it is written once
+    # (it is at most as large as the input and usually far smaller)
+    agg = staged(long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c")), "ecdf")
     cum = running_totals(agg, keys, value_col, ["c"])
     # population skewness sign from raw moments (same formula in the SQL oracle)
     v = F.col(value_col)
@@ -106,7 +107,7 @@ def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=(), nulls: st
     long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v"))
                                          for i, c in enumerate(cols)])).alias("t")).select("t.dim", _checked(F.col("t.v"), nulls).alias("v")).where("v is not null")
     # one row per distinct (column, value): read by every per-column join
-    table = ecdf_table(long, ["dim"], "v").persist()
+    table = staged(ecdf_table(long, ["dim"], "v"), "ecod-terms")
     out = df.select(*keep, *cols)
     ol, orr, oa = [], [], []
     for i, c in enumerate(cols):

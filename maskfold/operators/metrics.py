@@ -18,7 +18,7 @@ from .cumulative import running_totals
 
 
 def binary_metrics(scored: DataFrame, group_cols=(), score_col: str = "score",
-                   label_col: str = "outlier", q: float = 0.8, n_buckets: int = 16,
+                   label_col: str = "outlier", q: float = 0.8, n_buckets: int | None = None,
                    digits: int | None = 6, nulls: str = "error") -> DataFrame:
     """Null and NaN scores and null labels raise an error, or are left out with nulls="drop".
     One row per group: auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier."""

@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h_col, h_sql_seed
-from ..session import checkpoint_dir, path_kind
+from ..session import checkpoint_dir, path_kind, staged
 from ..operators.distance import subspace_distance
 from ..operators.ecod import ecod_long, ecod_subspace_scores
 from ..operators.ensemble import weighted_average
@@ -80,8 +80,8 @@ def _compute(spark, sf_dir, n_runs):
     masks = fixed_masks(spark, D, 8)
     dist = subspace_distance(x, masks, D).select("row_id", F.col("distance").alias("score"))
     # per-(row, dim) ECOD terms feed both the full-space and the per-subspace
-    # scores; persisted so the two branches do not recompute the ECDF tables
-    o = ecod_long(g, ["row_id"], group_cols=keys).persist()
+    # scores; written once so the two branches do not recompute the ECDF tables
+    o = staged(ecod_long(g, ["row_id"], group_cols=keys), "grid-terms")
     full = o.groupBy(*keys, "row_id").agg(F.greatest(F.sum("o_l"), F.sum("o_r"), F.sum("o_a")).alias("score"))
     ml = masks.select("subspace_id", F.posexplode("mask").alias("dim", "u")).filter("u = 1") \
         .select("subspace_id", F.col("dim").cast("int").alias("dim"))

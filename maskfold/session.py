@@ -73,6 +73,14 @@ def path_kind(spark: SparkSession, path: str) -> str:
     return "folder" if fs.getFileStatus(where).isDirectory() else "file"
 
 
+def staged(df, name: str):
+    """Write ``df`` once as Parquet to the shared folder and read it back: several branches of a
+    plan may read it, nothing stays cached on executors, and a lost one costs a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and cut its lineage
     (reliable checkpoint: survives executor loss, unlike a local checkpoint).

@@ -140,3 +140,14 @@ def test_column_normalize_and_hash_sample(spark):
     a = [r["row_id"] for r in hash_sample(_frame(spark, X), 10, seed=1).collect()]
     b = [r["row_id"] for r in hash_sample(_frame(spark, X).repartition(5), 10, seed=1).collect()]
     assert len(a) == 10 and sorted(a) == sorted(b)
+
+
+def test_distance_has_one_plan_for_every_mask_table(spark):
+    from maskfold.operators.distance import subspace_distance
+    rng = np.random.default_rng(9)
+    X, U = rng.normal(size=(12, 5)), rng.integers(0, 2, (70, 5))
+    masks = spark.createDataFrame([(j, u.tolist(), 1 / 70) for j, u in enumerate(U)], "subspace_id int, mask array<int>, proba double")
+    for cells in (10_000, 40):  # 40 cells: nine chunks, some of them perhaps empty
+        got = {r["row_id"]: r["distance"] for r in subspace_distance(_frame(spark, X), masks, 5, max_cells=cells).collect()}
+        want = np.linalg.norm(X[:, None, :] * (1 - U[None]), axis=2).min(1) / math.sqrt(5)
+        assert all(abs(got[i] - want[i]) < 1e-12 for i in range(12))
