@@ -70,9 +70,10 @@ def ecod_long(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=(
     g, ids = list(group_cols), list(id_cols)
     long = df.select(*g, *ids, F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v"), nulls))
     if nulls == "error":
-        table = ecdf_table(long, g + ["dim"], "v")
+        # written, so that AQE may split a value that many rows hold
+        table = staged(ecdf_table(long, g + ["dim"], "v"), "ecod-terms")
         return long.join(table, g + ["dim", "v"]).select(*g, *ids, "dim", "o_l", "o_r", "o_a")
-    table = ecdf_table(long.where("v is not null"), g + ["dim"], "v")
+    table = staged(ecdf_table(long.where("v is not null"), g + ["dim"], "v"), "ecod-terms")
     return _terms(long, table, g + ["dim", "v"])
 
 
