@@ -74,7 +74,47 @@ def tokenizer_files() -> dict:
             "ranks_file": tokenizers_of.path("byte_bpe_50k.tiktoken"), "pattern": tokenizers_of.PATTERN}
 
 
-@query("op3_mixing")
+@query("op3_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER w AS j, sum(3 * source_size) OVER w - 3 * source_size AS caps,
+         sum(weight) OVER w - weight AS weights, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+l AS (SELECT (total - caps)::DOUBLE / (all_weight - weights) AS level FROM o
+      WHERE cap >= (total - caps)::DOUBLE / (all_weight - weights) * weight ORDER BY j LIMIT 1),
+t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target,
+             greatest(1, ceil(source_size / 250000), ceil(n_rows / 5000))::BIGINT AS shards FROM o, l),
+p AS (
+  SELECT d.*, t.source_size, t.target, d.draw % t.shards AS shard,
+         sum(size) OVER (PARTITION BY d.source, d.draw % t.shards ORDER BY d.draw, d.doc_id, d.size
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+h AS (
+  SELECT source, shard, sum(size) AS shard_size,
+         CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::DOUBLE / any_value(source_size) ELSE 0 END AS votes
+  FROM p GROUP BY source, shard),
+b AS (SELECT count(*) AS n, sum(votes) AS total, greatest(1, least(1024, sum(shard_size) // (1000 * count(*)))) AS block,
+             sum(shard_size) // greatest(1, least(1024, sum(shard_size) // (1000 * count(*)))) AS blocks FROM h),
+r AS (SELECT h.*, b.block, b.blocks, greatest(0, floor(votes * greatest(0, blocks - n / 2) / total + 0.5) - 1)::BIGINT AS sure,
+             floor(votes * (blocks + n / 2 + 1) / total + 0.5)::BIGINT + 1 AS most FROM h, b),
+c AS (SELECT source, shard, votes / (2 * k + 1) AS quotient
+      FROM (SELECT source, shard, votes, unnest(range(sure, most)) AS k FROM r)),
+g AS (SELECT source, shard, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, shard) AS place FROM c),
+w AS (SELECT source, shard, count(*) AS won FROM g WHERE place <= (SELECT any_value(blocks) - sum(sure) FROM r) GROUP BY source, shard),
+q AS (SELECT r.source, r.shard, shard_size, least((sure + coalesce(won, 0)) * block, 3 * shard_size) AS words
+      FROM r LEFT JOIN w ON r.source IS NOT DISTINCT FROM w.source AND r.shard = w.shard)
+SELECT doc_id, size, source_size, target, p.source,
+       CAST(coalesce(words // nullif(shard_size, 0), 0) * size
+            + greatest(0, least(size, words - coalesce(words // nullif(shard_size, 0), 0) * shard_size - (upto - size))) AS BIGINT) AS taken
+FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
+""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
