@@ -239,7 +239,7 @@ def q_knn_neighbors(spark, sf_dir):
     """JN-10 / WIN-05: exact 5 nearest training inliers of every test row (block-pair kNN)."""
     ds = embedding_dataset(spark, sf_dir, 0)
     tr, te = ds.filter("split = 'train'"), ds.filter("split = 'test'")
-    nn = knn(te, tr, 5, block_rows=64)
+    nn = knn(te, tr, 5)
     return nn.select(F.col("qid").alias("row_id"), F.col("rid").alias("neighbor_id"),
                      F.col("nn_rank").cast("int").alias("nn_rank"), F.round("dist", 6).alias("dist"))
 
@@ -268,7 +268,7 @@ LOF_K = 20
 def lof_embeddings(spark, sf_dir):
     ds = embedding_dataset(spark, sf_dir, 0)
     tr, te = ds.filter("split = 'train'"), ds.filter("split = 'test'")
-    s = lof_scores(tr, te, LOF_K, block_rows=64)
+    s = lof_scores(tr, te, LOF_K)
     return te.select("row_id", "label", "outlier").join(s, "row_id").select(
         "row_id", "label", "outlier", F.round("score", 6).alias("score"))
 
@@ -282,3 +282,81 @@ def q_lof_scores(spark, sf_dir):
 @register("lof_metrics", f"WITH {_lof_sql(LOF_K)}, {metrics_sql('scored')} SELECT * FROM _metrics")
 def q_lof_metrics(spark, sf_dir):
     return binary_metrics(lof_embeddings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- any scorer under ensembles and bagging
+def ecod_views(ds, masks_long):
+    """UDF-03 scorer contract: (subspace_id, row_id, score) of every masked view of the test rows."""
+    return ecod_subspace_scores(ecod_long(ds, ["row_id"]), masks_long, ["row_id"])
+
+
+def lof_views(ds, masks_long, k: int = LOF_K):
+    """The same contract by LOF fitted on the train rows; the masks are a few 0/1 lists."""
+    kept: dict[int, set] = {}
+    for r in masks_long.select("subspace_id", "dim").collect():
+        kept.setdefault(r["subspace_id"], set()).add(r["dim"])
+    ids = sorted(kept)
+    lists = [[int(i in kept[j]) for i in range(D)] for j in ids]
+    s = lof_scores(ds.filter("split = 'train'"), ds.filter("split = 'test'"), k, masks=lists)
+    return s.withColumn("subspace_id", F.get(F.array(*map(F.lit, ids)), F.col("subspace_id")))
+
+
+SCORERS = {"ecod": ecod_views, "lof": lof_views}
+
+
+def ensemble_metrics(spark, sf_dir, scorer: str):
+    """MDL-22: fit and score any scorer on the fixed masks, weighted average, metrics."""
+    ds = embedding_dataset(spark, sf_dir, 0)
+    masks, ml = _masks_long(spark)
+    ens = weighted_average(SCORERS[scorer](ds, ml), masks, ["row_id"])
+    test = ds.filter("split = 'test'").select("row_id", "outlier")
+    return binary_metrics(test.join(ens, "row_id").select("outlier", F.round("ensemble", 6).alias("score")))
+
+
+def bagging_metrics(spark, sf_dir, scorer: str):
+    ds = embedding_dataset(spark, sf_dir, 0)
+    avg = SCORERS[scorer](ds, bagging_masks_long(spark, D)).groupBy("row_id").agg(F.avg("score").alias("score"))
+    test = ds.filter("split = 'test'").select("row_id", "outlier")
+    return binary_metrics(test.join(avg, "row_id").select("outlier", F.round("score", 6).alias("score")))
+
+
+def _lof_views_sql(masks: str, k: int = LOF_K) -> str:
+    """CTEs up to ``per`` (subspace_id, row_id, s); ``masks``: CTE body (subspace_id, dim) of the kept dimensions."""
+    def pairs(a, b):
+        return (f"SELECT m.subspace_id, a.row_id AS qid, b.row_id AS rid, SQRT(SUM((a.v - b.v) * (a.v - b.v))) AS dist "
+                f"FROM xl a JOIN xl b ON a.dim = b.dim JOIN vm m ON m.dim = a.dim "
+                f"WHERE a.split = '{a}' AND b.split = '{b}' AND a.row_id <> b.row_id GROUP BY ALL")
+    near = "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY subspace_id, qid ORDER BY dist, rid) AS r FROM {}) WHERE r <= " + str(k)
+    return f"""
+ds AS ({emb_dataset_sql(0)}),
+xl AS (SELECT row_id, split, UNNEST(range(len(embedding))) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS v FROM ds),
+vm AS ({masks}),
+pt AS ({pairs('train', 'train')}), rt AS ({near.format('pt')}),
+kd AS (SELECT subspace_id, qid AS rid, MAX(dist) AS kdist FROM rt GROUP BY ALL),
+lrd AS (SELECT rt.subspace_id, rt.qid AS rid, 1.0 / (AVG(GREATEST(kdist, dist)) + 1e-10) AS lrd_o
+        FROM rt JOIN kd ON rt.rid = kd.rid AND rt.subspace_id = kd.subspace_id GROUP BY ALL),
+pe AS ({pairs('test', 'train')}), re AS ({near.format('pe')}),
+per AS (SELECT re.subspace_id, re.qid AS row_id, AVG(lrd_o) / (1.0 / (AVG(GREATEST(kdist, dist)) + 1e-10)) AS s
+        FROM re JOIN kd ON re.rid = kd.rid AND re.subspace_id = kd.subspace_id
+        JOIN lrd ON re.rid = lrd.rid AND re.subspace_id = lrd.subspace_id GROUP BY ALL)"""
+
+
+@register("subspace_lof_ensemble_metrics", f"""WITH {_lof_views_sql(f"SELECT subspace_id, dim FROM ({fixed_masks_long_sql(D)}) WHERE u = 1")},
+mw AS ({fixed_mask_weights_sql(8)}),
+scored AS (SELECT ds.outlier, ROUND(SUM(per.s * mw.proba) / SUM(mw.proba), 6) AS score
+           FROM per JOIN mw ON per.subspace_id = mw.subspace_id JOIN ds ON ds.row_id = per.row_id GROUP BY ds.row_id, ds.outlier),
+{metrics_sql('scored')} SELECT * FROM _metrics""")
+def q_subspace_lof_ensemble_metrics(spark, sf_dir):
+    """UDF-03 + MDL-22: the ensemble with LOF in the scorer's place."""
+    return ensemble_metrics(spark, sf_dir, "lof")
+
+
+@register("feature_bagging_lof_metrics", f"""WITH {_lof_views_sql(f'''SELECT subspace_id, dim FROM (
+  SELECT CAST(e AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim, {D // 2} + {h_sql('e', 13)} % {D - D // 2} AS k,
+         ROW_NUMBER() OVER (PARTITION BY e ORDER BY {h_sql("e || ':' || i", 14)}, i) AS r
+  FROM range(10) AS te(e), range({D}) AS ti(i)) WHERE r <= k''')},
+scored AS (SELECT ds.outlier, ROUND(AVG(per.s), 6) AS score FROM per JOIN ds ON ds.row_id = per.row_id GROUP BY ds.row_id, ds.outlier),
+{metrics_sql('scored')} SELECT * FROM _metrics""")
+def q_feature_bagging_lof_metrics(spark, sf_dir):
+    """MDL-11 with LOF in the scorer's place."""
+    return bagging_metrics(spark, sf_dir, "lof")

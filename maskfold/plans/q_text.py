@@ -286,11 +286,19 @@ def q_csv_safe_text(spark, sf_dir):
 N_TEXT_MASKS = 8
 
 
-def _text_views(spark, sf_dir):
+SPACES = ("word", "token")
+
+
+def _units(ws, space: str):
+    """MDL-17/18: the positions that masks cover, words or the pieces of the default tokenizer."""
+    return ws if space == "word" else F.flatten(F.transform(ws, lambda w: TX.token_pieces(w)))
+
+
+def _text_views(spark, sf_dir, space="word"):
     ds = _docs(spark, sf_dir)
     # Masked sums are profiles of the kept words joined: a fold inside the row, no row per word.
     # The divisor is the number of all words; a document without words has zero views.
-    w = ds.select("row_id", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
+    w = ds.select("row_id", _units(TX.words(TX.clean(F.coalesce("text", F.lit("")))), space).alias("ws"))
     w = w.select("row_id", F.size("ws").alias("nw"), "ws", _draws(F.col("ws")).alias("draws"))
     w = w.select("row_id", "nw", _joined("ws").alias("all"), *[
         F.array_join(_kept("ws", "draws", j), "").alias(f"kept{j}") for j in range(N_TEXT_MASKS)])
@@ -301,8 +309,8 @@ def _text_views(spark, sf_dir):
     return ds, materialize(w.select("row_id", mean("all").alias("full"), views.alias("views")))
 
 
-def text_subspace_scores(spark, sf_dir):
-    ds, v = _text_views(spark, sf_dir)
+def text_subspace_scores(spark, sf_dir, space="word"):
+    ds, v = _text_views(spark, sf_dir, space)
     from ..functions.vectors import l2_dist
     long = v.select("row_id", F.explode("views").alias("vw")).select(
         "row_id", F.col("vw.subspace_id").alias("subspace_id"), F.col("vw.x").alias("x"))
@@ -321,12 +329,20 @@ def text_subspace_scores(spark, sf_dir):
         F.round(F.col("ensemble") + F.col("distance"), 6).alias("score"))
 
 
-def _text_sql():
+def _units_sql(t, space):
+    words = _sql_words(_sql_clean(t))
+    if space == "word":
+        return words
+    return (f"flatten(list_transform({words}, lambda w: list_transform(range(CAST(GREATEST(1, CEIL(length(w) / 4)) AS BIGINT)), "
+            f"lambda i: substr(w, CAST(i * 4 + 1 AS INTEGER), 4))))")
+
+
+def _text_sql(space="word"):
     w = [840 // (j + 1) for j in range(N_TEXT_MASKS)]
     probs = " UNION ALL ".join(f"SELECT {j} AS subspace_id, {w[j] / float(sum(w))!r} AS proba" for j in range(N_TEXT_MASKS))
     return f"""ds AS ({_DOC_DS}),
-w AS (SELECT row_id, UNNEST({_sql_words(_sql_clean('text'))}) AS word,
-             UNNEST(range(len({_sql_words(_sql_clean('text'))}))) AS pos FROM ds),
+w AS (SELECT row_id, UNNEST({_units_sql('text', space)}) AS word,
+             UNNEST(range(len({_units_sql('text', space)}))) AS pos FROM ds),
 v AS (SELECT row_id, pos, {_sql_profile('word')} AS f FROM w),
 vl AS (SELECT row_id, pos, UNNEST(range(8)) AS k, UNNEST(f) AS x FROM v),
 nw AS (SELECT row_id, COUNT(*) AS n FROM v GROUP BY row_id),
@@ -369,6 +385,13 @@ def q_text_subspace_metrics(spark, sf_dir):
     return binary_metrics(text_subspace_scores(spark, sf_dir).select("score", "outlier"))
 
 
+@register("token_subspace_metrics", f"WITH {_text_sql('token')}, scored AS (SELECT score, outlier FROM res), "
+                                    f"{metrics_sql('scored')} SELECT * FROM _metrics")
+def q_token_subspace_metrics(spark, sf_dir):
+    """MDL-17 / MDL-18 token space: masks over token positions."""
+    return binary_metrics(text_subspace_scores(spark, sf_dir, "token").select("score", "outlier"))
+
+
 @register("stream_document_features", f"""WITH w AS (SELECT doc_id, lang, {_sql_words(_sql_clean('text'))} AS ws FROM documents)
 SELECT doc_id, lang, CAST(len(ws) AS INTEGER) AS n_words,
        ROUND(COALESCE(list_sum(list_transform(ws, lambda x: CAST(length(x) AS DOUBLE))), 0.0) / GREATEST(len(ws), 1), 6) AS mean_word_len,
