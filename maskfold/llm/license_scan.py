@@ -5,9 +5,9 @@ text.  Weights are tf * idf with idf over the templates' own words (smoothed), t
 in no template being that of a word in none.  A passage takes the template of highest cosine, if that
 reaches ``threshold``; ties go to the smaller template name.
 
-1. Prefix filter, exact: words are ordered rarest first; a template's suffix words whose weights alone
-   can't reach the threshold are left out, and a passage without any of the first words can't
-   match.  One pattern over whole texts finds the passages with such a word.
+1. Prefix filter, exact: a template's words are ordered longest first, since long words are rare in
+   texts; the last words, whose weights alone can't reach the threshold, are left out, and a passage without
+   any of the first words can't match.  One pattern over whole texts finds the passages with such a word.
 2. Those passages become (passage, word, tf) rows and meet the template weights by word.  Templates
    are a given, fixed list of a few hundred words, so that side is a broadcast.
 3. A file has the licence of its best passage.  A directory has the licence of the licence files (or, if there are none,
@@ -65,7 +65,7 @@ def first_words(vectors: dict[str, dict[str, float]], idf: dict[str, float], thr
     out = set()
     for v in vectors.values():
         rest = 1.0  # squared weight of the words not yet taken
-        for w in sorted(v, key=lambda w: (-idf[w], w)):
+        for w in sorted(v, key=lambda w: (-len(w), -idf[w], w)):
             if math.sqrt(max(0.0, rest)) < threshold - 1e-9:
                 break
             out.add(w)
