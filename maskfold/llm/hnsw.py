@@ -181,10 +181,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 120, blo
     """(query_id, rank, id, score): each query's nearest found."""
     wanted = usable(queries, id_col, vector_col).dropDuplicates(["id"])
     n = wanted.count()
-    shards = [r[0] for r in index.select("shard").collect()]  # one number per shard of some thousand rows
+    last = index.agg(F.max("shard")).first()[0]  # shards are numbered from 0; empty ones drop out of the join
     blocks = (wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, ceil(n / block_rows)))))
               .groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-              .withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>"))))
+              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>"))))
 
     def run(rows):
         import pandas as pd
