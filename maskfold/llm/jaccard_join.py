@@ -37,7 +37,7 @@ from .common import MAX_LONG, id_of, stage_table, text_of
 from .components import components
 
 LOW = np.uint64((1 << 48) - 1)
-TOKENS_A_RANGE = 3_200_000
+TOKENS_A_RANGE = 2_000_000
 CLASSES_A_GROUP = 20_000
 
 

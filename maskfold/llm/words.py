@@ -12,7 +12,7 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
