@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskfold.llm.common import id_of, stage_table, text_of
-from maskfold.llm.jaccard_join import jaccard_classes
+from maskfold.llm.common import MAX_LONG, id_of, stage_table, text_of
+from maskfold.llm.jaccard_join import hash_of, jaccard_classes
 from maskfold.llm.line_dedup import line_dedup
 from maskfold.llm.mixing import WORD, mix
 from maskfold.llm.packing import pack
@@ -40,11 +40,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents connected by links, the one with the smallest id stays.  Documents without words
-    have no links and stay; rows that repeat an id are one document and stay."""
+    have no links and stay; rows that repeat an id are one document and stay, unless their own text links to
+    a smaller id.  Each row without an id is a document of its own: where only such rows link, the one of
+    the smallest text hash stays."""
     ship_package(spark)
-    gone = stage_table(jaccard_classes(docs).where("component < id or id is null and component is not null").select(
-        id_of("id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, id_of() == F.col("__gone"), "left_anti")
+    rows = stage_table(jaccard_classes(docs).where("n > 0 and (component < id or id is null)").select(
+        id_of("id").alias("__gone"), F.col("text_hash").alias("__hash"), "part", "component"), "linked-rows")
+    kept = docs.join(rows.select("__gone", "__hash").distinct(), (id_of() == F.col("__gone")) & (hash_of() == F.col("__hash")),
+                     "left_anti")
+    firsts = stage_table(rows.where("component is null").groupBy("part").agg(F.min("__hash").alias("__hash")), "first-texts")
+    unnamed = docs.where(F.col("doc_id").isNull() | (F.col("doc_id") == MAX_LONG)).withColumn("__text_hash", hash_of())
+    one = (unnamed.join(firsts, F.col("__text_hash") == F.col("__hash"), "left_semi")
+           .groupBy("__text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return kept.unionByName(one)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ it has fewer).  Two documents link when |x & y| / |x | y| >= a / b.
 Tokens are 64-bit hashes, of which 48 bits and the range are kept.  Nothing is capped.
 
 Edge cases: null texts and texts without words have an empty set, size 0, and link with
-nothing; a null id sorts after every other; rows that repeat an id and text form one class;
+nothing; a null id sorts after every other, and rows that share it, or any id, link by their texts
+only; rows that repeat an id and text form one class;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -57,6 +58,10 @@ def chunk_sets(texts, k: int):
     return tokens, sizes, sums[0], sums[1]
 
 
+def hash_of(col: str = "text"):
+    return F.unhex(F.md5(text_of(col)))
+
+
 def members_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
@@ -65,10 +70,10 @@ def members_of(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for at, texts in column_chunks(b.column(1)):
                 _, sizes, k1, k2 = chunk_sets(texts, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *map(pa.array, (k1, k2, sizes))],
-                                                 names=["id", "k1", "k2", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)),
+                                                  *map(pa.array, (k1, k2, sizes))], names=["id", "text_hash", "k1", "k2", "n"])
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long")
+    return docs.mapInArrow(run, "id long, text_hash binary, k1 long, k2 long, n long")
 
 
 def shared_tokens(docs: DataFrame, k: int, ranges: int, groups: int) -> DataFrame:
@@ -245,19 +250,22 @@ def link_components(sets: DataFrame, a: int, b: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per document: id, n (size of its set), component (smallest id reachable by links)."""
+    """One row per document: id, text_hash (``hash_of`` its text), n (size of its set), part (the number of
+    its component) and component (smallest id reachable by links)."""
     a, b = threshold
     texts = docs.select(id_of(id_col).alias("id"), text_of(text_col).alias("text"))
-    members = stage_table(members_of(texts, k), "sets")
+    members = stage_table(members_of(texts.withColumn("text_hash", hash_of("text")), k), "sets")
     total, rows = members.agg(F.sum("n"), F.count("*")).first()
-    classes = stage_table(members.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("node")),
-                          "classes")
+    # ids may be null or repeat, so a class is a node under a number of its own, fixed by the writing
+    classes = stage_table(members.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("least"))
+                          .withColumn("node", F.monotonically_increasing_id()), "classes")
     ranges = max(8, ceil((total or 0) / TOKENS_A_RANGE))
     groups = max(8, ceil(rows / CLASSES_A_GROUP))
-    sets = stage_table(prefixes(shared_tokens(texts, k, ranges, groups), classes, groups, a, b), "prefixes")
-    linked = link_components(sets, a, b)
-    labels = stage_table(classes.join(linked, "node", "left").select(
-        "k1", "k2", F.coalesce("component", "node").alias("component")), "labels")
+    sets = stage_table(prefixes(shared_tokens(texts, k, ranges, groups), classes.drop("least"), groups, a, b), "prefixes")
+    linked = stage_table(link_components(sets, a, b).join(classes.select("node", "least"), "node"), "linked")
+    least = stage_table(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    labels = stage_table(classes.join(linked.drop("least").join(least, "component"), "node", "left").select(
+        "k1", "k2", F.coalesce("component", "node").alias("part"), F.coalesce("smallest", "least").alias("component")), "labels")
     return members.join(labels, ["k1", "k2"], "left").select(
-        F.nullif("id", F.lit(MAX_LONG)).alias("id"), "n",
+        F.nullif("id", F.lit(MAX_LONG)).alias("id"), "text_hash", "n", "part",
         F.nullif(F.coalesce("component", "id"), F.lit(MAX_LONG)).alias("component"))
