@@ -180,9 +180,8 @@ SELECT doc_id, CAST(SUM(n_tok) AS INTEGER) AS n_tokens, CAST(SUM(n_tok * m) AS I
        CAST(SUM(m) AS INTEGER) AS n_words_kept FROM t GROUP BY doc_id""")
 def q_word_token_masks(spark, sf_dir):
     """FN-04 + FN-06: a word-position mask (fixed mask 0, as long as the text)
-    expanded to token positions by each word's token count."""
-    d = table(spark, sf_dir, "documents").select("doc_id", TX.words(TX.clean("text")).alias("ws"))
-    d = d.filter(F.size("ws") > 0)
+    expanded to token positions by each word's token count.  A document without words has 0, 0, 0."""
+    d = table(spark, sf_dir, "documents").select("doc_id", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
     mask = F.transform(_draws(F.col("ws")), lambda d: _bit(d, 0))
     counts = F.transform("ws", lambda w: TX.token_count(w))
     ws, m = TX.align_words_mask(F.col("ws"), mask)
