@@ -13,7 +13,7 @@ Text: character references are decoded, white space inside a block becomes one s
 are joined in page order by one line feed.  Scripts, styles, head, and what a browser does not show are never text.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are repaired as far as
-blocks need it; rows that repeat are each returned; an empty table gives an empty result; other columns
+blocks need it (a head ends at what can't stand in it, other unseen elements at their parent's end or the next block); rows that repeat are each returned; an empty table gives an empty result; other columns
 stay as they are.
 """
 
@@ -37,7 +37,10 @@ INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i
 span strike strong sub sup time tt u var wbr""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea iframe noembed noframes xmp".split())
-UNSEEN = RAW | set("head noscript template svg math canvas audio video object select datalist button option map".split())
+UNSEEN = RAW | set("noscript template svg math canvas audio video object select datalist button option map".split())
+# elements that end an open drawing or formula
+BREAKOUT = set("""address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr
+li main menu nav ol p pre section table tbody td tfoot th thead tr ul""".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
              "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -60,7 +63,10 @@ class Node:
 class Page:
     """The block elements and text blocks of a page, parents first."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = True):
+        self.labelled = labelled  # whether attributes y are labels
+        self.ends: dict[str, dict[int, int]] = {}  # per tag of unseen elements: place of a start tag -> place after its end tag
+        self.endless: set[tuple] = set()  # elements around an unclosed one of which none ends later
         self.nodes = [Node("#root", -1, label=1)]
         self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones too, and their node
         self.block: Node | None = None
@@ -81,28 +87,71 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag == "head":  # what may stand in a head is unseen by itself; anything else ends the head
+                continue
             if closing:
                 self.close(tag)
             elif tag in UNSEEN and not attributes.endswith("/"):
-                at = self.skip(source, at, tag)
+                at = self.skip(source, found.start(), at, tag)
             else:
                 self.open(tag, attributes)
 
-    def skip(self, source: str, at: int, tag: str) -> int:
+    def skip(self, source: str, start: int, at: int, tag: str) -> int:
         """The place after the end tag of an element that isn't shown."""
-        if tag in ("noframes", "head", "option", "map") or tag not in RAW:
-            stop = re.compile(rf"<(/?){tag}\b[^>]*>", re.I) if tag != "head" else re.compile(r"<(/)head\b[^>]*>|(?=<body\b)", re.I)
-            depth = 1
-            while found := stop.search(source, at):
-                if found.end() == found.start() and tag == "head":
+        if tag == "option":
+            found = re.compile(r"</?option\b[^>]*>", re.I).search(source, at)
+            return found.end() if found else at
+        if (end := self.end_of(source, start, at, tag)) is not None:
+            return end
+        return at if tag in ("select", "button", "map", "object", "video", "audio") else self.unclosed(source, at, tag)
+
+    def end_of(self, source: str, start: int, at: int, tag: str) -> int | None:
+        """The place after the end tag of an unseen element, None if it has none.  Each tag is looked up in one pass."""
+        if tag in RAW and tag != "noframes":
+            if self.ends.get(tag) == {}:  # none from an earlier place on
+                return None
+            found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            if not found:
+                self.ends[tag] = {}
+            return found.end() if found else None
+        if tag not in self.ends:
+            opened: list[int] = []
+            self.ends[tag] = {}
+            for found in re.finditer(rf"<(/?){tag}\b[^>]*>", source, re.I):
+                if found[1] and opened:
+                    self.ends[tag][opened.pop()] = found.end()
+                elif not found[1] and not found[0].endswith("/>"):
+                    opened.append(found.start())
+        return self.ends[tag].get(start)
+
+    def unclosed(self, source: str, at: int, tag: str) -> int:
+        """Where an unseen element without an end tag ends: at the end of an element around it or at the
+        first element that makes a block.  With neither, only a script or the like takes the rest."""
+        around = {name for name, _ in self.stack} | {"head", "body", "html"}
+        inside: dict[str, int] = {}
+        begin, kind = at, (tag in ("svg", "math"), frozenset(around))
+        if kind in self.endless:
+            return len(source) if tag in RAW else begin
+        while found := TOKEN.search(source, at):
+            at = found.end()
+            closing, name, attributes = found.groups()
+            if name is None:
+                continue
+            name = name.lower()
+            if closing:
+                if inside.get(name):
+                    inside[name] -= 1
+                elif name in around:
                     return found.start()
-                at = found.end()
-                depth += -1 if found[1] else 1
-                if not depth or tag in ("head", "option"):
-                    return at
-            return at if tag in ("select", "button", "option", "map", "object", "video", "audio") else len(source)
-        found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-        return found.end() if found else len(source)
+            elif name in UNSEEN:
+                at = self.end_of(source, found.start(), at, name) or at
+            elif name in INLINE:
+                if name not in VOID and not attributes.endswith("/"):
+                    inside[name] = inside.get(name, 0) + 1
+            elif re.fullmatch("[a-z][a-z0-9]*", name) and not (tag in ("svg", "math") and name not in BREAKOUT):
+                return found.start()
+        self.endless.add(kind)
+        return len(source) if tag in RAW else begin
 
     def open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -120,8 +169,8 @@ class Page:
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id", "role"):
                     names += [x.lower().rstrip("s") or x for x in NAME.findall(value)]
-                elif key == "y":
-                    label = int(value)
+                elif key == "y" and self.labelled:
+                    label = {"0": 0, "1": 1}.get(value)
                 elif hidden or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     names.append("#hidden")
             parent = node
@@ -232,7 +281,7 @@ class Model:
     def text(self, source: str | None) -> str:
         if not source:
             return ""
-        page = Page(source)
+        page = Page(source, labelled=False)
         content, _ = self.marginals(page.nodes)
         return "\n".join(t for i, t in page.blocks() if content[i] >= 0.5)
 
