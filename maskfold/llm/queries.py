@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maskfold.sources.tables import table
 
 from .chat_format import preference_format
+from .conversation_repair import damage, repair, rows_of
 from .exact_dedup import exact_dedup
 from .hnsw import nearest
 from .html_content import main_text
@@ -15,7 +16,9 @@ from .license_scan import TEMPLATES, WORD, inherit, scan, weigh
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
+from .token_counts import token_count
 from .toxicity import fit_toxicity, held_out, toxicity_score
+from .whitening import whitening
 
 QUERIES: dict[str, tuple] = {}
 
@@ -253,3 +256,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
               for side in ("chosen", "rejected")}
     return out.withColumns(digits).select("chosen", "rejected", "n_common", "prompt", "chosen_text", "chosen_mask",
                                           "rejected_text", "rejected_mask")
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers_of
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"),
+        token_count(tokenizers_of.path("piece_bpe_32k.model")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where the exact sum is beyond a long; ``deviation_exact`` has its digits."""
+    return whitening(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation_exact").try_cast("long").alias("deviation"),
+        "whitened", "explained", "identity_error", "deviation_exact", "residual")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(rows_of(table(spark, sf_dir, "conversations"))))
