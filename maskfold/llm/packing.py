@@ -10,7 +10,9 @@ nothing is shuffled and a lost task is simply packed again:
   that is cut to the gap;
 * what can't fill a window waits for the next documents; at the end of a task the last
   tokens become windows of power-of-two lengths.  So no sequence needs padding;
-* windows of one tier are dealt to step groups of equal token counts.
+* the written windows of one tier are dealt to step groups of equal token counts (``balance``): windows
+  are counted by task and tier, and the counts before a task give its first window's number, so that one group per
+  tier at most is short, whatever the number of tasks.
 
 A task holds at most about ``flush_tokens`` tokens and one document at a time.
 
@@ -25,24 +27,21 @@ import re
 from bisect import bisect_left, bisect_right, insort
 from functools import cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import text_of
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
-          "offset long, tier int, step_group long")
-CACHE_WORDS = 500_000
+          "offset long, tier int, task int, in_tier long")
 LATIN = re.compile("[\\x00-\u024f]*")
 
 
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of a word with the space before it.
+class TextIds:
+    """Token ids (little-endian unsigned 32-bit) of whole texts.
 
-    Byte-level pre-tokenisation starts a new token at a white-space run, so a text may be
-    cut before every space that follows a character that isn't white space.  A word for which that
-    does not hold has the value None.  The first ``CACHE_WORDS`` words are kept, later ones
-    only for their batch.  ``ranks_file`` is the same vocabulary for the faster encoder, which
-    gets the Latin words; all others go to the tokenizer itself."""
+    ``ranks_file`` is the tokenizer's vocabulary for a faster encoder of the same byte-pair merges, which
+    gets the texts of Latin letters alone; there both cut words alike.  All others, and those that may hold a
+    special token, go to the tokenizer itself."""
 
     def __init__(self, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None):
         import os
@@ -55,46 +54,23 @@ class WordIds(dict):
             import tiktoken
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
-    def encode(self, parts: list[str]) -> list[bytes]:
+    def documents(self, texts: list[str]) -> list[bytes]:
         from array import array
-        if self.fast is None:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        out = [array("I", self.fast(p)).tobytes() if LATIN.fullmatch(p) and "<|" not in p else None for p in parts]
+        out: list = [None] * len(texts)
+        if self.fast is not None:
+            out = [self.fast(t).astype("<u4", copy=False).tobytes() if LATIN.fullmatch(t) and "<|" not in t else None for t in texts]
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def documents(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        split = [t.split(" ") for t in texts]
-        heads = self.encode([p[0] for p in split])
-        new = list(set().union(*(p[1:] for p in split)).difference(self))
-        now = {w: ids if w and not w[-1].isspace() else None for w, ids in zip(new, self.encode([" " + w for w in new]))}
-        if len(self) < CACHE_WORDS:
-            self.update(now)
-            now = self
-        else:
-            for w in set().union(*(p[1:] for p in split)).intersection(self):
-                now[w] = self[w]
-        out = []
-        for t, parts, head in zip(texts, split, heads):
-            try:
-                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                    raise TypeError
-                out.append(head + b"".join(map(now.__getitem__, parts[1:])))
-            except TypeError:  # some space follows white space
-                first, *rest = re.split(r"(?<=\S) ", t)
-                out.append(b"".join(self.encode([first, *(" " + p for p in rest)])))
-        return out
-
 
 @cache
-def word_ids(*files) -> WordIds:
-    """One per Python worker: its words serve the following tasks too."""
-    return WordIds(*files)
+def text_ids(*files) -> TextIds:
+    """One per Python worker: it serves the following tasks too."""
+    return TextIds(*files)
 
 
 class Packer:
@@ -181,10 +157,11 @@ class Packer:
         return done
 
 
-def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024,
-         tiers: int = 3, end_id: int = 0, step_tokens: int = 1 << 16, flush_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None,
+         id_col: str = "doc_id", text_col: str = "text", window: int = 1024,
+         tiers: int = 3, end_id: int = 0, flush_tokens: int = 1 << 20) -> DataFrame:
     """One row per piece: its token ids (little-endian unsigned 32-bit), where it lies in its
-    document and in its sequence, the sequence's tier (its length) and step group."""
+    document and in its sequence, the sequence's tier (its length) and its number within task and tier."""
 
     def run(batches):
         import struct
@@ -192,11 +169,12 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pa
         import pyarrow as pa
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        words, packer = word_ids(tokenizer_file, ranks_file, pattern), Packer(window, tiers, flush_tokens)
-        end, sequence, in_tier = struct.pack("<I", end_id), base, {}
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
+                 pa.int64()]
+        encoder, packer = text_ids(tokenizer_file, ranks_file, pattern), Packer(window, tiers, flush_tokens)
+        end, sequence, in_tier = struct.pack("<I", end_id), task << 33, {}
 
         def rows():
             nonlocal sequence
@@ -204,10 +182,9 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pa
             for tier, pieces in packer.take():
                 offset, n = 0, in_tier.get(tier, 0)
                 in_tier[tier] = n + 1
-                group = base + (tier.bit_length() << 28) + n * tier // step_tokens
                 for (doc_id, ids), start, length in pieces:
                     for c, v in zip(cols, (doc_id, start, length, ids[4 * start: 4 * (start + length)], len(ids) // 4,
-                                           sequence, offset, tier, group)):
+                                           sequence, offset, tier, task, n)):
                         c.append(v)
                     offset += length
                 sequence += 1
@@ -219,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pa
                 part = batch.slice(at, 256)
                 at += 256
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for doc_id, tokens in zip(ids, words.documents(texts)):
+                for doc_id, tokens in zip(ids, encoder.documents(texts)):
                     tokens += end
                     packer.add((doc_id, tokens), len(tokens) // 4)
                 if packer.done:
@@ -228,3 +205,13 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pa
         yield rows()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def balance(packed: DataFrame, step_tokens: int = 1 << 16) -> DataFrame:
+    """``packed`` (a written table: tasks number their windows as they run) with step_group instead of task and in_tier."""
+    windows = packed.where("offset = 0").groupBy("tier", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = windows.select("tier", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))  # tasks x tiers rows
+    number = (F.col("__first") + F.col("in_tier")) * F.col("tier")
+    return packed.join(first, ["tier", "task"]).withColumn(
+        "step_group", F.shiftleft(F.col("tier").cast("long"), 40) + F.floor(number / step_tokens)).drop("__first", "task", "in_tier")

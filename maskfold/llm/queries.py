@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskfold.sources.tables import table
 
+from .common import stage_table, text_of
 from .chat_format import preference_format
 from .conversation_repair import damage, repair, rows_of
 from .exact_dedup import exact_dedup
@@ -15,7 +16,7 @@ from .jaccard_join import jaccard_classes
 from .license_scan import TEMPLATES, WORD, inherit, scan, weigh
 from .line_dedup import line_dedup
 from .mixing import mix
-from .packing import pack
+from .packing import balance, pack
 from .token_counts import token_count
 from .toxicity import fit_toxicity, held_out, toxicity_score
 from .whitening import whitening
@@ -122,11 +123,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of the packed documents with a checksum instead of their ids, dealt to step groups."""
+    pieces = pack(docs, **tokenizer_files()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return balance(stage_table(pieces, "pieces")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), **tokenizer_files()).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
-        F.col("offset"), "tier", "step_group")
+    return packed_pieces(table(spark, sf_dir, "documents"))
 
 
 @query("op7_toxicity")

@@ -1,11 +1,11 @@
-"""Round trips of the packer and the fast word encoder."""
+"""Round trips of the packer and the fast encoder."""
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from maskfold.llm.packing import Packer, WordIds, pack
+from maskfold.llm.packing import Packer, TextIds, balance, pack
 
 P = pytest.importorskip("public_tokenizers")
 FILES = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -14,17 +14,18 @@ ODD = ["", " ", "a  b", "  a   b", "x <|endoftext|> y\n z", "a<|endoftext|>b  c"
 
 
 def ids(texts):
-    t = WordIds(FILES[0]).tokenizer
+    t = TextIds(FILES[0]).tokenizer
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("files", [FILES, FILES[:1]])
-def test_words_encode_like_whole_texts(files):
+def test_both_encoders_agree(files):
     draw = random.Random(2)
     texts = ODD + ["".join(draw.choice(["ab", " ", "c.", "\n", "é", "1", "  ", "'s", "\t"]) for _ in range(80)) for _ in range(200)]
-    words = WordIds(*files)
-    assert words.documents(texts) == ids(texts)
-    assert words.documents(texts) == ids(texts)  # from the cache
+    latin = [chr(c) for c in range(0x250)]
+    texts += ["".join(draw.choices(latin, k=40)) for _ in range(3000)]
+    encoder = TextIds(*files)
+    assert encoder.documents(texts) == ids(texts)
 
 
 @pytest.mark.parametrize("flush", [1, 5000, 10**9])
@@ -66,3 +67,18 @@ def test_pack(edge, empty, spark):
         joined = b"".join(b for _, b, _ in sorted(documents[i]))
         assert joined == tokens + bytes(4) and zlib.crc32(joined) and all(n == len(joined) // 4 for *_, n in documents[i])
     assert pack(empty, *FILES).count() == 0
+
+
+def test_short_step_groups_do_not_grow_with_the_tasks(make_docs, tmp_path, spark):
+    """Of each tier, all step groups but one hold as many tokens as a step, however many tasks packed."""
+    docs = make_docs([(i, "word " * (50 + 37 * i % 900), "a") for i in range(300)])
+    short = {}
+    for tasks in (2, 16):
+        at = str(tmp_path / str(tasks))
+        pack(docs.repartition(tasks), *FILES).write.parquet(at)
+        got = balance(spark.read.parquet(at), step_tokens=4096)
+        sums = got.groupBy("tier", "step_group").sum("length").collect()
+        assert sum(r[2] for r in sums) == spark.read.parquet(at).groupBy().sum("length").first()[0]
+        assert len({r.step_group for r in sums}) == len(sums) and all(r[2] <= 4096 for r in sums)
+        short[tasks] = {t: sum(r[2] < 4096 for r in sums if r.tier == t) for t in {r.tier for r in sums}}
+    assert all(n <= 1 for by in short.values() for n in by.values())
