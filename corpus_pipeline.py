@@ -13,8 +13,7 @@ from maskfold.llm.common import MAX_LONG, id_of, stage_table, text_of
 from maskfold.llm.jaccard_join import hash_of, jaccard_classes
 from maskfold.llm.line_dedup import line_dedup
 from maskfold.llm.mixing import WORD, mix
-from maskfold.llm.packing import pack
-from maskfold.llm.queries import tokenizer_files
+from maskfold.llm.queries import packed_pieces
 from maskfold.llm.toxicity import fit_toxicity, toxicity_score
 from maskfold.session import ship_package
 from maskfold.sources.tables import table
@@ -74,8 +73,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pack(docs, **tokenizer_files()).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    return packed_pieces(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", dedup_lines), ("jaccard_join", jaccard), ("mixing", mixing), ("packing", packing)]
