@@ -5,9 +5,11 @@ it has fewer).  Two documents link when |x & y| / |x | y| >= a / b.
 
 1. Sets.  One pass hashes each whole text to its set's size and 128-bit fingerprint.
    Documents of equal sets are one class from here on, so copies never meet in pairs.
-2. Document frequencies.  A second pass sends each class's tokens, packed, to ranges of the
-   hash space.  A range counts its tokens and sends back only those that two or more classes
-   hold: an intersection can have no others.
+2. Document frequencies.  One text of each class is hashed again.  Chunks of some ``CHUNK_TOKENS`` tokens send them,
+   packed, to ranges of the hash space: 6 bytes a token and its holder's place in the chunk (3 bytes, of which
+   two mostly compress away), whatever the number of ranges.  A token that several classes of a chunk hold
+   goes once, with their number; so a passage that a third of all texts share is one entry a chunk.  A range adds
+   the numbers up and sends back only tokens that two or more classes hold: an intersection can have no others.
 3. Prefixes.  Tokens are ordered rarest first.  Two linked sets share a token among their first
    n - ceil(a n / b) + 1, so a class whose prefix is all tokens of its own has no links and
    leaves.  That is most classes; passages that many documents share stay at the end of the order.
@@ -19,7 +21,10 @@ it has fewer).  Two documents link when |x & y| / |x | y| >= a / b.
    aren't connected yet, expanded to members.  Every link between different components is found, so
    the components are exact.
 
-Tokens are 64-bit hashes, of which 48 bits and the range are kept.  Nothing is capped.
+Tokens are 64-bit hashes, of which 48 bits and the range are kept: 51 bits for small tables, 63 for 100 TB (some
+8 million ranges).  Two sets of n tokens share one by chance with a probability of n * n / 2 ** bits (at 100 TB, 300 tokens: 1e-14),
+and it matters only for a pair that is one token short of a link.  A row of a chunk for a range has some 60 bytes beside
+its tokens; from about 10 TB on a row holds a few tokens only and that share shows.  Nothing is capped.
 
 Edge cases: null texts and texts without words have an empty set, size 0, and link with
 nothing; a null id sorts after every other, and rows that share it, or any id, link by their texts
@@ -37,9 +42,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import MAX_LONG, id_of, stage_table, text_of
 from .components import components
 
-LOW = np.uint64((1 << 48) - 1)
+WIDTH = 6  # bytes of a token that are sent beside its range
+LOW = np.uint64((1 << 8 * WIDTH) - 1)
 TOKENS_A_RANGE = 2_000_000
-CLASSES_A_GROUP = 20_000
+CHUNK_TOKENS, CHUNK_CLASSES = 2_000_000, 1 << 23
+DEALT = ("to long, chunk long, tokens binary, who binary, many binary, counts binary, nodes binary, sizes binary, "
+         "own binary, own_who binary")
+SHARED = ("chunk long, tokens binary, who binary, dfs binary, many binary, dfs_many binary, nodes binary, sizes binary, "
+          "own binary, own_who binary")
 
 
 def chunk_sets(texts, k: int):
@@ -76,89 +86,147 @@ def members_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, text_hash binary, k1 long, k2 long, n long")
 
 
-def shared_tokens(docs: DataFrame, k: int, ranges: int, groups: int) -> DataFrame:
-    """(g, keys, counts, tokens, dfs): per range and group of classes, the tokens of its classes
-    that two or more classes hold."""
-    def deal(batches):
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, byte by byte: equal high bytes follow each other and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def numbers(data, width: int) -> np.ndarray:
+    """The numbers of several ``planes``, one after the other."""
+    parts = [np.frombuffer(d, np.uint8).reshape(width, -1).T for d in data]
+    out = np.zeros((sum(map(len, parts)), 8), np.uint8)
+    if parts:
+        out[:, :width] = np.concatenate(parts)
+    return out.view("<u8").ravel()
+
+
+def joined(data, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind)
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers starts, and its length."""
+    start = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return start, np.diff(np.concatenate((start, [len(x)])))
+
+
+def representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text): one text of each class."""
+    texts = docs.groupBy("id", "text_hash").agg(F.first("text").alias("text"))  # rows that repeat an id and text fold here
+    return texts.join(classes.select("first.id", "first.text_hash", "node"), ["id", "text_hash"]).select("node", "text")
+
+
+def deal(texts: DataFrame, k: int, ranges: int) -> DataFrame:
+    """Each chunk of classes (node, text) sends every range of the hash space the tokens that one class of the chunk
+    holds, with the class's place in the chunk, and once those that several hold, with their number.
+    One row a chunk is for the chunk itself: its nodes, their sizes, and who holds the latter tokens."""
+    def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        from .words import U, column_chunks, shingle_sets
+        names = [f.split()[0] for f in DEALT.split(", ")]
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 8)
+        chunk = TaskContext.get().partitionId() << 32
+        nodes, sets, held = [], [], 0
+
+        def rows():
+            sizes = np.array([len(x) for x in sets], np.int64)
+            tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            where = ((tokens >> U(32)) * U(ranges)) >> U(32)
+            tokens = (tokens & LOW) | (where << U(8 * WIDTH))
+            order = np.argsort(tokens, kind="stable")
+            start, count = runs(tokens[order])
+            several = np.repeat(count > 1, count)  # in token order
+            own, own_who = tokens[order[several]], who[order[several]]
+            many, counts = tokens[order[start[count > 1]]], count[count > 1]
+            also = where[order[start[count > 1]]]
+            alone = np.sort(order[~several])  # by class again
+            by_range = alone[np.argsort(where[alone], kind="stable")]
+            tokens, who, where = tokens[by_range], who[by_range], where[by_range]
+            by_range = np.argsort(also, kind="stable")
+            many, counts, also = many[by_range], counts[by_range], also[by_range]
+            out = [(chunk % ranges, chunk, None, None, None, None, np.array(nodes, np.int64).tobytes(), sizes.tobytes(),
+                    own.tobytes(), planes(own_who, 3))]
+            here = np.union1d(where, also)
+            cuts = zip(here.tolist(), np.searchsorted(where, here), np.searchsorted(where, here, "right"),
+                       np.searchsorted(also, here), np.searchsorted(also, here, "right"))
+            for r, a, z, c, d in cuts:
+                out.append((r, chunk, planes(tokens[a:z], WIDTH), planes(who[a:z], 3), planes(many[c:d], WIDTH),
+                            planes(counts[c:d], 4), None, None, None, None))
+            for at in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at:at + 4096]), kinds)], names=names)
 
-        from .words import U, column_chunks
         for b in batches:
-            for _, texts in column_chunks(b.column(1)):
-                tokens, sizes, k1, k2 = chunk_sets(texts, k)
-                first = np.zeros(len(sizes), bool)
-                first[np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1]] = True
-                own = np.repeat(np.arange(len(sizes)), sizes)
-                tokens, own = tokens[first[own]], own[first[own]]
-                if not len(tokens):
-                    continue
-                where = (((tokens >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                tokens, own, where = tokens[order], own[order], where[order]
-                start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (where[1:] != where[:-1]))))
-                counts = np.diff(np.concatenate((start, [len(own)]))).astype(np.int32)
-                keys = np.stack([k1[own[start]], k2[own[start]]], 1)
-                packed = (tokens & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                here = np.unique(where)
-                run_cut = np.searchsorted(where[start], here, side="left").tolist() + [len(start)]
-                tok_cut = np.searchsorted(where, here, side="left").tolist() + [len(where)]
-                rows = [(int(r), keys[a:z].tobytes(), counts[a:z].tobytes(), packed[c:d].tobytes())
-                        for r, a, z, c, d in zip(here, run_cut, run_cut[1:], tok_cut, tok_cut[1:])]
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 names=["range", "keys", "counts", "tokens"])
+            for at, part in column_chunks(b.column(1)):
+                new = shingle_sets(part, k)
+                nodes += b.column(0).slice(at, len(part)).to_pylist()
+                sets += new
+                held += sum(map(len, new))
+                if held > CHUNK_TOKENS or len(sets) > CHUNK_CLASSES:
+                    yield from rows()
+                    chunk, nodes, sets, held = chunk + 1, [], [], 0
+        if sets:
+            yield from rows()
+
+    return texts.mapInArrow(run, DEALT)
+
+
+def shared_tokens(dealt: DataFrame) -> DataFrame:
+    """What each chunk needs of the ranges: its tokens that two or more classes hold, and how many do.  A range
+    gets a token once a chunk at most, so no task holds all occurrences of one."""
+    names = [f.split()[0] for f in SHARED.split(", ")]
 
     def count(rows):
         import pandas as pd
 
-        keys = np.frombuffer(b"".join(rows["keys"]), np.int64).reshape(-1, 2)
-        counts = np.frombuffer(b"".join(rows["counts"]), np.int32)
-        raw = np.frombuffer(b"".join(rows["tokens"]), np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(raw), 8), np.uint8)
-        tokens[:, :6] = raw
-        tokens = tokens.view("<u8").ravel() | np.uint64((int(rows["range"].iloc[0]) % 65536) << 48)
-        first = np.zeros(len(keys), bool)  # a class's tokens count once
-        first[np.unique(keys, axis=0, return_index=True)[1]] = True
-        run = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
-        kept = first[run]
-        tokens, run = tokens[kept], run[kept]
+        lists = rows[rows["nodes"].isna()]
+        heads = rows[rows["nodes"].notna()].reindex(columns=names)
+        if not len(lists):
+            return heads
+        chunk = lists["chunk"].tolist()
+        top = np.uint64((int(lists["to"].iloc[0]) << 8 * WIDTH) % 2**64)
+        one, many = numbers(lists["tokens"], WIDTH) | top, numbers(lists["many"], WIDTH) | top
+        who, counts = numbers(lists["who"], 3), numbers(lists["counts"], 4)
+        of_one = np.repeat(np.arange(len(chunk)), [len(x) // WIDTH for x in lists["tokens"]])
+        of_many = np.repeat(np.arange(len(chunk)), [len(x) // WIDTH for x in lists["many"]])
+        tokens = np.concatenate((one, many))
         order = np.argsort(tokens, kind="stable")
-        start = np.flatnonzero(np.concatenate(([True], tokens[order][1:] != tokens[order][:-1])))
-        length = np.diff(np.concatenate((start, [len(order)])))
-        df = np.zeros(len(order), np.uint32)
-        df[order] = np.repeat(length, length)
-        many = df > 1
-        tokens, run, df = tokens[many], run[many], df[many]
-        group = keys[run, 0] % groups
-        order = np.lexsort((run, group))
-        tokens, run, df, group = tokens[order], run[order], df[order], group[order]
-        out = []
-        for g in np.unique(group):
-            a, z = np.searchsorted(group, g, "left"), np.searchsorted(group, g, "right")
-            own, size = np.unique(run[a:z], return_counts=True)
-            out.append((int(g), keys[own].tobytes(), size.astype(np.int32).tobytes(), tokens[a:z].tobytes(), df[a:z].tobytes()))
-        return pd.DataFrame(out, columns=["g", "keys", "counts", "tokens", "dfs"])
-
-    return (docs.mapInArrow(deal, "range long, keys binary, counts binary, tokens binary")
-            .groupBy("range").applyInPandas(count, "g long, keys binary, counts binary, tokens binary, dfs binary"))
-
-
-def prefixes(shared: DataFrame, classes: DataFrame, groups: int, a: int, b: int) -> DataFrame:
+        start, length = runs(tokens[order])
+        held = np.concatenate((np.ones(len(one), np.int64), counts.astype(np.int64)))
+        df = np.zeros(len(tokens), np.int64)
+        df[order] = np.repeat(np.add.reduceat(held[order], start), length)
+        df = np.minimum(df, 2**32 - 1).astype("<u4")
+        df, df_many = df[:len(one)], df[len(one):]
+        kept = df > 1
+        one, of_one, who, df = one[kept], of_one[kept], who[kept], df[kept]
+        found = []
+        for i in np.union1d(of_one, of_many).tolist():
+            a, z = np.searchsorted(of_one, (i, i + 1))
+            c, d = np.searchsorted(of_many, (i, i + 1))
+            found.append((chunk[i], one[a:z].tobytes(), planes(who[a:z], 3), df[a:z].tobytes(), many[c:d].tobytes(),
+                          df_many[c:d].tobytes()))
+        found = pd.DataFrame(found, columns=names[:6]).reindex(columns=names)
+        return pd.concat([heads, found]) if len(heads) else found
+
+    return dealt.groupBy("to").applyInPandas(count, SHARED)
+
+
+def prefixes(shared: DataFrame, a: int, b: int) -> DataFrame:
     """(node, n, f, tokens, prefix) of the classes that may have links: f tokens that others hold too,
-    and those of them in the prefix, rarest first."""
-    def run(shared, classes):
+    and those of them in the prefix, rarest first.  A chunk's classes are taken together."""
+    def run(rows):
         import pandas as pd
 
-        if not len(shared):
-            return pd.DataFrame([], columns=["node", "n", "f", "tokens", "prefix"], dtype=object)
-        keys = pd.DataFrame(np.frombuffer(b"".join(shared["keys"]), np.int64).reshape(-1, 2), columns=["k1", "k2"])
-        counts = np.frombuffer(b"".join(shared["counts"]), np.int32)
-        tokens = np.frombuffer(b"".join(shared["tokens"]), np.uint64)
-        df = np.frombuffer(b"".join(shared["dfs"]), np.uint32)
-        classes = classes.reset_index(drop=True)
-        at = keys.merge(classes.assign(at=classes.index), "left", ["k1", "k2"])["at"].to_numpy()
-        own = np.repeat(at, counts)
-        n = classes["n"].to_numpy()
+        head, lists = rows[rows["nodes"].notna()].iloc[0], rows[rows["nodes"].isna()]
+        nodes, n = np.frombuffer(head["nodes"], np.int64), np.frombuffer(head["sizes"], np.int64)
+        many = joined(lists["many"], np.uint64)
+        order = np.argsort(many)
+        several = np.frombuffer(head["own"], np.uint64)  # all of them are in ``many``: their ranges know them
+        of_several = order[np.searchsorted(many, several, sorter=order)]
+        tokens = np.concatenate((joined(lists["tokens"], np.uint64), several))
+        df = np.concatenate((joined(lists["dfs"], "<u4"), joined(lists["dfs_many"], "<u4")[of_several]))
+        own = np.concatenate((numbers(lists["who"], 3), numbers([head["own_who"]], 3))).astype(np.int64)
         f = np.bincount(own, minlength=len(n))
         prefix = n + (-a * n) // b + 1  # n - ceil(a n / b) + 1
         alone = n - f
@@ -170,13 +238,11 @@ def prefixes(shared: DataFrame, classes: DataFrame, groups: int, a: int, b: int)
         who = np.flatnonzero(stays)
         lo = np.searchsorted(own, who, "left")
         hi = np.searchsorted(own, who, "right")
-        return pd.DataFrame({"node": classes["node"].to_numpy()[who], "n": n[who], "f": f[who],
+        return pd.DataFrame({"node": nodes[who], "n": n[who], "f": f[who],
                              "tokens": pd.Series([tokens[x:y] for x, y in zip(lo, hi)], dtype=object),
                              "prefix": pd.Series([tokens[x:x + m] for x, m in zip(lo, (prefix - alone)[who])], dtype=object)})
 
-    grouped = classes.withColumn("g", F.pmod("k1", F.lit(groups)))
-    return shared.groupBy("g").cogroup(grouped.groupBy("g")).applyInPandas(
-        run, "node long, n long, f long, tokens array<long>, prefix array<long>")
+    return shared.groupBy("chunk").applyInPandas(run, "node long, n long, f long, tokens array<long>, prefix array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -253,15 +319,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3
     """One row per document: id, text_hash (``hash_of`` its text), n (size of its set), part (the number of
     its component) and component (smallest id reachable by links)."""
     a, b = threshold
-    texts = docs.select(id_of(id_col).alias("id"), text_of(text_col).alias("text"))
-    members = stage_table(members_of(texts.withColumn("text_hash", hash_of("text")), k), "sets")
-    total, rows = members.agg(F.sum("n"), F.count("*")).first()
+    texts = docs.select(id_of(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", hash_of("text"))
+    members = stage_table(members_of(texts, k), "sets")
     # ids may be null or repeat, so a class is a node under a number of its own, fixed by the writing
-    classes = stage_table(members.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("least"))
-                          .withColumn("node", F.monotonically_increasing_id()), "classes")
-    ranges = max(8, ceil((total or 0) / TOKENS_A_RANGE))
-    groups = max(8, ceil(rows / CLASSES_A_GROUP))
-    sets = stage_table(prefixes(shared_tokens(texts, k, ranges, groups), classes.drop("least"), groups, a, b), "prefixes")
+    classes = stage_table(
+        members.where("n > 0").groupBy("k1", "k2").agg(
+            F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("first"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    ranges = max(8, ceil((classes.agg(F.sum("n")).first()[0] or 0) / TOKENS_A_RANGE))
+    dealt = deal(representatives(texts, classes), k, ranges)
+    sets = stage_table(prefixes(shared_tokens(dealt), a, b), "prefixes")
     linked = stage_table(link_components(sets, a, b).join(classes.select("node", "least"), "node"), "linked")
     least = stage_table(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
     labels = stage_table(classes.join(linked.drop("least").join(least, "component"), "node", "left").select(

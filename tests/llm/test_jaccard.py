@@ -83,3 +83,34 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **{i: 6 for i in (6, 7, 8, 10, 11, 12)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_chunks_many_ranges_and_a_hot_shingle(make_docs, monkeypatch):
+    """A shingle in a third of all texts goes to its range once a chunk, with the number of its holders."""
+    import maskfold.llm.jaccard_join as J
+    monkeypatch.setattr(J, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(J, "TOKENS_A_RANGE", 150)
+    draw = random.Random(8)
+    hot = "this very line stands everywhere"
+    rows = []
+    for i in range(120):
+        own = " ".join(f"w{draw.randrange(400)}" for _ in range(draw.choice([6, 20, 60])))
+        rows.append((i, f"{hot} {own}" if i % 3 == 0 else own, "a"))
+        if i % 7 == 0:
+            rows += [(1000 + i, rows[-1][1] + " end", "b"), (2000 + i, rows[-1][1].upper(), "b")]
+    docs = make_docs(rows)
+    assert run(docs) == brute(rows)
+
+    hash_ = shingle_sets(pa.array([hot], pa.large_string()))[0][0]
+    texts = docs.selectExpr("doc_id AS node", "text").repartition(2)
+    dealt = J.deal(texts, 5, 40).collect()
+    where = ((int(hash_) >> 32) * 40) >> 32
+    entries, holders, chunks = 0, 0, set()
+    for r in dealt:
+        chunks.add(r.chunk)
+        if r.to == where and r.nodes is None:
+            low = int(hash_) & int(J.LOW)
+            one, many, counts = J.numbers([r.tokens], 6), J.numbers([r.many], 6), J.numbers([r.counts], 4)
+            entries += int((one == low).sum() + (many == low).sum())
+            holders += int((one == low).sum() + counts[many == low].sum())
+    assert holders == sum(1 for _, t, _ in rows if (t or "").lower().startswith(hot)) and 1 < entries <= len(chunks) < holders
