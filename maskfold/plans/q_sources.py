@@ -1,5 +1,5 @@
 """Dataset sources, the result store's scans, classification reports and small tables
-(SRC-01..05, SRC-14..17, PRJ-01/05/06, MDL-20, AGG-27, AGG-36, FN-13, FN-19, FN-21, JN-06)."""
+(SRC-01..05, SRC-12..17, PRJ-01/05/06, MDL-20, AGG-27, AGG-36, FN-19, FN-21, JN-06)."""
 
 from __future__ import annotations
 
@@ -11,12 +11,13 @@ from ..functions.hashing import h
 from ..operators.masks import MASK_SEED
 from ..operators.metrics import classification_report
 from ..session import checkpoint_dir, path_kind, scratch_path
+from ..sources.cache import RowCache
 from ..sources.datasets import filter_labels, first_n, split_column, validate_prepared
 from ..sources.results import gated_scan, scan_result_tree, upsert, write_results_csv_tree
 from ..sources.tables import table
 from .catalog import register
 from .experiment import results_grid, results_grid_sql
-from .q_text import _bit, _bit_sql, _sql_clean, _sql_words
+from .q_text import _bit, _bit_sql, _sql_clean, _sql_count, _sql_profile, _sql_words
 from .sqlparts import split_sql
 
 _R = results_grid_sql()
@@ -102,6 +103,50 @@ def q_prepared_data_checks(spark, sf_dir):
     return spark.createDataFrame([row], "n_rows long, nan_rows int, min_dim long, max_dim long")
 
 
+# ---------------------------------------------------------------- incremental caches
+def _tokens(df: DataFrame) -> DataFrame:
+    words = TX.words(TX.clean(F.coalesce("text", F.lit(""))))
+    return df.select("doc_id", "label", F.flatten(F.transform(words, lambda w: F.transform(TX.token_pieces(w), TX.token_id))).alias("tokens"))
+
+
+@register("token_cache", f"""WITH d AS (SELECT d.doc_id, {_sql_words(_sql_clean("coalesce(d.text, '')"))} AS ws
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () // 2 AS wanted FROM d),
+p AS (SELECT doc_id, flatten(list_transform(ws, lambda w: list_transform(range(CAST(GREATEST(1, CEIL(length(w) / 4)) AS BIGINT)),
+        lambda i: substr(w, CAST(i * 4 + 1 AS INTEGER), 4)))) AS pieces FROM k WHERE r <= wanted)
+SELECT doc_id, CAST(len(pieces) AS BIGINT) AS n_tokens,
+       CAST(coalesce(list_sum(list_transform(pieces, lambda t: 1 + length(t) + 5 * {_sql_count('t', 'aeiouAEIOU')})), 0) AS BIGINT) AS token_sum
+FROM p""")
+def q_token_cache(spark, sf_dir):
+    """SRC-12: token ids of labelled documents cached batch by batch until half of the inliers are stored; the
+    inliers with the smallest ids are read back.  The second call finds them in the cache."""
+    docs = _labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("int").alias("label"))
+    wanted = docs.where("label = 1").count() // 2
+    cache = RowCache(spark, scratch_path(spark, "token-cache"), "doc_id", _tokens, F.col("label") == 1, batch_rows=100)
+    cache.fill(docs, wanted)
+    got = cache.fill(docs, wanted)
+    return got.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+                      F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v).alias("token_sum"))
+
+
+@register("vector_cache", f"""WITH d AS (SELECT doc_id, {_sql_words(_sql_clean("coalesce(text, '')"))} AS ws FROM documents),
+p AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, {_sql_profile("array_to_string(ws, '')")} AS total FROM d)
+SELECT doc_id, n_words, ROUND(total[1] / GREATEST(n_words, 1), 6) AS mean_length, ROUND(total[3] / GREATEST(n_words, 1), 6) AS mean_e FROM p""")
+def q_vector_cache(spark, sf_dir):
+    """SRC-13: pooled vectors of all documents cached in two arrivals; rows that arrive later in a finished batch are added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+    def pooled(df):
+        ws = df.select("doc_id", TX.words(TX.clean(F.coalesce("text", F.lit("")))).alias("ws"))
+        total = ws.select("doc_id", F.size("ws").cast("long").alias("n_words"), TX.char_profile(F.array_join("ws", "")).alias("total"))
+        return total.select("doc_id", "n_words", F.transform("total", lambda x: x / F.greatest("n_words", F.lit(1))).alias("x"))
+
+    cache = RowCache(spark, scratch_path(spark, "vector-cache"), "doc_id", pooled, batch_rows=1000)
+    cache.fill(docs.where("lang = 'en'"))
+    return cache.fill(docs).select("doc_id", "n_words", F.round(F.get("x", 0), 6).alias("mean_length"),
+                                   F.round(F.get("x", 2), 6).alias("mean_e"))
+
+
 # ---------------------------------------------------------------- result store
 KEYS = ["dataset", "emb_model", "run"]
 TREE_SCHEMA = "method string, space string, base string, auc double, prauc double, f1 double"

@@ -1,12 +1,10 @@
-"""Result tables: sinks, result-tree scans, upserts, incremental caches
-(SRC-12..17, SRC-19, JN-07)."""
+"""Result tables: sinks, result-tree scans, upserts (SRC-14..17, JN-07)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_kind
 
 RESULT_PARTITIONS = ("dataset", "emb_model", "run")
 
@@ -47,14 +45,3 @@ def pending(spec: DataFrame, done: DataFrame, keys) -> DataFrame:
     s = spec.fillna("no_prompt", subset=[k for k in keys if dict(spec.dtypes).get(k) == "string"])
     d = done.fillna("no_prompt", subset=[k for k in keys if dict(done.dtypes).get(k) == "string"])
     return s.join(d.select(*keys), list(keys), "left_anti")
-
-
-def incremental_append(spark: SparkSession, source: DataFrame, cache_path: str, key: str, transform) -> DataFrame:
-    """SRC-12/13: transform only rows whose key is not in the cache yet and
-    append them; returns the full cache."""
-    if path_kind(spark, cache_path) == "none":
-        todo = source
-    else:
-        todo = source.join(spark.read.parquet(cache_path).select(key), key, "left_anti")
-    transform(todo).write.mode("append").parquet(cache_path)
-    return spark.read.parquet(cache_path)
