@@ -9,8 +9,10 @@ scorer does at scoring time):
 
     score = greatest(sum O_l, sum O_r, sum O_a)
 
-ECDF tables come from ``running_totals`` over distinct values, so no dimension
-is ever held by one task and hot values collapse before the shuffle.
+Ranks need one range partitioning and no join on values: approximate quantiles cut each dimension into value
+ranges, exact counts per range (a small table) give each range its offset, and a window inside a range ranks its rows.
+A value that alone fills a range is a range of its own and needs no window, so a hot value is never in one task.
+Fitted tables (``fit_ecdf``) can be written, and later rows ranked against them (``fitted_terms``).
 
 A null or NaN component has no rank.  ``nulls="error"`` (default) stops with a message; with
 ``nulls="neutral"`` the component is left out of its dimension's ECDF and adds 0 to its row, which stays.
@@ -18,35 +20,76 @@ A null or NaN component has no rank.  ``nulls="error"`` (default) stops with a m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .cumulative import running_totals
 
+TERMS = ("o_l", "o_r", "o_a")
+CHUNK = 32  # range edges are searched in two steps of about this many
 
-def ecdf_table(long_df: DataFrame, keys, value_col: str = "v") -> DataFrame:
-    """(keys..., v) rows -> (keys..., v, o_l, o_r, o_a) with one row per distinct value."""
+
+def value_ranges(long: DataFrame, keys, n_ranges: int | None = None) -> DataFrame:
+    """One row per key: its edges (chunked), the edges that are hot values, its count and whether it is skewed to the left."""
     keys = list(keys)
-    # distinct values with counts: read by several branches, so it is written once
-    # (it is at most as large as the input and usually far smaller)
-    agg = staged(long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c")), "ecdf")
-    cum = running_totals(agg, keys, value_col, ["c"])
-    # population skewness sign from raw moments (same formula in the SQL oracle)
-    v = F.col(value_col)
-    mom = agg.groupBy(*keys).agg((F.sum("c")).alias("_n"), F.sum(F.col("c") * v).alias("_s1"),
-                                 F.sum(F.col("c") * v * v).alias("_s2"), F.sum(F.col("c") * v * v * v).alias("_s3"))
+    n = max(2, n_ranges or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    v = F.col("v")
+    at = F.percentile_approx(v, [i / n for i in range(1, n)], max(10000, 20 * n))
+    per = long.where(v.isNotNull()).groupBy(*keys).agg(
+        at.alias("_p"), F.count("*").alias("_n"), F.sum(v).alias("_s1"), F.sum(v * v).alias("_s2"), F.sum(v * v * v).alias("_s3"))
     mu = F.col("_s1") / F.col("_n")
     m3 = F.col("_s3") / F.col("_n") - 3 * mu * F.col("_s2") / F.col("_n") + 2 * mu * mu * mu
-    skew = mom.select(*keys, m3.alias("_m3"))
-    # without keys the skew table is one aggregate row: broadcast it (proven bound)
-    t = (cum.join(skew, keys) if keys else cum.join(F.broadcast(skew), how="inner", on=F.lit(True))).select(
-        *keys, value_col,
-        (-F.log(F.col("c_cum") / F.col("c_tot"))).alias("o_l"),
-        (-F.log((F.col("c_tot") - F.col("c_cum") + F.col("c")) / F.col("c_tot"))).alias("o_r"),
-        (F.col("_m3") < 0).alias("_neg"))
-    return t.select(*keys, value_col, "o_l", "o_r",
-                    F.when(F.col("_neg"), F.col("o_l")).otherwise(F.col("o_r")).alias("o_a"))
+    edges = F.array_sort(F.array_distinct("_p"))
+    per = per.select(*keys, "_n", (m3 < 0).alias("_neg"), "_p", edges.alias("_edges"))
+    hot = F.filter("_edges", lambda e: F.size(F.filter("_p", lambda x: x == e)) > 1)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_edges") - 1) / CHUNK).cast("int")),
+                         lambda i: F.slice("_edges", i * CHUNK + 1, CHUNK))
+    return per.select(*keys, "_n", "_neg", hot.alias("_hot"), chunks.alias("_chunks"), F.transform(
+        chunks, lambda c: F.element_at(c, -1)).alias("_tops"))
+
+
+def range_of(v: Column) -> Column:
+    """The number of v's range, in order: even for a range, odd for a hot value; null for a null."""
+    chunk = F.size(F.filter("_tops", lambda t: t < v))
+    below = chunk * CHUNK + F.when(chunk < F.size("_chunks"), F.size(F.filter(F.get("_chunks", chunk), lambda e: e < v))).otherwise(0)
+    below = F.least(below, F.aggregate("_chunks", F.lit(0), lambda a, c: a + F.size(c)))
+    return F.when(v.isNotNull(), 2 * below + F.array_contains("_hot", v).cast("int"))
+
+
+def _in_ranges(long: DataFrame, ranges: DataFrame, keys) -> DataFrame:
+    return long.join(ranges, keys, "left").withColumn("_range", range_of(F.col("v"))).drop("_hot", "_chunks", "_tops")
+
+
+def _offsets(placed: DataFrame, keys) -> DataFrame:
+    """(keys, range, before, in): rows of the lower ranges and of this one; keys x ranges rows."""
+    n = placed.where("_range is not null").groupBy(*keys, "_range").agg(F.count("*").alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return n.select(*keys, "_range", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+
+
+def _terms(le: Column, lt: Column) -> list[Column]:
+    """The three terms from the numbers of values up to and below v; 0 for a missing value."""
+    left, right = -F.log(le / F.col("_n")), -F.log((F.col("_n") - lt) / F.col("_n"))
+    both = (left, right, F.when(F.col("_neg"), left).otherwise(right))
+    return [F.coalesce(t, F.lit(0.0)).alias(c) for c, t in zip(TERMS, both)]
+
+
+def with_terms(long: DataFrame, keys, n_ranges: int | None = None) -> DataFrame:
+    """The rows of ``long`` (keys, v, others) with the terms of v instead of v; rows without a value have zeros."""
+    keys = list(keys)
+    others = [c for c in long.columns if c not in (*keys, "v")]
+    ranges = staged(value_ranges(long, keys, n_ranges), "value-ranges")
+    placed = _in_ranges(long, ranges, keys)
+    offsets = staged(_offsets(placed, keys), "range-offsets")
+    at = placed.join(offsets, [*keys, "_range"], "left")
+    single = at.where("_range is null or _range % 2 = 1")
+    single = single.select(*keys, *others, *_terms(F.col("_before") + F.col("_in"), F.col("_before")))
+    spread = at.where("_range % 2 = 0")
+    order = Window.partitionBy(*keys, "_range").orderBy("v")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    spread = spread.withColumns({"_le": F.count("*").over(upto), "_lt": F.rank().over(order) - 1})
+    return single.unionByName(spread.select(
+        *keys, *others, *_terms(F.col("_before") + F.col("_le"), F.col("_before") + F.col("_lt"))))
 
 
 def _checked(v, nulls: str):
@@ -57,33 +100,24 @@ def _checked(v, nulls: str):
     return F.when(missing, F.raise_error(F.lit("a component is missing; pass nulls='neutral' to keep such rows"))).otherwise(v)
 
 
-def _terms(rows: DataFrame, table: DataFrame, keys) -> DataFrame:
-    """The terms of every value; 0 for a missing one."""
-    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("o_l", "o_r", "o_a")]
-    others = [c for c in rows.columns if c != "v"]
-    return rows.join(table, keys, "left").select(*others, *zero)
-
-
 def ecod_long(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=(), nulls: str = "error") -> DataFrame:
     """ECOD over array vectors.  Returns (group..., id..., dim, o_l, o_r, o_a)
     per (row, dimension), so any subspace sum can be taken from it."""
     g, ids = list(group_cols), list(id_cols)
-    long = df.select(*g, *ids, F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v"), nulls))
-    if nulls == "error":
-        # written, so that AQE may split a value that many rows hold
-        table = staged(ecdf_table(long, g + ["dim"], "v"), "ecod-terms")
-        return long.join(table, g + ["dim", "v"]).select(*g, *ids, "dim", "o_l", "o_r", "o_a")
-    table = staged(ecdf_table(long.where("v is not null"), g + ["dim"], "v"), "ecod-terms")
-    return _terms(long, table, g + ["dim", "v"])
+    long = df.select(*g, *ids, F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v").cast("double"), nulls))
+    return with_terms(long, [*g, "dim"]).select(*g, *ids, "dim", *TERMS)
+
+
+def _greatest(rows, by, out_col: str) -> DataFrame:
+    s = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in TERMS])
+    return s.select(*by, F.greatest(*TERMS).alias(out_col))
 
 
 def ecod_scores(df: DataFrame, id_cols=("row_id",), x_col: str = "x", group_cols=(),
                 out_col: str = "score", nulls: str = "error") -> DataFrame:
     """Full-space ECOD score per row."""
     g, ids = list(group_cols), list(id_cols)
-    o = ecod_long(df, ids, x_col, g, nulls)
-    s = o.groupBy(*g, *ids).agg(F.sum("o_l").alias("sl"), F.sum("o_r").alias("sr"), F.sum("o_a").alias("sa"))
-    return s.select(*g, *ids, F.greatest("sl", "sr", "sa").alias(out_col))
+    return _greatest(ecod_long(df, ids, x_col, g, nulls), [*g, *ids], out_col)
 
 
 def ecod_subspace_scores(o_long: DataFrame, masks_long: DataFrame, id_cols=("row_id",),
@@ -92,37 +126,61 @@ def ecod_subspace_scores(o_long: DataFrame, masks_long: DataFrame, id_cols=("row
     dimension does not depend on which other dimensions are kept, so each
     subspace score is the greatest of the three sums over its own dimensions.
     ``masks_long`` is (subspace_id, dim) for the kept dimensions (small)."""
-    g, ids = list(group_cols), list(id_cols)
     j = o_long.join(masks_long.select("subspace_id", "dim"), "dim")
-    s = j.groupBy(*g, "subspace_id", *ids).agg(
-        F.sum("o_l").alias("sl"), F.sum("o_r").alias("sr"), F.sum("o_a").alias("sa"))
-    return s.select(*g, "subspace_id", *ids, F.greatest("sl", "sr", "sa").alias(out_col))
+    return _greatest(j, [*group_cols, "subspace_id", *id_cols], out_col)
 
 
 def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=(), nulls: str = "error") -> DataFrame:
-    """ECOD over plain numeric columns of a table that has no row id.  The
-    columns are unpivoted into one (dim, v) frame so a single ECDF pass serves
-    all of them; each column then takes its terms with one value-keyed join
-    (d joins, no regrouping by row)."""
+    """ECOD over plain numeric columns of a table that has no row id.  Rows get a number when they are written
+    once (the used columns only); their columns are unpivoted, ranked, and summed again per row, with the other
+    columns riding on the first of them."""
     cols = list(cols)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v"))
-                                         for i, c in enumerate(cols)])).alias("t")).select("t.dim", _checked(F.col("t.v"), nulls).alias("v")).where("v is not null")
-    # one row per distinct (column, value): read by every per-column join
-    table = staged(ecdf_table(long, ["dim"], "v"), "ecod-terms")
-    out = df.select(*keep, *cols)
-    ol, orr, oa = [], [], []
-    for i, c in enumerate(cols):
-        t = table.filter(F.col("dim") == i).select(
-            F.col("v").alias(f"_v{i}"), F.col("o_l").alias(f"_l{i}"),
-            F.col("o_r").alias(f"_r{i}"), F.col("o_a").alias(f"_a{i}"))
-        out = out.join(t, F.col(c).cast("double") == F.col(f"_v{i}"), "inner" if nulls == "error" else "left")
-        ol.append(F.coalesce(f"_l{i}", F.lit(0.0)))
-        orr.append(F.coalesce(f"_r{i}", F.lit(0.0)))
-        oa.append(F.coalesce(f"_a{i}", F.lit(0.0)))
-
-    def tot(xs):
-        acc = xs[0]
-        for x in xs[1:]:
-            acc = acc + x
-        return acc
-    return out.select(*keep, *cols, F.greatest(tot(ol), tot(orr), tot(oa)).alias(out_col))
+    rows = staged(df.select(F.struct(*keep, *cols).alias("_row")).withColumn("_rid", F.monotonically_increasing_id()), "numbered-rows")
+    values = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"_row.{c}").cast("double").alias("v"),
+                                (F.col("_row") if i == 0 else F.lit(None)).alias("_row")) for i, c in enumerate(cols)])
+    long = rows.select("_rid", F.explode(values).alias("t")).select("_rid", "t.dim", _checked(F.col("t.v"), nulls).alias("v"), "t._row")
+    s = with_terms(long, ["dim"]).groupBy("_rid").agg(F.max("_row").alias("_row"), *[F.sum(c).alias(c) for c in TERMS])
+    return s.select(*[F.col(f"_row.{c}").alias(c) for c in (*keep, *cols)], F.greatest(*TERMS).alias(out_col))
+
+
+# ---------------------------------------------------------------- a fitted table and rows that come later
+def fit_ecdf(df: DataFrame, x_col: str = "x", nulls: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(ranges, values): per dimension its ranges with their counts, and its distinct values with the numbers of
+    values up to and below them."""
+    long = df.select(F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v").cast("double"), nulls)).where("v is not null")
+    ranges = staged(value_ranges(long, ["dim"]), "value-ranges")
+    distinct = staged(_in_ranges(long, ranges, ["dim"]).groupBy("dim", "_range", "v").agg(F.count("*").alias("_c")), "fitted-values")
+    inside = distinct.groupBy("dim", "_range").agg(F.sum("_c").alias("_in"))
+    before = Window.partitionBy("dim").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged(inside.select("dim", "_range", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before")), "range-offsets")
+    upto = Window.partitionBy("dim", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = distinct.join(offsets, ["dim", "_range"]).withColumn("_le", F.col("_before") + F.sum("_c").over(upto)) \
+        .select("dim", "_range", "v", "_le", (F.col("_le") - F.col("_c")).alias("_lt"))
+    starts = offsets.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("_range", "_before", "_in"))).alias("_starts"))
+    return ranges.join(starts, "dim"), values
+
+
+def fitted_terms(df: DataFrame, ranges: DataFrame, values: DataFrame, id_cols=("row_id",), x_col: str = "x",
+                 nulls: str = "error") -> DataFrame:
+    """(id..., dim, o_l, o_r, o_a) of rows ranked among the fitted values, which they don't change.  A value outside the
+    fitted ones counts one value on its far side."""
+    ids = list(id_cols)
+    long = df.select(F.struct(*ids).alias("_ids"), F.posexplode(x_col).alias("dim", "v")).withColumn("v", _checked(F.col("v").cast("double"), nulls))
+    new = long.join(ranges, "dim", "left").withColumn("_range", range_of(F.col("v")))
+    # values of the ranges below; a hot value's own range holds it alone
+    lower = F.aggregate("_starts", F.lit(0).cast("long"), lambda a, e: F.when(e["_range"] < F.col("_range"), e["_before"] + e["_in"]).otherwise(a))
+    same = F.aggregate("_starts", F.lit(0).cast("long"), lambda a, e: F.when(e["_range"] == F.col("_range"), e["_in"]).otherwise(a))
+    new = new.select("dim", "_range", "v", "_ids", "_n", "_neg", lower.alias("_lower"), same.alias("_same"), F.lit(True).alias("_new"))
+
+    def scored(rows, le, lt):
+        le, lt = F.greatest(le, F.lit(1)), F.least(lt, F.col("_n") - 1)
+        return rows.select(*[F.col(f"_ids.{c}").alias(c) for c in ids], "dim",
+                           *_terms(F.when(F.col("v").isNotNull(), le), F.when(F.col("v").isNotNull(), lt)))
+
+    single = scored(new.where("_range is null or _range % 2 = 1"), F.col("_lower") + F.col("_same"), F.col("_lower"))
+    old = values.where("_range % 2 = 0").select("dim", "_range", "v", F.struct("v", "_le", "_lt").alias("_at"), F.lit(False).alias("_new"))
+    both = new.where("_range % 2 = 0").unionByName(old, allowMissingColumns=True)
+    upto = Window.partitionBy("dim", "_range").orderBy("v", "_new").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_at", F.last("_at", ignorenulls=True).over(upto)).where("_new")
+    le = F.coalesce("_at._le", "_lower")
+    return single.unionByName(scored(both, le, F.when(F.col("_at.v") == F.col("v"), F.col("_at._lt")).otherwise(le)))

@@ -22,13 +22,12 @@ from ..operators.ecod import ecod_long, ecod_subspace_scores
 from ..operators.ensemble import weighted_average
 from ..operators.masks import fixed_masks
 from ..operators.metrics import binary_metrics, metrics_sql
-from ..sources.datasets import embedding_matrix
-from .sqlparts import fixed_mask_weights_sql, fixed_masks_long_sql
+from ..sources.datasets import embedding_matrix, width
+from .sqlparts import WIDTH_SQL, fixed_mask_weights_sql, fixed_masks_long_sql
 
 # The grid of the registered experiment.
 N_RUNS = 3
 BASE_SEED = 42
-D = 64
 METHODS = {
     "distance": ("SubspaceDistance + Embedding", "ECOD"),
     "ensemble": ("SubspaceEnsemble + Embedding", "ECOD"),
@@ -61,7 +60,7 @@ def store_path(spark, sf_dir, n_runs=N_RUNS) -> str:
     """Where the result rows of this table's content and these parameters lie."""
     content = embedding_matrix(spark, sf_dir).agg(
         F.count("*"), F.sum(F.xxhash64("row_id", "x", "label").cast("decimal(38,0)"))).first()
-    key = repr((tuple(content), n_runs, BASE_SEED, D, METHODS, SPACE, EMB_MODEL))
+    key = repr((tuple(content), n_runs, BASE_SEED, METHODS, SPACE, EMB_MODEL))
     return f"{checkpoint_dir(spark).rstrip('/')}/results-{hashlib.md5(key.encode()).hexdigest()}"
 
 
@@ -77,8 +76,9 @@ def _compute(spark, sf_dir, n_runs):
     x, g = grid_dataset(spark, sf_dir, n_runs)
     keys = ["dataset", "run"]
     test = g.filter("split = 'test'").select(*keys, "row_id", "outlier")
-    masks = fixed_masks(spark, D, 8)
-    dist = subspace_distance(x, masks, D).select("row_id", F.col("distance").alias("score"))
+    d = width(x)
+    masks = fixed_masks(spark, d, 8)
+    dist = subspace_distance(x, masks, d).select("row_id", F.col("distance").alias("score"))
     # per-(row, dim) ECOD terms feed both the full-space and the per-subspace
     # scores; written once so the two branches do not recompute the ECDF tables
     o = staged(ecod_long(g, ["row_id"], group_cols=keys), "grid-terms")
@@ -128,7 +128,7 @@ tab AS (SELECT cum.dataset, cum.run, cum.dim, v, -LN(c_cum / c_tot) AS o_l, -LN(
 o AS (SELECT x.dataset, x.run, x.row_id, x.dim, t.o_l, t.o_r, CASE WHEN t.neg THEN t.o_l ELSE t.o_r END AS o_a
       FROM xl x JOIN tab t USING (dataset, run, dim, v)),
 full_ AS (SELECT dataset, run, row_id, GREATEST(SUM(o_l), SUM(o_r), SUM(o_a)) AS score FROM o GROUP BY ALL),
-ml AS ({fixed_masks_long_sql(D)}),
+ml AS ({fixed_masks_long_sql()}),
 mw AS ({fixed_mask_weights_sql(8)}),
 per AS (SELECT o.dataset, o.run, o.row_id, ml.subspace_id, GREATEST(SUM(o_l), SUM(o_r), SUM(o_a)) AS s
         FROM o JOIN ml ON o.dim = ml.dim AND ml.u = 1 GROUP BY ALL),
@@ -137,7 +137,7 @@ ens AS (SELECT per.dataset, per.run, per.row_id, SUM(per.s * mw.proba) / SUM(mw.
 xa AS (SELECT vec_id AS row_id, UNNEST(range(len(embedding))) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS v FROM embeddings),
 dd AS (SELECT xa.row_id, ml.subspace_id, SQRT(SUM(xa.v * xa.v * (1 - ml.u) * (1 - ml.u))) AS d
        FROM xa JOIN ml ON xa.dim = ml.dim GROUP BY ALL),
-dist AS (SELECT row_id, MIN(d) / SQRT({D}) AS score FROM dd GROUP BY row_id),
+dist AS (SELECT row_id, MIN(d) / SQRT({WIDTH_SQL}) AS score FROM dd GROUP BY row_id),
 scored AS (
   SELECT '{m['distance'][0]}' AS method, '{m['distance'][1]}' AS base, t.dataset, t.run, t.outlier, ROUND(d.score, 6) AS score
     FROM test t JOIN dist d USING (row_id)

@@ -10,27 +10,24 @@ from ..operators.distance import subspace_distance
 from ..operators.masks import (average_subspace, drop_zero_masks, fixed_masks, leftover_mask,
                                sample_subspaces, subspace_distribution, top_subspaces)
 from ..operators.metrics import binary_metrics, metrics_sql
-from ..sources.datasets import embedding_dataset, embedding_matrix
+from ..sources.datasets import embedding_dataset, embedding_matrix, width
 from .catalog import register
-from .sqlparts import emb_dataset_sql, emb_long_sql, fixed_mask_weights_sql, fixed_masks_long_sql
-
-D_EMB = 64
-
+from .sqlparts import WIDTH_SQL, emb_dataset_sql, emb_long_sql, fixed_mask_weights_sql, fixed_masks_long_sql
 
 def distance_scores(spark, sf_dir, inlier=0, m=8):
     ds = embedding_dataset(spark, sf_dir, inlier).filter("split = 'test'")
-    masks = fixed_masks(spark, D_EMB, m)
-    s = subspace_distance(ds, masks, D_EMB, out_col="score")
+    d = width(ds)
+    s = subspace_distance(ds, fixed_masks(spark, d, m), d, out_col="score")
     return s.select("row_id", "label", "outlier", F.round("score", 6).alias("score"))
 
 
 _SCORES_SQL = f"""
 ds AS ({emb_dataset_sql(0)}),
 xl AS ({emb_long_sql('ds', 'row_id')}),
-masks AS ({fixed_masks_long_sql(D_EMB)}),
+masks AS ({fixed_masks_long_sql()}),
 dist AS (SELECT x.row_id, m.subspace_id, SQRT(SUM(x.v * x.v * (1 - m.u) * (1 - m.u))) AS d
          FROM xl x JOIN masks m ON x.dim = m.dim GROUP BY x.row_id, m.subspace_id),
-scored AS (SELECT s.row_id, ds.label, ds.outlier, ROUND(MIN(s.d) / SQRT({D_EMB}), 6) AS score
+scored AS (SELECT s.row_id, ds.label, ds.outlier, ROUND(MIN(s.d) / SQRT({WIDTH_SQL}), 6) AS score
            FROM dist s JOIN ds ON s.row_id = ds.row_id WHERE ds.split = 'test'
            GROUP BY s.row_id, ds.label, ds.outlier)"""
 
@@ -67,7 +64,7 @@ cw AS (SELECT subspace_id, weight, SUM(weight) OVER (ORDER BY subspace_id) - wei
 drawn AS (SELECT e.vec_id AS row_id, c.subspace_id
           FROM embeddings e JOIN cw c
             ON {{draw}} >= c.w_lo AND {{draw}} < c.w_hi),
-ml AS ({fixed_masks_long_sql(D_EMB)}),
+ml AS ({fixed_masks_long_sql()}),
 mtext AS (SELECT subspace_id, string_agg(CAST(u AS VARCHAR), '' ORDER BY dim) AS mask_key,
                  SUM(u) AS n_dims FROM ml GROUP BY subspace_id)"""
 
@@ -80,7 +77,7 @@ def _draw_sql():
 
 def _drawn(spark, sf_dir):
     x = embedding_matrix(spark, sf_dir)
-    masks = fixed_masks(spark, D_EMB, 8)
+    masks = fixed_masks(spark, width(x), 8)
     return sample_subspaces(x, masks, seed=11), masks
 
 

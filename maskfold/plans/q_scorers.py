@@ -12,13 +12,12 @@ from ..operators.ensemble import (bagging_masks_long, final_score, pick_one, ran
 from ..operators.knn import knn, lof_scores
 from ..operators.masks import fixed_masks
 from ..operators.metrics import binary_metrics, metrics_sql
-from ..sources.datasets import embedding_dataset
+from ..sources.datasets import embedding_dataset, width
 from ..sources.tables import table
 from .catalog import register
-from .sqlparts import emb_dataset_sql, emb_long_sql, fixed_mask_weights_sql, fixed_masks_long_sql
+from .sqlparts import WIDTH_SQL, emb_dataset_sql, emb_long_sql, fixed_mask_weights_sql, fixed_masks_long_sql
 from ..functions.hashing import h, h_sql
 
-D = 64
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -105,14 +104,14 @@ def q_ecod_embedding_metrics(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- subspace ECOD ensemble
-def _masks_long(spark):
-    m = fixed_masks(spark, D, 8)
+def _masks_long(spark, d: int):
+    m = fixed_masks(spark, d, 8)
     return m, m.select("subspace_id", F.posexplode("mask").alias("dim", "u")).filter("u = 1") \
         .select("subspace_id", F.col("dim").cast("int").alias("dim"))
 
 
 _SUB_ECOD_SQL = _ECOD_EMB_SQL + f""",
-ml AS ({fixed_masks_long_sql(D)}),
+ml AS ({fixed_masks_long_sql()}),
 mw AS ({fixed_mask_weights_sql(8)}),
 per AS (SELECT o.row_id, m.subspace_id, GREATEST(SUM(o_l), SUM(o_r), SUM(o_a)) AS s
         FROM o JOIN ml m ON o.dim = m.dim AND m.u = 1 GROUP BY o.row_id, m.subspace_id),
@@ -123,7 +122,7 @@ ens AS (SELECT per.row_id, SUM(per.s * mw.proba) / SUM(mw.proba) AS ensemble,
 
 def _sub_ecod(spark, sf_dir):
     ds = embedding_dataset(spark, sf_dir, 0)
-    masks, ml = _masks_long(spark)
+    masks, ml = _masks_long(spark, width(ds))
     o = ecod_long(ds, ["row_id"])
     per = ecod_subspace_scores(o, ml, ["row_id"])
     test = ds.filter("split = 'test'").select("row_id", "label", "outlier")
@@ -145,10 +144,10 @@ def q_subspace_ecod_ensemble(spark, sf_dir):
 
 
 _FINAL_SQL = _SUB_ECOD_SQL + f""",
-msk AS ({fixed_masks_long_sql(D)}),
+msk AS ({fixed_masks_long_sql()}),
 dist AS (SELECT x.row_id, m.subspace_id, SQRT(SUM(x.v * x.v * (1 - m.u) * (1 - m.u))) AS d
          FROM xl x JOIN msk m ON x.dim = m.dim GROUP BY x.row_id, m.subspace_id),
-dmin AS (SELECT row_id, MIN(d) / SQRT({D}) AS distance FROM dist GROUP BY row_id),
+dmin AS (SELECT row_id, MIN(d) / SQRT({WIDTH_SQL}) AS distance FROM dist GROUP BY row_id),
 scored AS (SELECT ds.row_id, ds.outlier, ROUND(1.0 * ens.ensemble + 10.0 * dmin.distance, 6) AS score
            FROM ens JOIN dmin ON ens.row_id = dmin.row_id JOIN ds ON ds.row_id = ens.row_id
            WHERE ds.split = 'test')"""
@@ -159,7 +158,7 @@ def q_subspace_ensemble_final_metrics(spark, sf_dir):
     """MDL-13 with given masks: delta * ECOD ensemble + lambda * distance (AGG-18), evaluated."""
     ds, masks, per, test = _sub_ecod(spark, sf_dir)
     ens = weighted_average(per, masks, ["row_id"])
-    dist = subspace_distance(ds.filter("split = 'test'"), masks, D).select("row_id", "distance")
+    dist = subspace_distance(ds.filter("split = 'test'"), masks, width(ds)).select("row_id", "distance")
     fs = final_score(ens, dist, 1.0, 10.0)
     return binary_metrics(test.join(fs, "row_id").select("outlier", F.round("score", 6).alias("score")))
 
@@ -171,19 +170,25 @@ FROM per JOIN ds ON per.row_id = ds.row_id JOIN mw ON per.subspace_id = mw.subsp
 WHERE ds.split = 'test' AND {h_sql('per.row_id', 5)} % 8 = per.subspace_id""")
 def q_subspace_ensemble_pick_one(spark, sf_dir):
     """AGG-16: the "exact" ensemble, one hashed detector per row times its weight."""
-    ds, masks, per, test = _sub_ecod(spark, sf_dir)
-    p = pick_one(per, masks, 8, seed=5)
-    sub = per.filter(F.pmod(h("row_id", 5), F.lit(8)) == F.col("subspace_id")).select("row_id", "subspace_id")
-    return test.join(p, "row_id").join(sub, "row_id").select(
-        "row_id", "outlier", "subspace_id", F.round("ensemble", 6).alias("ensemble"))
+    ds = embedding_dataset(spark, sf_dir, 0)
+    masks, ml = _masks_long(spark, width(ds))
+    test = ds.filter("split = 'test'").select("row_id", "label", "outlier")
+    drawn = F.pmod(h("row_id", 5), F.lit(8)).cast("int")
+    # each row meets the dimensions of its own view only
+    o = ecod_long(ds, ["row_id"]).join(test.select("row_id"), "row_id").withColumn("subspace_id", drawn)
+    own = o.join(ml, ["subspace_id", "dim"]).groupBy("row_id", "subspace_id").agg(
+        F.greatest(F.sum("o_l"), F.sum("o_r"), F.sum("o_a")).alias("score"))
+    p = pick_one(own, masks, 8, seed=5)
+    return test.join(p, "row_id").select(
+        "row_id", "outlier", drawn.alias("subspace_id"), F.round("ensemble", 6).alias("ensemble"))
 
 
 # ---------------------------------------------------------------- feature bagging
 _BAG_SQL = _ECOD_EMB_SQL + f""",
 bdims AS (SELECT CAST(e AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim,
-                 {D // 2} + {h_sql('e', 13)} % {D - D // 2} AS k,
+                 {WIDTH_SQL} // 2 + {h_sql('e', 13)} % ({WIDTH_SQL} - {WIDTH_SQL} // 2) AS k,
                  ROW_NUMBER() OVER (PARTITION BY e ORDER BY {h_sql("e || ':' || i", 14)}, i) AS r
-          FROM range(10) AS te(e), range({D}) AS ti(i)),
+          FROM range(10) AS te(e), (SELECT UNNEST(range(CAST({WIDTH_SQL} AS BIGINT))) AS i) AS ti),
 bm AS (SELECT subspace_id, dim FROM bdims WHERE r <= k),
 per AS (SELECT o.row_id, bm.subspace_id, GREATEST(SUM(o_l), SUM(o_r), SUM(o_a)) AS s
         FROM o JOIN bm ON o.dim = bm.dim GROUP BY o.row_id, bm.subspace_id),
@@ -195,7 +200,7 @@ scored AS (SELECT per.row_id, ds.outlier, ROUND(AVG(per.s), 6) AS score FROM per
 def q_feature_bagging_ecod_metrics(spark, sf_dir):
     """MDL-11: 10 hashed feature subsets of size d/2..d-1, ECOD on each, averaged."""
     ds = embedding_dataset(spark, sf_dir, 0)
-    bm = bagging_masks_long(spark, D)
+    bm = bagging_masks_long(spark, width(ds))
     o = ecod_long(ds, ["row_id"])
     per = ecod_subspace_scores(o, bm, ["row_id"])
     avg = per.groupBy("row_id").agg(F.avg("score").alias("score"))
@@ -296,7 +301,7 @@ def lof_views(ds, masks_long, k: int = LOF_K):
     for r in masks_long.select("subspace_id", "dim").collect():
         kept.setdefault(r["subspace_id"], set()).add(r["dim"])
     ids = sorted(kept)
-    lists = [[int(i in kept[j]) for i in range(D)] for j in ids]
+    lists = [[int(i in kept[j]) for i in range(width(ds))] for j in ids]
     s = lof_scores(ds.filter("split = 'train'"), ds.filter("split = 'test'"), k, masks=lists)
     return s.withColumn("subspace_id", F.get(F.array(*map(F.lit, ids)), F.col("subspace_id")))
 
@@ -307,7 +312,7 @@ SCORERS = {"ecod": ecod_views, "lof": lof_views}
 def ensemble_metrics(spark, sf_dir, scorer: str):
     """MDL-22: fit and score any scorer on the fixed masks, weighted average, metrics."""
     ds = embedding_dataset(spark, sf_dir, 0)
-    masks, ml = _masks_long(spark)
+    masks, ml = _masks_long(spark, width(ds))
     ens = weighted_average(SCORERS[scorer](ds, ml), masks, ["row_id"])
     test = ds.filter("split = 'test'").select("row_id", "outlier")
     return binary_metrics(test.join(ens, "row_id").select("outlier", F.round("ensemble", 6).alias("score")))
@@ -315,7 +320,7 @@ def ensemble_metrics(spark, sf_dir, scorer: str):
 
 def bagging_metrics(spark, sf_dir, scorer: str):
     ds = embedding_dataset(spark, sf_dir, 0)
-    avg = SCORERS[scorer](ds, bagging_masks_long(spark, D)).groupBy("row_id").agg(F.avg("score").alias("score"))
+    avg = SCORERS[scorer](ds, bagging_masks_long(spark, width(ds))).groupBy("row_id").agg(F.avg("score").alias("score"))
     test = ds.filter("split = 'test'").select("row_id", "outlier")
     return binary_metrics(test.join(avg, "row_id").select("outlier", F.round("score", 6).alias("score")))
 
@@ -341,7 +346,7 @@ per AS (SELECT re.subspace_id, re.qid AS row_id, AVG(lrd_o) / (1.0 / (AVG(GREATE
         JOIN lrd ON re.rid = lrd.rid AND re.subspace_id = lrd.subspace_id GROUP BY ALL)"""
 
 
-@register("subspace_lof_ensemble_metrics", f"""WITH {_lof_views_sql(f"SELECT subspace_id, dim FROM ({fixed_masks_long_sql(D)}) WHERE u = 1")},
+@register("subspace_lof_ensemble_metrics", f"""WITH {_lof_views_sql(f"SELECT subspace_id, dim FROM ({fixed_masks_long_sql()}) WHERE u = 1")},
 mw AS ({fixed_mask_weights_sql(8)}),
 scored AS (SELECT ds.outlier, ROUND(SUM(per.s * mw.proba) / SUM(mw.proba), 6) AS score
            FROM per JOIN mw ON per.subspace_id = mw.subspace_id JOIN ds ON ds.row_id = per.row_id GROUP BY ds.row_id, ds.outlier),
@@ -352,9 +357,9 @@ def q_subspace_lof_ensemble_metrics(spark, sf_dir):
 
 
 @register("feature_bagging_lof_metrics", f"""WITH {_lof_views_sql(f'''SELECT subspace_id, dim FROM (
-  SELECT CAST(e AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim, {D // 2} + {h_sql('e', 13)} % {D - D // 2} AS k,
+  SELECT CAST(e AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim, {WIDTH_SQL} // 2 + {h_sql('e', 13)} % ({WIDTH_SQL} - {WIDTH_SQL} // 2) AS k,
          ROW_NUMBER() OVER (PARTITION BY e ORDER BY {h_sql("e || ':' || i", 14)}, i) AS r
-  FROM range(10) AS te(e), range({D}) AS ti(i)) WHERE r <= k''')},
+  FROM range(10) AS te(e), (SELECT UNNEST(range(CAST({WIDTH_SQL} AS BIGINT))) AS i) AS ti) WHERE r <= k''')},
 scored AS (SELECT ds.outlier, ROUND(AVG(per.s), 6) AS score FROM per JOIN ds ON ds.row_id = per.row_id GROUP BY ds.row_id, ds.outlier),
 {metrics_sql('scored')} SELECT * FROM _metrics""")
 def q_feature_bagging_lof_metrics(spark, sf_dir):

@@ -26,11 +26,15 @@ def emb_long_sql(src: str = "embeddings", id_col: str = "vec_id") -> str:
                       CAST(UNNEST(embedding) AS DOUBLE) AS v FROM {src}"""
 
 
-def fixed_masks_long_sql(d: int, m: int = 8, seed: int = MASK_SEED) -> str:
+# the width of the embeddings, as the queries take it from the table
+WIDTH_SQL = "(SELECT MAX(len(embedding)) FROM embeddings)"
+
+
+def fixed_masks_long_sql(d: int | str = WIDTH_SQL, m: int = 8, seed: int = MASK_SEED) -> str:
     """CTE body: (subspace_id, dim, u) of the fixed mask table."""
     return f"""SELECT CAST(j AS INTEGER) AS subspace_id, CAST(i AS INTEGER) AS dim,
                CAST(({h_sql("i || ':' || j", seed)} // 65536) % 2 AS INTEGER) AS u
-               FROM range({m}) AS tj(j), range({d}) AS ti(i)"""
+               FROM range({m}) AS tj(j), (SELECT UNNEST(range(CAST({d} AS BIGINT))) AS i) AS ti"""
 
 
 def fixed_mask_weights_sql(m: int = 8) -> str:

@@ -59,6 +59,11 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("int").alias("label"))
 
 
+def width(x: DataFrame, x_col: str = "x") -> int:
+    """The number of components of the longest vector (one number)."""
+    return x.agg(F.max(F.size(x_col))).first()[0] or 0
+
+
 def columns_matrix(df: DataFrame, cols, id_col=None) -> DataFrame:
     """SRC-06 for wide numeric tables: array(cols) as array<double>."""
     sel = [F.array(*[F.col(c).cast("double") for c in cols]).alias("x")]

@@ -75,7 +75,7 @@ def test_mmd_properties(spark):
     rng = np.random.default_rng(4)
     X = rng.normal(size=(50, 4))
     df = _frame(spark, X)
-    masks = [(0, [1, 1, 1, 1]), (1, [1, 0, 1, 0])]
+    masks = spark.createDataFrame([(0, [1, 1, 1, 1], 0.5), (1, [1, 0, 1, 0], 0.5)], "subspace_id int, mask array<int>, proba double")
     r = {row["subspace_id"]: row for row in mmd_masks(df, masks, block_rows=16).collect()}
     assert abs(r[0]["mmd2"]) < 1e-9          # u = 1: u*X = X
     assert r[1]["mmd2"] > 0
@@ -85,7 +85,7 @@ def test_mmd_properties(spark):
     D = ((Z[:, None] - Z[None]) ** 2).sum(-1)
     B = len(X)
     brute = (D.sum() - 0) / (4 * B * B - 2 * B)
-    bw = closed_form_bandwidths(df, masks)[1]
+    bw = {r["subspace_id"]: r["bandwidth"] for r in closed_form_bandwidths(df, masks).collect()}[1]
     assert abs(bw - brute) < 1e-9
 
 
@@ -151,3 +151,26 @@ def test_distance_has_one_plan_for_every_mask_table(spark):
         got = {r["row_id"]: r["distance"] for r in subspace_distance(_frame(spark, X), masks, 5, max_cells=cells).collect()}
         want = np.linalg.norm(X[:, None, :] * (1 - U[None]), axis=2).min(1) / math.sqrt(5)
         assert all(abs(got[i] - want[i]) < 1e-12 for i in range(12))
+
+
+def test_mmd_of_soft_masks_in_blocks_and_chunks(spark, monkeypatch):
+    import maskfold.operators.mmd as M
+    monkeypatch.setattr(M, "TILE", 7)
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(60, 5))
+    us = [[1, 0, 1, 1, 0], [0.3, 1, 0, 0.5, 2], [0, 0, 0, 0, 0], [1, 1, 1, 1, 1]]
+    masks = spark.createDataFrame([(j, [float(c) for c in u], 0.25) for j, u in enumerate(us)], "subspace_id int, mask array<double>, proba double")
+    monkeypatch.setattr(M, "mask_chunks", lambda m: ([(r["subspace_id"], r["mask"])] for r in m.orderBy("subspace_id").collect()))
+    got = {r["subspace_id"]: r for r in mmd_masks(_frame(spark, X), masks, "rq_mix_linear", block_rows=16).collect()}
+    kernel = lambda a, b: M.KERNELS["rq_mix_linear"](((a[:, None] - b[None]) ** 2).sum(-1), None, a @ b.T).mean()
+    for j, u in enumerate(us):
+        Y = X * np.array(u)
+        for name, want in (("kxx", kernel(X, X)), ("kxy", kernel(X, Y)), ("kyy", kernel(Y, Y))):
+            assert abs(got[j][name] - want) < 1e-9
+
+
+def test_mask_chunks_hold_every_mask_once(spark):
+    from maskfold.operators.mmd import mask_chunks
+    masks = spark.createDataFrame([(j, [1] * 10, 0.1) for j in range(50)], "subspace_id int, mask array<int>, proba double")
+    chunks = list(mask_chunks(masks, max_cells=100))
+    assert len(chunks) > 3 and sorted(s for c in chunks for s, _ in c) == list(range(50))
