@@ -5,7 +5,7 @@ it has fewer).  Two documents link when |x & y| / |x | y| >= a / b.
 
 1. Sets.  One pass hashes each whole text to its set's size and 128-bit fingerprint.
    Documents of equal sets are one class from here on, so copies never meet in pairs.
-2. Document frequencies.  One text of each class is hashed again.  Chunks of some ``CHUNK_TOKENS`` tokens send them,
+2. Document frequencies.  One text of each class is hashed again.  Chunks of half a million tokens or more send them,
    packed, to ranges of the hash space: 6 bytes a token and its holder's place in the chunk (3 bytes, of which
    two mostly compress away), whatever the number of ranges.  A token that several classes of a chunk hold
    goes once, with their number; so a passage that a third of all texts share is one entry a chunk.  A range adds
@@ -21,10 +21,10 @@ it has fewer).  Two documents link when |x & y| / |x | y| >= a / b.
    aren't connected yet, expanded to members.  Every link between different components is found, so
    the components are exact.
 
-Tokens are 64-bit hashes, of which 48 bits and the range are kept: 51 bits for small tables, 63 for 100 TB (some
-8 million ranges).  Two sets of n tokens share one by chance with a probability of n * n / 2 ** bits (at 100 TB, 300 tokens: 1e-14),
+Tokens are 64-bit hashes, of which 48 bits and the range are kept: 51 bits for small tables, 61 for 100 TB (some
+2 million ranges).  Two sets of n tokens share one by chance with a probability of n * n / 2 ** bits (at 100 TB, 300 tokens: 4e-14),
 and it matters only for a pair that is one token short of a link.  A row of a chunk for a range has some 60 bytes beside
-its tokens; from about 10 TB on a row holds a few tokens only and that share shows.  Nothing is capped.
+its tokens, of which it has ten or more up to about 6 TB and four at 100 TB.  Nothing is capped.
 
 Edge cases: null texts and texts without words have an empty set, size 0, and link with
 nothing; a null id sorts after every other, and rows that share it, or any id, link by their texts
@@ -44,8 +44,8 @@ from .components import components
 
 WIDTH = 6  # bytes of a token that are sent beside its range
 LOW = np.uint64((1 << 8 * WIDTH) - 1)
-TOKENS_A_RANGE = 2_000_000
-CHUNK_TOKENS, CHUNK_CLASSES = 2_000_000, 1 << 23
+LEAST_TOKENS, MOST_TOKENS = 500_000, 8_000_000  # of a chunk, and of a range on average
+CHUNK_CLASSES = 1 << 23
 DEALT = ("to long, chunk long, tokens binary, who binary, many binary, counts binary, nodes binary, sizes binary, "
          "own binary, own_who binary")
 SHARED = ("chunk long, tokens binary, who binary, dfs binary, many binary, dfs_many binary, nodes binary, sizes binary, "
@@ -116,7 +116,13 @@ def representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.join(classes.select("first.id", "first.text_hash", "node"), ["id", "text_hash"]).select("node", "text")
 
 
-def deal(texts: DataFrame, k: int, ranges: int) -> DataFrame:
+def tokens_at_once(total: int) -> int:
+    """The size of chunks and ranges: it grows with the square root of the corpus, so that a chunk has some ten tokens
+    for a range, and is bounded."""
+    return int(min(MOST_TOKENS, max(LEAST_TOKENS, (10 * total) ** 0.5)))
+
+
+def deal(texts: DataFrame, k: int, ranges: int, chunk_tokens: int) -> DataFrame:
     """Each chunk of classes (node, text) sends every range of the hash space the tokens that one class of the chunk
     holds, with the class's place in the chunk, and once those that several hold, with their number.
     One row a chunk is for the chunk itself: its nodes, their sizes, and who holds the latter tokens."""
@@ -132,10 +138,12 @@ def deal(texts: DataFrame, k: int, ranges: int) -> DataFrame:
 
         def rows():
             sizes = np.array([len(x) for x in sets], np.int64)
-            tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            sets.clear()
             where = ((tokens >> U(32)) * U(ranges)) >> U(32)
             tokens = (tokens & LOW) | (where << U(8 * WIDTH))
-            order = np.argsort(tokens, kind="stable")
+            where = where.astype(np.uint32)
+            order = np.argsort(tokens, kind="stable").astype(np.int32)
             start, count = runs(tokens[order])
             several = np.repeat(count > 1, count)  # in token order
             own, own_who = tokens[order[several]], who[order[several]]
@@ -163,7 +171,7 @@ def deal(texts: DataFrame, k: int, ranges: int) -> DataFrame:
                 nodes += b.column(0).slice(at, len(part)).to_pylist()
                 sets += new
                 held += sum(map(len, new))
-                if held > CHUNK_TOKENS or len(sets) > CHUNK_CLASSES:
+                if held > chunk_tokens or len(sets) > CHUNK_CLASSES:
                     yield from rows()
                     chunk, nodes, sets, held = chunk + 1, [], [], 0
         if sets:
@@ -326,8 +334,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3
         members.where("n > 0").groupBy("k1", "k2").agg(
             F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("first"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
-    ranges = max(8, ceil((classes.agg(F.sum("n")).first()[0] or 0) / TOKENS_A_RANGE))
-    dealt = deal(representatives(texts, classes), k, ranges)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    at_once = tokens_at_once(total)
+    dealt = deal(representatives(texts, classes), k, max(8, ceil(total / at_once)), at_once)
     sets = stage_table(prefixes(shared_tokens(dealt), a, b), "prefixes")
     linked = stage_table(link_components(sets, a, b).join(classes.select("node", "least"), "node"), "linked")
     least = stage_table(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")

@@ -88,8 +88,7 @@ def test_components(spark):
 def test_small_chunks_many_ranges_and_a_hot_shingle(make_docs, monkeypatch):
     """A shingle in a third of all texts goes to its range once a chunk, with the number of its holders."""
     import maskfold.llm.jaccard_join as J
-    monkeypatch.setattr(J, "CHUNK_TOKENS", 300)
-    monkeypatch.setattr(J, "TOKENS_A_RANGE", 150)
+    monkeypatch.setattr(J, "LEAST_TOKENS", 200)
     draw = random.Random(8)
     hot = "this very line stands everywhere"
     rows = []
@@ -103,7 +102,7 @@ def test_small_chunks_many_ranges_and_a_hot_shingle(make_docs, monkeypatch):
 
     hash_ = shingle_sets(pa.array([hot], pa.large_string()))[0][0]
     texts = docs.selectExpr("doc_id AS node", "text").repartition(2)
-    dealt = J.deal(texts, 5, 40).collect()
+    dealt = J.deal(texts, 5, 40, 300).collect()
     where = ((int(hash_) >> 32) * 40) >> 32
     entries, holders, chunks = 0, 0, set()
     for r in dealt:
