@@ -1,12 +1,17 @@
 """String and word-array column functions (FN-01..19) and the default
 character-profile embedder (UDF-01 slot).
 
-Everything here is a Column expression (JVM side).  A model-backed embedder can
-replace ``char_profile`` through ``embed_words_udf`` (Arrow pandas UDF).
+Column expressions (JVM side), but for ``embed_words_udf`` and ``word_means_udf``: a model-backed
+embedder can replace ``char_profile`` through the first, and the second folds token vectors (Arrow, whole batches).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +64,14 @@ def char_profile(s) -> Column:
         (F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))).cast("double"))
 
 
+def profile_model():
+    """``char_profile`` as a Python embedder for ``embed_words_udf``."""
+    def model(words: list[str]) -> np.ndarray:
+        return np.array([[len(w), *(sum(map(w.count, pair)) for pair in ("aA", "eE", "iI", "oO", "uU")),
+                          sum("A" <= c <= "Z" for c in w), sum("0" <= c <= "9" for c in w)] for w in words], np.float64)
+    return model
+
+
 def token_pieces(word, piece: int = 4) -> Column:
     """Default tokenizer (UDF-06 slot): a word becomes pieces of ``piece`` characters."""
     w = _c(word)
@@ -111,11 +124,12 @@ def align_words_mask(ws, mask):
     return F.slice(_c(ws), 1, n), F.slice(_c(mask), 1, n)
 
 
-def pad_to(tokens, length, pad: int = PAD_ID) -> Column:
-    """FN-08: right-pad with the pad id to ``length``."""
-    t = _c(tokens)
-    return F.concat(t, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(length) - F.size(t)) if isinstance(length, int)
-                                      else F.greatest(F.lit(0), length - F.size(t))))
+def pad_pooling(vectors, length: int, dim: int) -> Column:
+    """FN-11 ``pad``: the first ``length`` word vectors one after the other, zeros for words that aren't there.  Only the
+    row's own words are read; nothing is padded to the longest document."""
+    v = _c(vectors)
+    zero = F.array(*[F.lit(0.0)] * dim)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.get(v, i), zero)))
 
 
 def effective_length(tokens, pad: int = PAD_ID) -> Column:
@@ -144,29 +158,39 @@ def truncate_decimals(v, n: int = 4) -> Column:
     return F.regexp_extract(s, rf"^-?\d+\.\d{{{n}}}", 0)
 
 
-def embed_words_udf(model_fn, dim: int):
-    """UDF-01: wrap a Python embedder ``model_fn(list[str]) -> ndarray (n, dim)``
-    as an iterator pandas UDF (model created once per task)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType
-
-    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-    def _embed(batches):
-        for s in batches:
-            out = []
-            for ws in s:
-                v = model_fn(list(ws)) if len(ws) else np.zeros((0, dim))
-                out.append([list(map(float, r)) for r in np.asarray(v)])
-            yield pd.Series(out)
-    return _embed
-
-
-def token_to_word_mean(vectors, counts) -> Column:
-    """FN-07: collapse token vectors to word vectors (mean over each word's
-    tokens); ``counts`` are the token counts per word, in order."""
-    v, c = _c(vectors), _c(counts)
-    starts = F.transform(c, lambda n, i: F.aggregate(F.slice(c, 1, i), F.lit(0), lambda a, x: a + x))
-    return F.zip_with(starts, c, lambda s, n: F.transform(
-        F.get(F.slice(v, s + 1, n), 0),
-        lambda _x, k: F.aggregate(F.slice(v, s + 1, n), F.lit(0.0), lambda a, row: a + F.get(row, k)) / n))
+def embed_words_udf(make_model, dim: int):
+    """UDF-01: a Column function array<string> -> array<array<double>> around a Python embedder.  ``make_model()`` is called
+    once per task and gives ``model(list[str]) -> (n, dim)``; the words of a whole Arrow batch are embedded together, each distinct word once."""
+    @F.arrow_udf("array<array<double>>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make_model()
+        for column in batches:
+            flat, lengths = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            known = flat.dictionary_encode()
+            vectors = np.asarray(model(known.dictionary.to_pylist()), np.float64).reshape(-1, dim) if len(flat) else np.zeros((0, dim))
+            rows = vectors[known.indices.to_numpy(zero_copy_only=False)]
+            inner = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), inner)
+
+    return embed
+
+
+def word_means_udf(dim: int):
+    """FN-07: a Column function (token vectors, token counts per word) -> word vectors, the mean over each word's tokens.
+    One segment sum over the batch, with word starts from running totals of the counts.  A word without tokens is a zero vector;
+    counts that don't add up to the tokens are an error."""
+    @F.arrow_udf("array<array<double>>")
+    def fold(vectors: pa.Array, counts: pa.Array) -> pa.Array:
+        x = vectors.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        n = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False)
+        tokens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        at, first = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(words)))
+        if (at[first[1:]] - at[first[:-1]] != tokens).any():
+            raise ValueError("token counts don't add up to the token vectors")
+        sums = np.where((n > 0)[:, None], np.add.reduceat(np.vstack((x, np.zeros((1, dim)))), at[:-1], axis=0), 0.0) if len(n) else x[:0]
+        out = sums / np.maximum(n, 1)[:, None]
+        inner = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dim).cast(pa.list_(pa.float64()))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner)
+
+    return fold

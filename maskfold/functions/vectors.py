@@ -14,6 +14,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row: an expression inside a lambda is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_double_array(col) -> Column:
     """float32 embeddings are widened before any arithmetic."""
     return _c(col).cast("array<double>")
@@ -49,23 +54,21 @@ def l1_mean_dist(a, b) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (l2_norm(a) * l2_norm(b))
+    return dot(a, b) / (l2_norm(a) * l2_norm(b))  # no lambda: each part is evaluated once
 
 
 def row_l2_normalize(arr, eps: float = 1e-12) -> Column:
     """PRJ-11: x / max(||x||, eps)."""
-    n = F.greatest(l2_norm(arr), F.lit(eps))
-    return F.transform(_c(arr), lambda v: v / n)
+    return let(_c(arr), lambda a: let(F.greatest(l2_norm(a), F.lit(eps)), lambda n: F.transform(a, lambda v: v / n)))
 
 
 def row_standardize(arr) -> Column:
     """PRJ-12 (first half): (x - mean) / std with ddof=1 across the row."""
-    a = _c(arr)
-    n = F.size(a)
-    mean = vsum(a) / n
-    var = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)) / (n - 1)
-    sd = F.sqrt(var)
-    return F.transform(a, lambda v: (v - mean) / sd)
+    def scaled(a, mean):
+        squares = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+        return let(F.sqrt(squares / (F.size(a) - 1)), lambda sd: F.transform(a, lambda v: (v - mean) / sd))
+
+    return let(_c(arr), lambda a: let(vsum(a) / F.size(a), lambda mean: scaled(a, mean)))
 
 
 def soft_project(arr, mask) -> Column:

@@ -3,19 +3,20 @@ statistics, significance symbols (AGG-30..32)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cumulative import running_totals
+from ..session import staged
 
 
 def pooled_average_ranks(df: DataFrame, keys, value_col: str) -> DataFrame:
     """Average (mid) ranks of ``value_col`` pooled within ``keys``: values
-    below + (ties + 1) / 2, from running counts over distinct values."""
+    below + (ties + 1) / 2, by one window over the distinct values of a cohort.  Cohorts are result tables: a row
+    per method, dataset and run."""
     keys = list(keys)
     cnt = df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("t"))
-    cum = running_totals(cnt, keys, value_col, ["t"])
-    ranks = cum.select(*keys, value_col, "t", (F.col("t_cum") - F.col("t") + (F.col("t") + 1) / 2.0).alias("prank"))
+    upto = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = cnt.select(*keys, value_col, "t", (F.sum("t").over(upto) - F.col("t") + (F.col("t") + 1) / 2.0).alias("prank"))
     return df.join(ranks, keys + [value_col])
 
 
@@ -27,7 +28,7 @@ def kruskal_conover(ranked: DataFrame, keys, group_col: str, value_col: str):
     h_table: keys..., n, k, h, h_cor;  pairs: keys..., a, b, t_stat, df, mean_rank_a, mean_rank_b.
     """
     keys = list(keys)
-    r = pooled_average_ranks(ranked, keys, value_col)
+    r = staged(pooled_average_ranks(staged(ranked, "cohort"), keys, value_col), "cohort-ranks")  # read by several branches
     per = r.groupBy(*keys, group_col).agg(F.count(F.lit(1)).alias("ni"), F.sum("prank").alias("ri"),
                                           F.avg("prank").alias("mean_rank"))
     ties = r.select(*keys, value_col, "t").distinct().groupBy(*keys).agg(

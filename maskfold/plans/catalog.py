@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # importing the modules fills the registry
-    from . import q_core, q_scorers, q_kernels, q_text, q_report, q_sources, q_words, q_models, q_vectors, q_matrix  # noqa: F401
+    from . import q_core, q_scorers, q_kernels, q_text, q_report, q_sources, q_words, q_models, q_vectors, q_matrix, q_pooling  # noqa: F401
     return QUERIES

@@ -4,7 +4,7 @@ Datasets are the one-class problems "inlier class c" of the embedding table, one
 per label that occurs in it; runs use different split seeds.  Every (dataset, run) cell is a
 group column, so each scorer runs once over all cells (the data is replicated
 per cell with ``explode`` of a literal array, not a join).  Result rows are written
-once to the shared result store, under a fingerprint of the table's content and of the grid's
+once to the shared result store, under a fingerprint of the table's files and of the grid's
 parameters; every report scans that store.  Layout: method, space, base, dataset, emb_model, run,
 auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier.
 """
@@ -16,13 +16,14 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h_col, h_sql_seed
-from ..session import checkpoint_dir, path_kind, staged
+from ..session import checkpoint_dir, files_of, staged
 from ..operators.distance import subspace_distance
 from ..operators.ecod import ecod_long, ecod_subspace_scores
 from ..operators.ensemble import weighted_average
 from ..operators.masks import fixed_masks
 from ..operators.metrics import binary_metrics, metrics_sql
 from ..sources.datasets import embedding_matrix, width
+from ..sources.models import ModelStore
 from .sqlparts import WIDTH_SQL, fixed_mask_weights_sql, fixed_masks_long_sql
 
 # The grid of the registered experiment.
@@ -57,19 +58,19 @@ COLUMNS = ["method", "space", "base", "dataset", "emb_model", "run", "auc", "pra
 
 
 def store_path(spark, sf_dir, n_runs=N_RUNS) -> str:
-    """Where the result rows of this table's content and these parameters lie."""
-    content = embedding_matrix(spark, sf_dir).agg(
-        F.count("*"), F.sum(F.xxhash64("row_id", "x", "label").cast("decimal(38,0)"))).first()
-    key = repr((tuple(content), n_runs, BASE_SEED, METHODS, SPACE, EMB_MODEL))
+    """Where the result rows of this table (its files, their lengths and times of change) and these parameters lie."""
+    source = f"{sf_dir.rstrip('/')}/embeddings.parquet"
+    key = repr((source, sorted(files_of(spark, source).items()), n_runs, BASE_SEED, METHODS, SPACE, EMB_MODEL))
     return f"{checkpoint_dir(spark).rstrip('/')}/results-{hashlib.md5(key.encode()).hexdigest()}"
 
 
 def results_grid(spark, sf_dir, n_runs=N_RUNS):
-    """The stored result rows; they are computed and written if the store lacks them."""
-    path = store_path(spark, sf_dir, n_runs)
-    if path_kind(spark, f"{path}/_SUCCESS") == "none":
-        _compute(spark, sf_dir, n_runs).write.mode("overwrite").partitionBy("dataset", "run").parquet(path)
-    return spark.read.parquet(path).select(*COLUMNS)
+    """The stored result rows; they are computed and written if the store lacks them.  Sessions that start at once
+    each write a version of their own, of which readers take a complete one."""
+    store = ModelStore(spark, store_path(spark, sf_dir, n_runs))
+    if not store.versions():
+        store.save({"results": _compute(spark, sf_dir, n_runs)}, partition_by=("dataset", "run"))
+    return store.load()[1]["results"].select(*COLUMNS)
 
 
 def _compute(spark, sf_dir, n_runs):

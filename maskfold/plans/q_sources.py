@@ -12,13 +12,13 @@ from ..operators.masks import MASK_SEED
 from ..operators.metrics import classification_report
 from ..session import checkpoint_dir, path_kind, scratch_path
 from ..sources.cache import RowCache
-from ..sources.datasets import filter_labels, first_n, split_column, validate_prepared
+from ..sources.datasets import DatasetSpec, embedding_dataset, read_dataset, read_datasets, split_column, validate_prepared
 from ..sources.results import gated_scan, scan_result_tree, upsert, write_results_csv_tree
 from ..sources.tables import table
 from .catalog import register
 from .experiment import results_grid, results_grid_sql
 from .q_text import _bit, _bit_sql, _sql_clean, _sql_count, _sql_profile, _sql_words
-from .sqlparts import split_sql
+from .sqlparts import emb_dataset_sql, split_sql
 
 _R = results_grid_sql()
 TEXT_SCHEMA = "doc_id long, text string, sentiment string"
@@ -36,15 +36,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = TEXT_SCHEMA, positive: str | None = POSITIVE) -> DataFrame:
-    """SRC-01/03/05: CSV with a given schema; label 1 for ``positive``, else 0, or the constant 0 without one."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    label = F.lit(0) if positive is None else F.when(F.col("sentiment") == positive, 1).otherwise(0)
-    return df.withColumn("label", label)
-
-
-_CSV_SQL = f"""s AS (SELECT d.doc_id, coalesce(d.text, '') AS text, CAST(l.quality = 1 AS INTEGER) AS label,
-       {split_sql('d.doc_id')} AS split FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_CSV_SQL = f"""s AS (SELECT * FROM (SELECT d.doc_id, coalesce(d.text, '') AS text, CAST(l.quality = 1 AS INTEGER) AS label,
+       {split_sql('d.doc_id')} AS split FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE split = 'test' OR label = 1)"""
 
 
 @register("csv_text_source", f"""WITH {_CSV_SQL}
@@ -52,55 +45,79 @@ SELECT split, label, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(length(text)) AS BI
        CAST(SUM(len(string_split(text, chr(10))) - 1) AS BIGINT) AS line_feeds
 FROM s GROUP BY split, label""")
 def q_csv_text_source(spark, sf_dir):
-    """SRC-01/03 + PRJ-01/06: train and test files written to the shared folder, read with a schema, label
-    derived from a word, splits tagged and united; unknown labels and foreign rows are errors."""
+    """SRC-01/03 + PRJ-01 + UDF-06: train and test files written to the shared folder and read by two specs: schema, a label
+    derived from a word, the split, and of the training file only label 1; unknown labels are errors."""
     src = _labelled(spark, sf_dir).select(
         "doc_id", "text", F.when(F.col("quality") == 1, POSITIVE).otherwise("negative").alias("sentiment"),
         split_column("doc_id").alias("split"))
-    root, parts = scratch_path(spark, "csv-source"), []
+    root = scratch_path(spark, "csv-source")
     for split in ("train", "test"):
         write_csv(src.where(F.col("split") == split).drop("split"), f"{root}/{split}")
-        parts.append(read_csv(spark, f"{root}/{split}").withColumn("split", F.lit(split)))
-    both = filter_labels(parts[0].unionByName(parts[1]), [0, 1], domain=[0, 1])
-    text = F.coalesce("text", F.lit(""))
+    common = dict(x_col="text", id_col="doc_id", label_col="sentiment", fmt="csv", schema=TEXT_SCHEMA, positive=POSITIVE, labels=(0, 1))
+    both = read_datasets(spark, [DatasetSpec("train", f"{root}/train", split="train", keep=(1,), **common),
+                                 DatasetSpec("test", f"{root}/test", split="test", **common)])
+    text = F.coalesce("x", F.lit(""))
     return both.groupBy("split", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).cast("long").alias("chars"), F.min("doc_id").alias("first_id"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).cast("long").alias("chars"), F.min("row_id").alias("first_id"),
         F.sum(F.size(F.split(text, "\n", -1)) - 1).cast("long").alias("line_feeds"))
 
 
-TASKS = {"en": "english prose", "de": "german prose"}  # task code -> title
+TITLES = {"en": "english prose", "de": "german prose", "fr": "french prose", "es": "spanish prose"}  # other codes are their own title
 TASK_ROWS = 25
+_TITLE_SQL = "CASE " + " ".join(f"WHEN lang = '{k}' THEN '{v}'" for k, v in TITLES.items()) + " ELSE coalesce(lang, 'none') END"
 
 
-@register("task_source", f"""WITH t(lang, task) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in TASKS.items())}),
-s AS (SELECT d.doc_id, t.task, 0 AS label, row_number() OVER (PARTITION BY t.task ORDER BY d.doc_id) AS r
-      FROM documents d JOIN t ON d.lang = t.lang)
-SELECT doc_id, task, label FROM s WHERE r <= {TASK_ROWS}""")
-def q_task_source(spark, sf_dir):
-    """SRC-02/04/05 + PRJ-05: documents cached once as Parquet by task, each task read through a partition
-    filter, with a constant label and its first rows."""
-    docs = table(spark, sf_dir, "documents")
-    key = docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "lang").cast("decimal(38,0)"))).first()
+def task_specs(spark, sf_dir, first: int = -1) -> list[DatasetSpec]:
+    """One spec per task that occurs, over documents cached once as Parquet by task; each is read through a partition filter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("original_task"))
+    key = docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text", "original_task").cast("decimal(38,0)"))).first()
     path = f"{checkpoint_dir(spark).rstrip('/')}/tasks-{key[0]}-{key[1]}"
     if path_kind(spark, f"{path}/_SUCCESS") == "none":
-        docs.select("doc_id", "text", F.col("lang").alias("original_task")).write.mode("overwrite").partitionBy("original_task").parquet(path)
-    cached, out = spark.read.parquet(path), None
-    for code, title in TASKS.items():
-        rows = first_n(cached.where(F.col("original_task") == code), TASK_ROWS, "doc_id").select(
-            "doc_id", F.lit(title).alias("task"), F.lit(0).alias("label"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        docs.write.mode("overwrite").partitionBy("original_task").parquet(path)
+    # one row a task
+    tasks = [r[0] for r in spark.read.parquet(path).select("original_task").distinct().orderBy("original_task").collect()]
+    return [DatasetSpec(TITLES.get(t, t), path, "text", "doc_id", constant_label=0, where=(("original_task", t),), first=first) for t in tasks]
+
+
+@register("task_source", f"""SELECT doc_id, {_TITLE_SQL} AS task, 0 AS label, CAST(length(coalesce(text, '')) AS INTEGER) AS chars FROM documents""")
+def q_task_source(spark, sf_dir):
+    """SRC-02/04/05 + UDF-06: every row of every task, with its constant label."""
+    rows = read_datasets(spark, task_specs(spark, sf_dir))
+    return rows.select(F.col("row_id").alias("doc_id"), F.col("dataset").alias("task"), "label",
+                       F.length(F.coalesce("x", F.lit(""))).alias("chars"))
+
+
+@register("task_source_first_rows", f"""WITH s AS (SELECT doc_id, {_TITLE_SQL} AS task, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents)
+SELECT doc_id, task, 0 AS label FROM s WHERE r <= {TASK_ROWS}""")
+def q_task_source_first_rows(spark, sf_dir):
+    """PRJ-05: the first rows of every task by id."""
+    rows = read_datasets(spark, task_specs(spark, sf_dir, TASK_ROWS))
+    return rows.select(F.col("row_id").alias("doc_id"), F.col("dataset").alias("task"), "label")
 
 
-@register("prepared_data_checks", """SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, 0 AS nan_rows, MIN(len(embedding)) AS min_dim,
-       MAX(len(embedding)) AS max_dim FROM embeddings""")
+@register("prepared_data_checks", f"""WITH ds AS ({emb_dataset_sql(0)})
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, 0 AS nan_rows, MIN(len(embedding)) AS min_dim, MAX(len(embedding)) AS max_dim,
+       CAST(SUM(CAST(split = 'train' AND label <> 0 AS INTEGER)) AS BIGINT) AS foreign_train FROM ds""")
 def q_prepared_data_checks(spark, sf_dir):
-    """PRJ-06: the checks of a prepared matrix, in one pass."""
-    x = table(spark, sf_dir, "embeddings").select(
-        F.col("embedding").cast("array<double>").alias("x"), F.lit("train").alias("split"), F.lit(0).alias("label"))
-    r = validate_prepared(x, 0)
-    row = (r["rows"], int(r["nan_rows"] or 0), r["min_dim"], r["max_dim"])
-    return spark.createDataFrame([row], "n_rows long, nan_rows int, min_dim long, max_dim long")
+    """PRJ-06: the checks of a prepared one-class matrix, in one pass; a failed one stops the query."""
+    r = validate_prepared(embedding_dataset(spark, sf_dir, 0), 0)
+    row = (r["rows"], int(r["nan_rows"] or 0), r["min_dim"], r["max_dim"], int(r["foreign_train"] or 0))
+    return spark.createDataFrame([row], "n_rows long, nan_rows int, min_dim long, max_dim long, foreign_train long")
+
+
+@register("standardized_specs", f"""WITH xl AS (SELECT vec_id AS row_id, label, UNNEST(range(len(embedding))) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS v
+  FROM embeddings WHERE label IN (0, 1, 2)),
+m AS (SELECT row_id, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM xl GROUP BY row_id),
+z AS (SELECT xl.row_id, label, dim, (v - mu) / sd AS z FROM xl JOIN m ON m.row_id = xl.row_id),
+n AS (SELECT row_id, CAST(ANY_VALUE(label) AS INTEGER) AS label, SQRT(SUM(z * z)) AS nrm, MAX(z) AS hi FROM z GROUP BY row_id)
+SELECT row_id, label, {split_sql('row_id')} AS split, ROUND(hi / nrm, 6) AS largest FROM n""")
+def q_standardized_specs(spark, sf_dir):
+    """UDF-06 + PRJ-12: a vector table read by a spec that keeps three labels and standardises its rows."""
+    domain = tuple(r[0] for r in table(spark, sf_dir, "embeddings").select("label").distinct().collect())  # one row a label
+    spec = DatasetSpec("vectors", f"{sf_dir.rstrip('/')}/embeddings.parquet", "embedding", "vec_id", "label", labels=domain,
+                       keep=tuple(c for c in domain if c in (0, 1, 2)), standardize=True)
+    rows = read_dataset(spark, spec)
+    return rows.select("row_id", "label", "split", F.round(F.array_max("x"), 6).alias("largest"))
 
 
 # ---------------------------------------------------------------- incremental caches

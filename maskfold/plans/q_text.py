@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,14 @@ PROMPT = dict(sample_prefix="Text :", label_prefix="Quality :",
 TOKEN_CAP = 512
 TRUNCATE_TOKENS = 256  # the truncation feature's length
 
-_SQL_CLEAN = r"replace(translate({t}, '\()[]{{}}.,:;!?', ''), '-', ' ')"
+def _quoted(s):
+    """A SQL string of characters, the unprintable ones by their code."""
+    runs = ("".join(g) for _, g in groupby(s, key=lambda c: c if c < " " else ""))
+    return " || ".join(f"chr({ord(r)})" if r < " " else "'" + r.replace("'", "''") + "'" for r in runs)
 
 
 def _sql_clean(t):
-    return _SQL_CLEAN.format(t=t)
+    return f"replace(translate({t}, {_quoted(TX.CLEAN_DELETE)}, ''), '-', ' ')"
 
 
 def _sql_words(t):
@@ -36,9 +41,8 @@ def _sql_words(t):
 
 
 def _sql_vocab_clean(t):
-    first = "chr(10) || chr(13) || chr(9) || '.,!?;:()[]{}<>|'"
-    second = "'\\/_+=*&^%$#@~`\"-'"
-    return f"translate(replace(translate({t}, {first}, ''), '''''', ''), {second}, '')"
+    deleted = f"replace(translate({t}, {_quoted(TX.VOCAB_DELETE_1)}, ''), {_quoted(TX.VOCAB_DELETE_PAIR)}, '')"
+    return f"translate({deleted}, {_quoted(TX.VOCAB_DELETE_2)}, '')"
 
 
 def _sql_count(s, chars):
@@ -140,6 +144,7 @@ _PREFIX, _SUFFIX, _FULL, _PLEN = TX.build_prompt(**PROMPT)
 @register("prompt_wrap", f"""WITH w AS (SELECT doc_id, {_sql_words('text')} AS ws FROM documents)
 SELECT doc_id, CAST(len(list_concat({_sql_list(_PREFIX)}, ws, {_sql_list(_SUFFIX)})) AS INTEGER) AS n_wrapped,
        CAST(len(ws[1:{TX.word_cap(TOKEN_CAP)}]) AS INTEGER) AS n_capped,
+       md5(array_to_string(ws[1:{TX.word_cap(TOKEN_CAP)}], ' ')) AS capped_words,
        CAST({_PLEN} AS INTEGER) AS prompt_length, {len(_FULL)} AS full_prompt_chars,
        list_concat({_sql_list(_PREFIX)}, ws, {_sql_list(_SUFFIX)})[-1] AS last_word
 FROM w""")
@@ -150,6 +155,7 @@ def q_prompt_wrap(spark, sf_dir):
     wrapped = TX.wrap_prompt(ws, _PREFIX, _SUFFIX)
     return d.select("doc_id", F.size(wrapped).alias("n_wrapped"),
                     F.size(F.slice(ws, 1, TX.word_cap(TOKEN_CAP))).alias("n_capped"),
+                    F.md5(F.array_join(F.slice(ws, 1, TX.word_cap(TOKEN_CAP)), " ")).alias("capped_words"),
                     F.lit(_PLEN).alias("prompt_length"), F.lit(len(_FULL)).alias("full_prompt_chars"),
                     F.element_at(wrapped, -1).alias("last_word"))
 
@@ -176,8 +182,8 @@ def _kept(ws, draws, j):
 @register("word_token_masks", f"""WITH w AS (SELECT doc_id, UNNEST({_sql_words(_sql_clean('text'))}) AS word,
         UNNEST(range(len({_sql_words(_sql_clean('text'))}))) AS pos FROM documents),
 t AS (SELECT doc_id, pos, GREATEST(1, CEIL(length(word) / 4)) AS n_tok, {_bit_sql('pos', 0)} AS m FROM w)
-SELECT doc_id, CAST(SUM(n_tok) AS INTEGER) AS n_tokens, CAST(SUM(n_tok * m) AS INTEGER) AS n_masked_tokens,
-       CAST(SUM(m) AS INTEGER) AS n_words_kept FROM t GROUP BY doc_id""")
+SELECT d.doc_id, CAST(coalesce(SUM(n_tok), 0) AS INTEGER) AS n_tokens, CAST(coalesce(SUM(n_tok * m), 0) AS INTEGER) AS n_masked_tokens,
+       CAST(coalesce(SUM(m), 0) AS INTEGER) AS n_words_kept FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
 def q_word_token_masks(spark, sf_dir):
     """FN-04 + FN-06: a word-position mask (fixed mask 0, as long as the text)
     expanded to token positions by each word's token count.  A document without words has 0, 0, 0."""
@@ -329,7 +335,9 @@ def text_subspace_scores(spark, sf_dir, space="word"):
 
 
 def _units_sql(t, space):
+    """The words or tokens; one empty one for a text without any, whose profile is zero."""
     words = _sql_words(_sql_clean(t))
+    words = f"(CASE WHEN len({words}) > 0 THEN {words} ELSE [''] END)"
     if space == "word":
         return words
     return (f"flatten(list_transform({words}, lambda w: list_transform(range(CAST(GREATEST(1, CEIL(length(w) / 4)) AS BIGINT)), "
@@ -340,8 +348,8 @@ def _text_sql(space="word"):
     w = [840 // (j + 1) for j in range(N_TEXT_MASKS)]
     probs = " UNION ALL ".join(f"SELECT {j} AS subspace_id, {w[j] / float(sum(w))!r} AS proba" for j in range(N_TEXT_MASKS))
     return f"""ds AS ({_DOC_DS}),
-w AS (SELECT row_id, UNNEST({_units_sql('text', space)}) AS word,
-             UNNEST(range(len({_units_sql('text', space)}))) AS pos FROM ds),
+w AS (SELECT row_id, UNNEST(units) AS word, UNNEST(range(len(units))) AS pos FROM (
+        SELECT row_id, {_units_sql("coalesce(text, '')", space)} AS units FROM ds)),
 v AS (SELECT row_id, pos, {_sql_profile('word')} AS f FROM w),
 vl AS (SELECT row_id, pos, UNNEST(range(8)) AS k, UNNEST(f) AS x FROM v),
 nw AS (SELECT row_id, COUNT(*) AS n FROM v GROUP BY row_id),

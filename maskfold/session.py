@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,8 +61,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for a written table."""
     import uuid
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in getattr(spark.sparkContext, "_maskfold_scopes", []):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Inside, written tables of the package are noted, and deleted at the end: for callers that have written or
+    collected what they want of the results.  Results that are still lazy by then can't be read any more."""
+    sc = spark.sparkContext
+    scopes = sc._maskfold_scopes = getattr(sc, "_maskfold_scopes", [])
+    made: list[str] = []
+    scopes.append(made)
+    try:
+        yield
+    finally:
+        scopes.remove(made)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def path_kind(spark: SparkSession, path: str) -> str:
@@ -73,6 +93,15 @@ def path_kind(spark: SparkSession, path: str) -> str:
     return "folder" if fs.getFileStatus(where).isDirectory() else "file"
 
 
+def files_of(spark: SparkSession, source: str) -> dict[str, tuple[int, int]]:
+    """Name -> (length, time of change in ms) of the data files of a folder, or of a file; a few numbers a file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(where)
+    return {s.getPath().getName(): (s.getLen(), s.getModificationTime()) for s in found
+            if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
+
+
 def staged(df, name: str):
     """Write ``df`` once as Parquet to the shared folder and read it back: several branches of a
     plan may read it, nothing stays cached on executors, and a lost one costs a re-read."""

@@ -10,13 +10,13 @@ Training rows are the inlier class only; test rows keep every class.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from ..functions.vectors import as_double_array
+from ..functions.vectors import as_double_array, row_l2_normalize, row_standardize
 from .tables import table
 
 SPLIT_SEED = 42
@@ -34,13 +34,16 @@ def outlier_column(inlier, label_col: str = "label"):
 
 
 def filter_labels(df: DataFrame, labels, domain=None, label_col: str = "label") -> DataFrame:
-    """PRJ-01: keep the given labels; a label outside the domain is an error."""
+    """PRJ-01: keep the given labels; one outside the domain, asked for or found in the data, is an error."""
     labels = list(labels)
+    label = F.col(label_col)
     if domain is not None:
         unknown = sorted(set(labels) - set(domain))
         if unknown:
             raise ValueError(f"labels {unknown} not in the label domain {sorted(domain)}")
-    return df.filter(F.col(label_col).isin(labels))
+        label = F.when(label.isin(list(domain)), label).otherwise(F.raise_error(F.concat(
+            F.lit("a label is not in the label domain: "), F.coalesce(label.cast("string"), F.lit("null")))))
+    return df.filter(label.isin(labels))
 
 
 def one_class(df: DataFrame, inlier, seed: int = SPLIT_SEED, test_mod: int = TEST_MOD,
@@ -64,14 +67,6 @@ def width(x: DataFrame, x_col: str = "x") -> int:
     return x.agg(F.max(F.size(x_col))).first()[0] or 0
 
 
-def columns_matrix(df: DataFrame, cols, id_col=None) -> DataFrame:
-    """SRC-06 for wide numeric tables: array(cols) as array<double>."""
-    sel = [F.array(*[F.col(c).cast("double") for c in cols]).alias("x")]
-    if id_col:
-        sel = [F.col(id_col).alias("row_id")] + sel
-    return df.select(*sel)
-
-
 def embedding_dataset(spark: SparkSession, sf_dir: str, inlier: int = 0,
                       seed: int = SPLIT_SEED) -> DataFrame:
     return one_class(embedding_matrix(spark, sf_dir), inlier, seed)
@@ -115,14 +110,60 @@ def validate_prepared(df: DataFrame, inlier, x_col: str = "x") -> dict:
     return r
 
 
-@dataclass
+@dataclass(frozen=True)
 class DatasetSpec:
-    """UDF-06: data-driven dataset description (replaces subclassing)."""
+    """UDF-06: a dataset as data instead of a subclass; ``read_dataset`` is driven by it alone."""
     name: str
     path: str
-    text_col: str
-    label_col: str
-    labels: list = field(default_factory=list)
-    fmt: str = "csv"
-    positive_value: str | None = None   # SRC-03: string label -> 1/0
-    constant_label: int | None = None   # SRC-05
+    x_col: str                           # the text or vector column
+    id_col: str = "row_id"
+    label_col: str | None = None
+    fmt: str = "parquet"
+    schema: str | None = None            # needed for csv
+    positive: str | None = None          # SRC-03: the label is 1 for this word, else 0
+    constant_label: int | None = None    # SRC-05
+    labels: tuple = ()                   # PRJ-01: every label that may occur; none: any
+    keep: tuple = ()                     # PRJ-01: the labels kept; none: all
+    where: tuple = ()                    # (column, value) pairs that select the source's rows
+    split: str | None = None             # all rows of one split, or none: by the id's draw (PRJ-03)
+    standardize: bool = False            # PRJ-12, vectors only
+    first: int = -1                      # PRJ-05
+
+
+def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
+    """(dataset, row_id, x, label, split) of a spec."""
+    reader = spark.read.schema(spec.schema) if spec.schema else spark.read
+    if spec.fmt == "csv":
+        if not spec.schema:
+            raise ValueError(f"{spec.name}: a csv source needs a schema")
+        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(spec.path)
+    else:
+        df = reader.format(spec.fmt).load(spec.path)
+    for column, value in spec.where:
+        df = df.where(F.col(column) == F.lit(value))
+    if spec.constant_label is not None:
+        label = F.lit(spec.constant_label)
+    elif spec.label_col is None:
+        raise ValueError(f"{spec.name}: neither a label column nor a constant label")
+    elif spec.positive is not None:
+        label = F.when(F.col(spec.label_col) == spec.positive, 1).otherwise(0)
+    else:
+        label = F.col(spec.label_col)
+    x = F.col(spec.x_col)
+    if spec.standardize:
+        x = row_l2_normalize(row_standardize(as_double_array(x)))
+    rows = df.select(F.lit(spec.name).alias("dataset"), F.col(spec.id_col).cast("long").alias("row_id"), x.alias("x"),
+                     label.cast("int").alias("label"))
+    rows = rows.withColumn("split", split_column("row_id") if spec.split is None else F.lit(spec.split))
+    if spec.keep or spec.labels:
+        kept = spec.keep or spec.labels
+        rows = filter_labels(rows, kept, spec.labels or kept)
+    return first_n(rows, spec.first)
+
+
+def read_datasets(spark: SparkSession, specs: list[DatasetSpec]) -> DataFrame:
+    """The rows of all specs, one below the other."""
+    out = read_dataset(spark, specs[0])
+    for s in specs[1:]:
+        out = out.unionByName(read_dataset(spark, s))
+    return out

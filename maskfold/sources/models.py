@@ -31,11 +31,11 @@ class ModelStore:
                 found[int(name[1:].split("-")[0])] = f"{self.path}/{name}"
         return found
 
-    def save(self, tables: dict[str, DataFrame], **parameters) -> int:
+    def save(self, tables: dict[str, DataFrame], partition_by: tuple[str, ...] = (), **parameters) -> int:
         version = 1 + max(self.versions(), default=0)
         folder = f"{self.path}/v{version:06d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
+            df.write.partitionBy(*partition_by).parquet(f"{folder}/{name}")
         row = [(version, json.dumps(parameters, sort_keys=True), sorted(tables))]
         self.spark.createDataFrame(row, "version int, parameters string, tables array<string>").coalesce(1).write.parquet(f"{folder}/parameters")
         return version

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import RowCache
 
 RESULT_PARTITIONS = ("dataset", "emb_model", "run")
 
@@ -45,3 +46,8 @@ def pending(spec: DataFrame, done: DataFrame, keys) -> DataFrame:
     s = spec.fillna("no_prompt", subset=[k for k in keys if dict(spec.dtypes).get(k) == "string"])
     d = done.fillna("no_prompt", subset=[k for k in keys if dict(done.dtypes).get(k) == "string"])
     return s.join(d.select(*keys), list(keys), "left_anti")
+
+
+def incremental_append(spark: SparkSession, source: DataFrame, cache_path: str, key: str, transform) -> DataFrame:
+    """SRC-12/13 without an early stop: transform and append the rows that the cache lacks; the full cache."""
+    return RowCache(spark, cache_path, key, transform).fill(source)

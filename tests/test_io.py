@@ -74,6 +74,72 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert sorted(got.collect(), key=lambda r: r.doc_id) == sorted(want.collect(), key=lambda r: r.doc_id)
 
 
+def test_a_table_written_anew_starts_a_new_sink(spark, tmp_path):
+    from maskfold.streaming.incremental import incremental_document_features
+    folder = f"{tmp_path}/documents.parquet"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    write = lambda rows, mode: spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).parquet(folder)
+    write([(1, "Some words here", "en", "a", 1), (2, "x", "en", "a", 0)], "overwrite")
+    assert incremental_document_features(spark, str(tmp_path)).count() == 2
+    write([(3, "other words", "en", "a", 1)], "overwrite")
+    assert [r.doc_id for r in incremental_document_features(spark, str(tmp_path)).collect()] == [3]
+    write([(4, "more", "en", "a", 1)], "append")
+    assert sorted(r.doc_id for r in incremental_document_features(spark, str(tmp_path)).collect()) == [3, 4]
+
+
+def test_a_file_of_the_same_name_written_anew(spark, tmp_path):
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from maskfold.streaming.incremental import incremental_document_features
+    for ids in ([1, 2], [5, 6, 7]):
+        pq.write_table(pa.table({"doc_id": pa.array(ids), "text": ["a b"] * len(ids), "lang": ["en"] * len(ids),
+                                 "source": ["s"] * len(ids), "n_chars": pa.array([3] * len(ids))}), f"{tmp_path}/documents.parquet")
+        assert sorted(r.doc_id for r in incremental_document_features(spark, str(tmp_path)).collect()) == ids
+        time.sleep(1.1)
+
+
+def test_scratch_scope_deletes_its_own_tables_only(spark):
+    from maskfold.session import path_kind, scratch_path, scratch_scope, staged
+    outside = scratch_path(spark, "outside")
+    spark.range(3).write.parquet(outside)
+    with scratch_scope(spark):
+        inside = staged(spark.range(5), "inside")
+        folder = inside.inputFiles()[0].rsplit("/", 1)[0]
+        assert inside.count() == 5
+        with scratch_scope(spark):
+            inner = staged(spark.range(2), "inner").inputFiles()[0].rsplit("/", 1)[0]
+        assert path_kind(spark, inner) == "none" and path_kind(spark, folder) == "folder"
+    assert path_kind(spark, folder) == "none" and path_kind(spark, outside) == "folder"
+
+
+def test_dataset_specs(spark, tmp_path):
+    from maskfold.sources.datasets import DatasetSpec, read_dataset, read_datasets, validate_prepared
+    spark.createDataFrame([(i, f"t{i}", i % 3, "en" if i < 6 else "de") for i in range(9)], "id long, t string, y int, lang string") \
+        .write.parquet(f"{tmp_path}/p")
+    spec = lambda name="d", **more: DatasetSpec(name, f"{tmp_path}/p", "t", "id", **({"label_col": "y"} | more))
+    assert read_dataset(spark, spec()).count() == 9
+    assert {r.label for r in read_dataset(spark, spec(labels=(0, 1, 2), keep=(1, 2))).collect()} == {1, 2}
+    assert [r.row_id for r in read_dataset(spark, spec(where=(("lang", "de"),), first=2)).collect()] == [6, 7]
+    assert {(r.label, r.split) for r in read_dataset(spark, spec(constant_label=0, split="test")).collect()} == {(0, "test")}
+    with pytest.raises(ValueError, match="domain"):
+        read_dataset(spark, spec(labels=(0, 1), keep=(7,)))
+    with pytest.raises(Exception, match="label domain"):  # label 2 occurs
+        read_dataset(spark, spec(labels=(0, 1))).collect()
+    with pytest.raises(ValueError):
+        read_dataset(spark, spec(label_col=None))
+    both = read_datasets(spark, [spec("a", constant_label=1), spec("b", positive="x", label_col="lang")])
+    assert both.groupBy("dataset").count().count() == 2
+    rows = spark.createDataFrame([("train", 0, [1.0, 2.0]), ("train", 1, [1.0, 2.0])], "split string, label int, x array<double>")
+    with pytest.raises(ValueError, match="inlier"):
+        validate_prepared(rows, 0)
+    with pytest.raises(ValueError, match="NaN"):
+        validate_prepared(rows.selectExpr("split", "0 AS label", "array(double('nan')) AS x"), 0)
+    with pytest.raises(ValueError, match="ragged"):
+        validate_prepared(rows.selectExpr("split", "0 AS label", "slice(x, 1, label + 1) AS x"), 0)
+
+
 def test_checkpoint_folder_is_needed_on_a_cluster():
     from maskfold.session import checkpoint_dir
 
