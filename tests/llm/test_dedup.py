@@ -16,14 +16,22 @@ def test_exact_dedup(edge, empty):
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), LAST if i is None else i, i))
     want = []
     for content, members in groups.items():
-        best = min(members)
-        want += [(i, best[2], len(members), (n, w) == best[:2], hashlib.sha256(content.encode()).hexdigest())
-                 for n, w, i in members]
+        members.sort(key=lambda m: m[:2])
+        want += [(i, members[0][2], len(members), k == 0, hashlib.sha256(content.encode()).hexdigest())
+                 for k, (_, _, i) in enumerate(members)]
     got = [(r.id, r.keep_id, r.group_size, r.kept, r.sha) for r in exact_dedup(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert exact_dedup(empty).count() == 0
 
 
+def test_one_row_stays_of_rows_that_repeat_in_full(make_docs):
+    rows = [(1, "a b", "x")] * 3 + [(2, "ab", "x"), (None, "q", "x"), (None, "q", "x"), (3, "", "x"), (3, None, "x")]
+    got = exact_dedup(make_docs(rows)).collect()
+    kept = [r for r in got if r.kept]
+    assert sorted((str(r.keep_id), r.group_size) for r in kept) == [("1", 4), ("3", 2), ("None", 2)] and len(got) == 8
+    assert all(r.id == r.keep_id for r in kept)
+
+
 def brute_lines(rows, min_docs=2):
     holders = defaultdict(set)
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
@@ -44,7 +52,7 @@ def test_line_dedup(edge, empty):
     for min_docs in (2, 3):
         got = line_dedup(docs, min_docs=min_docs)
         assert got.columns[:-2] == docs.columns
-        found = sorted((LAST if r.doc_id is None else r.doc_id, r.text, r.__n_lines if False else r["__n_lines"], r["__n_dropped"])
+        found = sorted((LAST if r.doc_id is None else r.doc_id, r.text, r["__n_lines"], r["__n_dropped"])
                        for r in got.collect())
         assert found == brute_lines(rows, min_docs)
     assert line_dedup(empty).count() == 0
