@@ -147,8 +147,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, rat
         slot, weight = ftrl([np.frombuffer(b, np.int32) for b in rows.slots], rows.label.tolist(), rates, seed)
         return pd.DataFrame({"slot": slot.astype("int32"), "weight": weight / parts})
 
-    weights = (rows.mapInArrow(slots, "part int, draw long, label int, slots binary")
-               .groupBy("part").applyInPandas(fit, "slot int, weight double")
+    # ids may repeat: rows of equal features count once, and the bound holds for rows, not ids
+    bounded = rows.mapInArrow(slots, "part int, draw long, label int, slots binary").distinct()
+    bounded = bounded.orderBy(F.xxhash64("draw", "slots"), "draw", "slots").limit(max_rows)
+    weights = (bounded.groupBy("part").applyInPandas(fit, "slot int, weight double")
                .groupBy("slot").agg(F.sum("weight").alias("weight")).orderBy("slot").toPandas())
     if not len(weights):
         return Model(np.zeros(0, np.int64), np.zeros(0), -35.0)

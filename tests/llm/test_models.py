@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from maskfold.llm.hnsw import build_index, nearest
 from maskfold.llm.html_content import Model, Page, features, main_text, train
 from maskfold.llm.labelled_pages import PAGES
-from maskfold.llm.toxicity import fit_toxicity, toxicity_score
+from maskfold.llm.toxicity import BITS, Model as Model0, Rates, fit_toxicity, ftrl, toxicity_score
 
 
 def test_toxicity_learns_and_keeps_rows(make_docs, spark, empty):
@@ -44,6 +44,47 @@ def test_toxicity_learns_and_keeps_rows(make_docs, spark, empty):
     assert empty.select(toxicity_score(empty, model)).count() == 0
 
 
+def test_ftrl_equals_a_plain_loop():
+    """FTRL-proximal, coordinate by coordinate in dictionaries."""
+    rates, draw = Rates(l1=0.4, epochs=3), np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 40, draw.integers(0, 12))).astype(np.int32) for _ in range(60)]
+    labels = [int(7 in r) for r in rows]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= rates.l1:
+            return 0.0
+        return -(z[i] - math.copysign(rates.l1, z[i])) / ((rates.beta + math.sqrt(n[i])) / rates.alpha + rates.l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(rates.epochs):
+        for k in order.permutation(len(rows)):
+            seen = [*rows[k].tolist(), 1 << BITS]
+            w = {i: weight(i) for i in seen}
+            p = 1 / (1 + math.exp(-sum(w.values())))
+            g = (p - labels[k]) * (rates.toxic_weight if labels[k] else 1.0)
+            for i in seen:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / rates.alpha * w[i]
+                n[i] = before + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    slots, weights = ftrl(rows, labels, rates, 5)
+    assert slots.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)])
+    assert 7 in want and 0 < len(want) < 41  # the L1 term leaves most slots at zero
+
+
+def test_rows_that_repeat_an_id_stay_within_the_bound(make_docs, spark):
+    rows = [(1, f"nasty text number {i}", "a") for i in range(300)] + [(2, f"plain words number {i % 250}", "a") for i in range(400)] + [(3, "vile one", "a")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    model, again = (fit_toxicity(d, labels, max_rows=50) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(model.slots, again.slots) and np.allclose(model.weights, again.weights)
+    scores = {r.text: r.s for r in docs.withColumn("s", toxicity_score(docs, model)).collect()}
+    assert scores["plain words number 3"] < 0.5 and scores["nasty text number 7"] >= 0.5
+    half = make_docs([(1, "", "a")])
+    assert half.select(toxicity_score(half, Model0(np.zeros(0, np.int64), np.zeros(0), 0.0))).first()[0] == 0.5  # a tie
+
+
 def test_marginals_equal_enumeration():
     page = Page("<body><nav><a href=x>Home</a></nav><div class=ad>Buy</div><article><p>Text</p></article></body>")
     nodes, draw = page.nodes, random.Random(0)
