@@ -5,16 +5,16 @@ vector, so equal vectors share a shard and become one graph node with their ids
 builds the graph of one shard and keeps it as flat arrays: vectors, and per layer the neighbours of each
 node in a row of fixed width, -1 where unused.  The index is a table of one row per shard.
 
-Search: queries are cut into blocks of ``block_rows``; every (shard, block) pair is one row of a
-join on the shard number.  A task searches each query in its shard's graph and returns the ``k`` best.  A
-window per query merges the shards' results.  Scores are Euclidean distances in double
+Search: queries are packed in blocks of ``block_rows``, which go to every shard.  Rows are dealt by shard and sorted, so a task
+loads a shard's graph once and streams the blocks through it, one in memory at a time; each query has the ``k`` best
+of the shard.  A window per query merges the shards' results.  Scores are Euclidean distances in double
 precision on the original vectors; ties go to the smaller id.
 
 Only the query's own row is left out of its candidates.  Nodes with equal vectors are expanded by id,
 so a query in a large group of equal vectors finds the smallest ids of the group.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as
-do ids that are null; vectors of another length than the most frequent one take no part either; with fewer
+do ids that are null; of rows that repeat a query's id the smallest vector is searched for; vectors of another length than the most frequent one take no part either; with fewer
 candidates than ``k`` all are returned; empty tables give empty results; other columns are ignored.
 """
 
@@ -179,41 +179,58 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 120, block_rows: int = 1024, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): each query's nearest found."""
-    wanted = usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    wanted = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     n = wanted.count()
-    last = index.agg(F.max("shard")).first()[0]  # shards are numbered from 0; empty ones drop out of the join
+    last = index.agg(F.max("shard")).first()[0]  # shards are numbered from 0; one that isn't there finds nothing
     blocks = (wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, ceil(n / block_rows)))))
               .groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>"))))
-
-    def run(rows):
-        import pandas as pd
-
-        row = rows.iloc[0]  # one graph and one block
-        v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-        links = [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(row["links"], row["widths"])]
-        first, ids = np.frombuffer(row["first"], np.int64), np.frombuffer(row["ids"], np.int64)
-        graph, seen, mark = Graph(v, links, row["entry"]), np.zeros(len(v), np.int64), 0
-        out: list[tuple] = []
-        for item in row["queries"]:
-            q = np.array(item["v"], np.float64)
-            if len(q) != row["dim"]:
-                continue
-            mark += len(links) + 1
-            nodes = np.array([i for _, i in graph.find(q, k + 1, ef, seen, mark)], np.int64)
-            exact = np.sqrt(((v[nodes] - q) ** 2).sum(1))
-            found = [(d, int(j)) for d, i in zip(exact.tolist(), nodes) for j in ids[first[i]: first[i + 1]][: k + 1]
-                     if j != item["id"]]
-            out += [(item["id"], j, d) for d, j in heapq.nsmallest(k, found)]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    # grouped, so that a task holds one graph and one block at a time; the join's partitioning serves it
-    found = index.join(blocks, "shard").groupBy("shard", "block").applyInPandas(run, "query_id long, id long, score double")
+              .select("queries", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")).alias("shard")))
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        graph = shard = None
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in (*columns, "queries")}
+                if not row["queries"].is_valid:  # a shard's graph comes ahead of the blocks of queries
+                    graph, shard = loaded({c: row[c].as_py() for c in columns}), row["shard"].as_py()
+                elif row["shard"].as_py() == shard:
+                    out = list(answers(*graph, row["queries"].as_py(), k, ef))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                        zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+    both = index.select(*columns, F.lit(None).cast(blocks.schema["queries"].dataType).alias("queries")).unionByName(blocks, allowMissingColumns=True)
+    found = both.repartition("shard").sortWithinPartitions("shard", F.col("queries").isNotNull()).mapInArrow(
+        run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "id", "score")
 
 
+def loaded(row: dict) -> tuple:
+    """A shard's graph, the first id of each node, the ids, and marks for its searches."""
+    v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+    links = [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(row["links"], row["widths"])]
+    first, ids = np.frombuffer(row["first"], np.int64), np.frombuffer(row["ids"], np.int64)
+    return Graph(v, links, row["entry"]), first, ids, np.zeros(len(v), np.int64), [0]
+
+
+def answers(graph, first, ids, seen, mark, queries: list[dict], k: int, ef: int):
+    """(query id, id, distance) of a shard's nearest nodes to each query of a block."""
+    for item in queries:
+        q = np.array(item["v"], np.float64)
+        if len(q) != graph.v.shape[1]:
+            continue
+        mark[0] += len(graph.links) + 1
+        nodes = np.array([i for _, i in graph.find(q, k + 1, ef, seen, mark[0])], np.int64)
+        exact = np.sqrt(((graph.v[nodes] - q) ** 2).sum(1))
+        found = [(d, int(j)) for d, i in zip(exact.tolist(), nodes) for j in ids[first[i]: first[i + 1]][: k + 1] if j != item["id"]]
+        for d, j in heapq.nsmallest(k, found):
+            yield item["id"], j, d
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
             shard_rows: int = 2000) -> DataFrame:
     index = stage_table(build_index(vectors, id_col, vector_col, shard_rows, copies=k + 1), "hnsw")
