@@ -10,7 +10,7 @@ the pairs, so a first turn that a third of all conversations share is no join ke
 
 Edge cases: null roles and texts count as empty; turns are ordered by their number, nulls first, then role and
 text, and a repeated row is one turn; a pair with equal conversations has empty completions;
-a pair with an unknown conversation gives no row; empty tables give empty results; other columns are ignored.
+a pair with an unknown conversation gives no row; rows without a conversation id belong to none; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,3 +68,18 @@ def preference_format(turns: DataFrame, pairs: DataFrame | None = None, id_col:
         "chosen", "rejected", "n_common", render(F.slice("c", F.lit(1), F.col("n_common"))).alias("prompt"),
         render(rest("c")).alias("chosen_text"), segments(rest("c")).alias("chosen_segments"),
         render(rest("r")).alias("rejected_text"), segments(rest("r")).alias("rejected_segments"))
+
+
+def with_altered_answers(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Turns of twice as many conversations: 2c is conversation c, and 2c + 1 the same with its last answer taken
+    from the conversation that has the number c with its last bit flipped (an empty text, if there is none).  So
+    ``neighbour_pairs`` gives preference pairs that share a prompt, for tables without rejected answers."""
+    rows = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("c"), F.col("turn").cast("long").alias("turn"),
+                                                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    answers = rows.where("role = 'assistant' and turn is not null").groupBy("c").agg(F.max(F.struct("turn", "text")).alias("a"))
+    last = answers.select("c", F.col("a.turn").alias("last"))
+    other = answers.select(F.col("c").bitwiseXOR(F.lit(1).cast("long")).alias("c"), F.col("a.text").alias("other"))
+    changed = rows.join(last, "c", "left").join(other, "c", "left")
+    here = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
+    changed = changed.select((2 * F.col("c") + 1).alias(id_col), "turn", "role", F.when(here, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    return rows.select((2 * F.col("c")).alias(id_col), "turn", "role", "text").unionByName(changed)

@@ -4,9 +4,10 @@
 2. Targets: each source's share by weight of ``share`` of all words; no target exceeds
    ``max_epochs`` times its source, and the excess is shared again by weight until none
    does.  Each round is one aggregate over the sources; two sums reach the driver.
-3. Shards: every source is split by a seeded hash into shards of bounded size, so a hot source
-   is many shards.  Within a shard the documents lie one after the other in seeded order, cut
-   into blocks of equal words; a shard's stream may be passed several times.
+3. Shards: every source is split by a seeded hash of id and text into shards of bounded size, so a hot source
+   is many shards, and so are its rows without an id.  Rows equal in id, text and source are counted first
+   and split into pieces of bounded size, which have draws of their own.  Within a shard the pieces lie one after the
+   other in seeded order, cut into blocks of equal words; a shard's stream may be passed several times.
 4. Quotas: all blocks go to the shards by the highest quotients ``target / (2k + 1)``.
    Only quotients near each shard's ideal quota can be contested, so the ranking covers a few
    rows per shard, and it is range-partitioned.
@@ -16,7 +17,7 @@
 Results: a document is taken at most ``max_epochs`` times its size.  Reruns agree.
 
 Edge cases: null texts have size 0; documents without words have taken 0; a null source is
-a source of its own, last in order; null ids sort last; rows that repeat an id each count;
+a source of its own, last in order; rows without an id and rows that repeat an id, or id and text, each count;
 a table without words gives targets of 0; an empty table gives an empty result.
 """
 
@@ -78,10 +79,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
 
     ``weights`` repeat over the sources in code point order, null last.  Blocks have
     ``block_words`` words, or fewer where the corpus has under 1000 such blocks per shard."""
-    sized = stage_table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *(
-        [F.md5(text_of(text_col)).alias("text_hash")] if payload else []),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.md5(text_of(text_col)).alias("text_hash"),
+                       F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+    sized = stage_table(rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies")), "sizes")
+    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("source_rows"))
     ranked = global_rank(sizes, [F.col("source").asc_nulls_last()], "nth")
     cycle = F.array(*map(F.lit, weights))
     weighted = ranked.withColumn("weight", F.get(cycle, (F.col("nth") - 1) % len(weights)).cast("long"))
@@ -89,14 +90,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
         "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows))),
         "targets").select(F.col("source").alias("of"), "source_size", "target", "shards")
 
-    draw = seeded(seed, "doc_id")
-    placed = (sized.join(sources, F.col("source").eqNullSafe(F.col("of")))
-              .withColumn("draw", draw).withColumn("shard", F.col("draw") % F.col("shards")))
-    stream = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(
+    at_most = F.greatest(F.lit(1).cast("long"), F.least(F.lit(shard_rows).cast("long"), F.expr(f"{shard_words} div greatest(size, 1)")))
+    pieces = sized.withColumn("per", at_most).select(
+        "doc_id", "source", "text_hash", "size", "copies", "per", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div per"))).alias("piece"))
+    pieces = pieces.select("doc_id", "source", "text_hash", "size", "piece",
+                           F.least("per", F.col("copies") - F.col("piece") * F.col("per")).alias("held"))
+    placed = (pieces.join(sources, F.col("source").eqNullSafe(F.col("of")))
+              .withColumn("draw", seeded(seed, "doc_id", "text_hash", "piece")).withColumn("shard", F.col("draw") % F.col("shards")))
+    stream = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "text_hash", "piece").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    streams = placed.withColumn("upto", F.sum("size").over(stream))
+    words_of = F.col("size") * F.col("held")
+    streams = placed.withColumn("before", F.sum(words_of).over(stream) - words_of)
     shards = stage_table(
-        placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("source_target"),
+        placed.groupBy("source", "shard").agg(F.sum(words_of).alias("shard_size"), F.first("target").alias("source_target"),
                                               F.first("source_size").alias("source_size"))
         .withColumn("target", F.when(F.col("source_size") > 0, F.col("source_target") * F.col("shard_size") / F.col("source_size"))
                     .otherwise(F.lit(0.0))), "shards")
@@ -109,8 +115,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
                      F.least(F.col("quota") * block, F.col("shard_size") * max_epochs).alias("words")))
     whole = F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(F.lit(0))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("passes") * F.col("shard_size")
-                                             - (F.col("upto") - F.col("size"))))
+                                             - F.col("before")))
     return (streams.join(taken, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1)))
+            .withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
             .withColumn("passes", whole).withColumn("more", once_more)
             .select("doc_id", "source", *(["text_hash"] if payload else []), "size", "source_size", "target",
                     (F.col("passes") * F.col("size") + F.col("more")).alias("taken"),

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maskfold.sources.tables import table
 
 from .common import stage_table, text_of
-from .chat_format import preference_format
+from .chat_format import preference_format, with_altered_answers
 from .conversation_repair import damage, repair, rows_of
 from .exact_dedup import exact_dedup
 from .hnsw import nearest
 from .html_content import main_text
 from .jaccard_join import jaccard_classes
-from .license_scan import TEMPLATES, WORD, inherit, scan, weigh
+from .license_scan import ANCHOR, TEMPLATES, WINDOWS, WORD, inherit, scan, weigh
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import balance, pack
@@ -22,6 +22,7 @@ from .toxicity import fit_toxicity, held_out, toxicity_score
 from .whitening import whitening
 
 QUERIES: dict[str, tuple] = {}
+LICENCE_FILES = 50  # every so manieth document of op1 has a licence file's name
 
 
 def query(name: str, sql: str | None = None):
@@ -80,11 +81,11 @@ def tokenizer_files() -> dict:
 
 @query("op3_mixing", r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
-  FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS hash, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         count(*) AS copies
+  FROM documents GROUP BY ALL),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows,
+  SELECT source, CAST(sum(size * copies) AS BIGINT) AS source_size, sum(copies) AS n_rows,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
   FROM d GROUP BY source),
 o AS (
@@ -95,14 +96,19 @@ l AS (SELECT (total - caps)::DOUBLE / (all_weight - weights) AS level FROM o
       WHERE cap >= (total - caps)::DOUBLE / (all_weight - weights) * weight ORDER BY j LIMIT 1),
 t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target,
              greatest(1, ceil(source_size / 250000), ceil(n_rows / 5000))::BIGINT AS shards FROM o, l),
+i AS (SELECT *, unnest(range((copies - 1) // per + 1)) AS piece
+      FROM (SELECT *, greatest(1, least(5000, 250000 // greatest(size, 1))) AS per FROM d)),
+q0 AS (SELECT i.*, least(per, copies - piece * per) AS held, t.source_size, t.target, t.shards,
+              CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || hash || '|' || piece), 1, 15) AS BIGINT) AS draw
+       FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source),
 p AS (
-  SELECT d.*, t.source_size, t.target, d.draw % t.shards AS shard,
-         sum(size) OVER (PARTITION BY d.source, d.draw % t.shards ORDER BY d.draw, d.doc_id, d.size
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  SELECT *, draw % shards AS shard,
+         sum(size * held) OVER (PARTITION BY source, draw % shards ORDER BY draw, doc_id, hash, piece
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size * held AS before
+  FROM q0),
 h AS (
-  SELECT source, shard, sum(size) AS shard_size,
-         CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::DOUBLE / any_value(source_size) ELSE 0 END AS votes
+  SELECT source, shard, sum(size * held) AS shard_size,
+         CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size * held)::DOUBLE / any_value(source_size) ELSE 0 END AS votes
   FROM p GROUP BY source, shard),
 b AS (SELECT count(*) AS n, sum(votes) AS total, greatest(1, least(1024, sum(shard_size) // (1000 * count(*)))) AS block,
              sum(shard_size) // greatest(1, least(1024, sum(shard_size) // (1000 * count(*)))) AS blocks FROM h),
@@ -116,8 +122,8 @@ q AS (SELECT r.source, r.shard, shard_size, least((sure + coalesce(won, 0)) * bl
       FROM r LEFT JOIN w ON r.source IS NOT DISTINCT FROM w.source AND r.shard = w.shard)
 SELECT doc_id, size, source_size, target, p.source,
        CAST(coalesce(words // nullif(shard_size, 0), 0) * size
-            + greatest(0, least(size, words - coalesce(words // nullif(shard_size, 0), 0) * shard_size - (upto - size))) AS BIGINT) AS taken
-FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
+            + greatest(0, least(size, words - coalesce(words // nullif(shard_size, 0), 0) * shard_size - (before + copy * size))) AS BIGINT) AS taken
+FROM (SELECT *, unnest(range(held)) AS copy FROM p) p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -184,30 +190,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    vectors, idf, other = weigh(TEMPLATES)
-    weights = ", ".join(f"('{n}', '{w}', {x!r}::DOUBLE)" for n, v in vectors.items() for w, x in v.items())
+    vectors, idf = weigh(TEMPLATES)
+    weights = ", ".join(f"({t}, '{n}', '{w}', {x!r}::DOUBLE)" for t, (n, v) in enumerate(vectors) for w, x in v.items())
     idfs = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
+    windows = ", ".join(map(str, WINDOWS))
     return f"""
-WITH tpl(license, word, weight) AS (VALUES {weights}),
+WITH tpl(template, license, word, weight) AS (VALUES {weights}),
 idf(word, idf) AS (VALUES {idfs}),
-f AS (SELECT doc_id, coalesce(source, '') || CASE WHEN coalesce(lang, 'en') = 'en' THEN '' ELSE '/' || lang END AS dir,
-             coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, i, list_extract(ls, i) AS line
-      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f))),
-w AS (SELECT doc_id, i, word, count(*) AS tf
-      FROM (SELECT doc_id, i, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                     'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS word FROM l)
+f AS (SELECT doc_id, md5(coalesce(text, '')) AS hash, coalesce(source, '') || CASE WHEN coalesce(lang, 'en') = 'en' THEN '' ELSE '/' || lang END AS dir,
+             coalesce(doc_id % {LICENCE_FILES} = 0, false) AS whole, coalesce(text, '') AS text FROM documents),
+c AS (SELECT * FROM f WHERE regexp_matches(text, '{ANCHOR}')),
+g AS (SELECT DISTINCT doc_id, hash, whole, text, string_split(text, chr(10)) AS ls FROM c),
+a AS (SELECT * FROM (SELECT doc_id, hash, whole, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM g) WHERE regexp_matches(ls[i], '{ANCHOR}')),
+pw AS (SELECT doc_id, hash, whole, i, w AS kind, array_to_string(ls[i:i + w - 1], chr(10)) AS p
+       FROM a, (SELECT w, lag(w, 1, 0) OVER (ORDER BY w) AS less FROM (SELECT unnest([{windows}]) AS w)) WHERE len(ls) - i + 1 > less),
+ps AS (SELECT doc_id, hash, whole, i, -unnest(range(1, len(s) + 1)) AS kind, unnest(s) AS p
+       FROM (SELECT *, string_split(regexp_replace(ls[i], '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM a) WHERE len(s) > 1),
+pa AS (SELECT doc_id, hash, whole, min(i) AS i, 0 AS kind, any_value(text) AS p FROM a WHERE whole GROUP BY doc_id, hash, whole),
+w AS (SELECT doc_id, hash, i, kind, word, count(*) AS tf
+      FROM (SELECT doc_id, hash, i, kind, unnest(regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS word FROM (FROM pw UNION ALL FROM ps UNION ALL FROM pa))
       GROUP BY ALL),
-x AS (SELECT doc_id, i, w.word, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM w LEFT JOIN idf ON idf.word = w.word),
-n AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-s AS (SELECT x.doc_id, x.i, license, round(sum(x * weight) / any_value(norm), 9) AS score
-      FROM x JOIN tpl ON tpl.word = x.word JOIN n ON n.doc_id = x.doc_id AND n.i = x.i GROUP BY ALL),
-b AS (SELECT doc_id, license, score,
-             row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.8),
-o AS (SELECT f.doc_id, f.dir, b.license, b.score FROM f LEFT JOIN b ON b.doc_id = f.doc_id AND b.k = 1),
-v AS (SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, license) AS k
-      FROM o WHERE license IS NOT NULL GROUP BY dir, license),
+x AS (SELECT doc_id, hash, i, kind, w.word, tf * coalesce(idf, 1.0) AS x FROM w LEFT JOIN idf ON idf.word = w.word),
+n AS (SELECT doc_id, hash, i, kind, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.hash, x.i, x.kind, template, license, round(sum(x * weight) / any_value(norm), 9) AS score
+      FROM x JOIN tpl ON tpl.word = x.word
+      JOIN n ON n.doc_id IS NOT DISTINCT FROM x.doc_id AND n.hash = x.hash AND n.i = x.i AND n.kind = x.kind GROUP BY ALL),
+b AS (SELECT doc_id, hash, license, score,
+             row_number() OVER (PARTITION BY doc_id, hash ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.8),
+o AS (SELECT f.doc_id, f.dir, f.whole, b.license, b.score FROM f LEFT JOIN b ON b.doc_id IS NOT DISTINCT FROM f.doc_id AND b.hash = f.hash AND b.k = 1),
+v AS (SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY whole DESC, count(*) DESC, license) AS k
+      FROM o WHERE license IS NOT NULL GROUP BY dir, whole, license),
 d AS (SELECT dir, license FROM v WHERE k = 1)
 SELECT o.doc_id, coalesce(o.license, own.license, up.license) AS license, o.score,
        CASE WHEN o.license IS NOT NULL THEN 'own' WHEN own.license IS NOT NULL OR up.license IS NOT NULL THEN 'inherited'
@@ -219,19 +232,25 @@ FROM o LEFT JOIN d own ON own.dir = o.dir LEFT JOIN d up ON up.dir = split_part(
 
 @query("op1_license_scan", _licence_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is the file source/doc_id.txt, and source/lang/doc_id.txt in languages other than English."""
+    """A document is the file source/doc_id.txt, and source/lang/doc_id.txt in languages other than English; every
+    LICENCE_FILES-th id is called LICENSE.doc_id there.  Files are told apart by id and text."""
     lang = F.coalesce("lang", F.lit("en"))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     files = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("key"), "text", F.concat(
+        "doc_id", F.concat_ws("|", number, F.md5(text_of())).alias("key"), "text", F.concat(
             F.coalesce("source", F.lit("")), F.when(lang == "en", "/").otherwise(F.concat(F.lit("/"), lang, F.lit("/"))),
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")).alias("path"))
-    return inherit(files, scan(files)).withColumnRenamed("file", "doc_id")
+            F.when(F.col("doc_id") % LICENCE_FILES == 0, F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(number, F.lit(".txt")))).alias("path"))
+    return inherit(files, scan(files), keep=("doc_id",)).drop("file")
 
 
 @query("op2_chat_formatting", r"""
-WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH r AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+la AS (SELECT c, max(turn) AS last FROM r WHERE role = 'assistant' GROUP BY c),
+an AS (SELECT xor(r.c, 1) AS c, max(text) AS other FROM r JOIN la ON la.c = r.c AND r.turn = la.last WHERE role = 'assistant' GROUP BY r.c),
+t AS (
+  SELECT DISTINCT 2 * c AS conv_id, turn, role, text FROM r
+  UNION SELECT 2 * r.c + 1, turn, role, CASE WHEN role = 'assistant' AND turn = la.last THEN coalesce(an.other, '') ELSE text END
+  FROM r LEFT JOIN la ON la.c = r.c LEFT JOIN an ON an.c = r.c),
 o AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
          '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS shown,
@@ -256,8 +275,8 @@ SELECT c.chosen, c.rejected, c.n_common,
 FROM c
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The masks as one digit per segment of the completion."""
-    out = preference_format(table(spark, sf_dir, "conversations"))
+    """Every conversation against itself with another last answer; the masks as one digit per segment of the completion."""
+    out = preference_format(with_altered_answers(table(spark, sf_dir, "conversations")))
     digits = {f"{side}_mask": F.array_join(F.transform(f"{side}_segments", lambda s: s["mask"].cast("string")), "")
               for side in ("chosen", "rejected")}
     return out.withColumns(digits).select("chosen", "rejected", "n_common", "prompt", "chosen_text", "chosen_mask",

@@ -39,9 +39,8 @@ def test_apportion_is_sainte_lague(spark):
 def test_mix(edge, empty, make_docs):
     rows, docs = edge
     got = mix(docs).collect()
-    assert sorted((r.doc_id is None, r.doc_id, r["size"]) for r in got) == sorted(
-        (i is None, i, len((t or "").encode().split())) for i, t, _ in rows) if False else len(got) == len(rows)
-    assert {(r.doc_id, r["size"]) for r in got} == {(i, len((t or "").encode().split())) for i, t, _ in rows}
+    by_id = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r["size"]) for r in got), key=by_id) == sorted(((i, len((t or "").encode().split())) for i, t, _ in rows), key=by_id)
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
     assert mix(empty).count() == 0
     assert [r.taken for r in mix(make_docs([(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
@@ -60,3 +59,18 @@ def test_mix(edge, empty, make_docs):
         mine = [r for r in one.values() if r["source"] == s]
         assert abs(mine[0]["target"] - want[s]) < 1e-6 and abs(sum(r["taken"] for r in mine) - want[s]) <= 0.01 * want[s] + 30
     assert all(r["taken"] <= 3 * r["size"] for r in one.values())
+
+
+def test_rows_without_ids_and_repeated_rows_are_many_shards(make_docs):
+    """A third of the rows have no id, a third are one row again and again; no shard holds them all, and reruns agree."""
+    rows = [(i, f"own text {i} " * 10, "a") for i in range(100)] + [(None, f"text {i} " * 10, "a") for i in range(100)] \
+        + [(7, "the same row " * 10, "a")] * 100 + [(500, "other " * 40, "b")] * 3
+    docs = make_docs(rows)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r["size"], r.taken)
+    got = sorted(mix(docs, shard_words=500, shard_rows=20).collect(), key=key)
+    again = sorted(mix(make_docs(rows[::-1]).repartition(5), shard_words=500, shard_rows=20).collect(), key=key)
+    assert len(got) == len(rows) and list(map(key, got)) == list(map(key, again))
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    for source, some in (("a", [r for r in got if r.source == "a"]), ("b", [r for r in got if r.source == "b"])):
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 0.02 * some[0].target + 60
+    assert sum(r.doc_id is None for r in got) == 100 and sum(r.doc_id == 7 for r in got) == 101
