@@ -56,16 +56,20 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per use of a document: its whole text as often as its source's quota passes it, and
-    the first words once more where a quota ends inside it.  Documents that no quota reaches go."""
-    places = mix(docs, payload=True).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"),
-        F.col("passes").alias("__passes"), F.col("to_word").alias("__more")).distinct()
-    uses = places.withColumn("__whole", F.col("__passes") + (F.col("__more") == F.col("__size")).cast("long")).select(
-        "__id", "__hash", F.explode(F.concat(
-            F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")),
-            F.when((F.col("__more") > 0) & (F.col("__more") < F.col("__size")), F.array("__more")).otherwise(
-                F.array().cast("array<bigint>")))).alias("__words"))
-    joined = docs.join(uses, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(text_of()) == F.col("__hash")))
+    the first words once more where a quota ends inside it.  Documents that no quota reaches go.  Rows equal in id, text and
+    source are uses of one of them, as many as their quotas together give."""
+    def source(column: str):
+        return F.concat(F.col(column).isNull().cast("string"), F.coalesce(column, F.lit(""))).alias("__source")
+
+    places = mix(docs, payload=True).where("taken > 0").withColumn(
+        "whole", F.col("passes") + (F.col("to_word") == F.col("size")).cast("long"))
+    part_of = F.when((F.col("to_word") > 0) & (F.col("to_word") < F.col("size")), F.array("to_word"))
+    uses = places.select(id_of().alias("__id"), F.col("text_hash").alias("__hash"), source("source"), F.explode(F.concat(
+        F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")),
+        F.coalesce(part_of, F.array().cast("array<bigint>")))).alias("__words"))
+    one = docs.select(id_of().alias("__id"), F.md5(text_of()).alias("__hash"), source("source"), F.struct(*docs.columns).alias("__row")) \
+        .groupBy("__id", "__hash", "__source").agg(F.first("__row").alias("__row"))
+    joined = one.join(uses, ["__id", "__hash", "__source"]).select("__row.*", "__words")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__words").cast("int")), " ")
     return joined.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(part)).select(
         *with_text(docs, docs.columns))
