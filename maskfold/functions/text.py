@@ -79,6 +79,12 @@ def token_pieces(word, piece: int = 4) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(w, i * piece + 1, piece))
 
 
+def pieces_of(ws, piece: int = 4) -> Column:
+    """The pieces of all words of an array, in order: one pattern over the joined words instead of a lambda per word (words
+    of ``words`` have no space)."""
+    return F.regexp_extract_all(F.array_join(_c(ws), " "), F.lit(f"([^ ]{{1,{piece}}})"))
+
+
 def token_id(piece) -> Column:
     """Token id of a piece (never the pad id 0)."""
     p = _c(piece)
@@ -133,11 +139,9 @@ def pad_pooling(vectors, length: int, dim: int) -> Column:
 
 
 def effective_length(tokens, pad: int = PAD_ID) -> Column:
-    """FN-09: 1-based position of the last non-pad token (0 if none).
-    Pass a column reference: the lambda reads ``tokens`` once per element."""
+    """FN-09: 1-based position of the last non-pad token (0 if none)."""
     t = _c(tokens)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), F.lit(0),
-                       lambda m, i: F.when(F.coalesce(F.get(t, i - 1), F.lit(pad)) != pad, i).otherwise(m))
+    return F.coalesce(F.array_max(F.transform(t, lambda x, i: F.when(x != pad, i + 1).otherwise(0))), F.lit(0))
 
 
 def remove_padding(tokens, pad: int = PAD_ID) -> Column:

@@ -52,17 +52,19 @@ def mask_rows(masks: DataFrame, max_cells: int = MAX_BROADCAST_MASK_CELLS):
 def sample_subspaces(rows: DataFrame, masks: DataFrame, seed: int = 11, id_col: str = "row_id") -> DataFrame:
     """MDL-05 with a fixed distribution: every data row draws one subspace with
     probability proportional to its integer weight (exact inverse-CDF on a hash)."""
-    w = Window.orderBy("subspace_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("subspace_id").rowsBetween(Window.unboundedPreceding, 0)  # over the mask table only
     cum = masks.select("subspace_id", "mask", "weight",
                        (F.sum("weight").over(w) - F.col("weight")).alias("w_lo"),
-                       F.sum("weight").over(w).alias("w_hi"))
-    total = masks.agg(F.sum("weight").alias("w_total"))
-    r = rows.select(id_col).join(F.broadcast(total), how="inner", on=F.lit(True)) \
-        .select(id_col, F.pmod(h(id_col, seed), F.col("w_total")).alias("draw"))
-    # cum is one row per subspace (bounded); a range predicate against it is a
-    # broadcast nested-loop lookup, not a data-sized pair product.
-    return r.join(F.broadcast(cum), (r.draw >= cum.w_lo) & (r.draw < cum.w_hi)) \
-        .select(id_col, "subspace_id", "mask")
+                       F.sum("weight").over(w).alias("w_hi")).where("weight > 0")
+    size = masks.agg(F.sum("weight").alias("w_total"), F.greatest(F.lit(1), F.count(F.lit(1))).alias("w_masks")).withColumn(
+        "w_step", F.expr("greatest(1, w_total div w_masks)"))  # one row
+    r = rows.select(id_col).join(F.broadcast(size), how="inner", on=F.lit(True)) \
+        .select(id_col, F.pmod(h(id_col, seed), F.col("w_total")).alias("draw"), "w_step").withColumn("w_slot", F.expr("draw div w_step"))
+    # Each mask's interval of weights touches some slots of equal width, two a mask on average, so the look-up is an
+    # equi-join on the slot, for mask tables of any size.
+    slots = cum.join(F.broadcast(size), how="inner", on=F.lit(True)).withColumn(
+        "w_slot", F.explode(F.sequence(F.expr("w_lo div w_step"), F.expr("(w_hi - 1) div w_step")))).select("subspace_id", "mask", "w_lo", "w_hi", "w_slot")
+    return r.join(slots, "w_slot").where("draw >= w_lo and draw < w_hi").select(id_col, "subspace_id", "mask")
 
 
 def subspace_distribution(drawn: DataFrame, mask_col: str = "mask") -> DataFrame:
@@ -83,8 +85,11 @@ def top_subspaces(dist: DataFrame, k: int, mask_col: str = "mask") -> DataFrame:
 
 
 def drop_zero_masks(masks: DataFrame, mask_col: str = "mask") -> DataFrame:
-    """PRJ-13: remove all-zero masks (probabilities are not renormalised)."""
-    return masks.filter(F.aggregate(mask_col, F.lit(0), lambda a, v: a + v) > 0)
+    """PRJ-13: remove all-zero masks (probabilities are not renormalised); an error if none remain."""
+    kept = masks.filter(F.exists(mask_col, lambda v: v != 0))
+    if kept.isEmpty():
+        raise ValueError("no subspace with a feature remains")
+    return kept
 
 
 def average_subspace(masks: DataFrame, mask_col: str = "mask", weight_col: str | None = None) -> DataFrame:
@@ -94,6 +99,14 @@ def average_subspace(masks: DataFrame, mask_col: str = "mask", weight_col: str |
     return e.groupBy("dim").agg((F.sum(F.col("u") * F.col("_w")) / F.sum("_w")).alias("rate"))
 
 
+def with_leftover(dist: DataFrame, mask_col: str = "mask") -> DataFrame:
+    """AGG-12: a distribution of masks with the leftover mask, if there is one, as one more of weight 1; all weights
+    together are 1 again."""
+    both = dist.select(mask_col, "proba").unionByName(leftover_mask(dist, mask_col).select(mask_col, F.lit(1.0).alias("proba")))
+    total = both.agg(F.sum("proba").alias("_s"))  # one row
+    return both.join(F.broadcast(total), how="inner", on=F.lit(True)).select(mask_col, (F.col("proba") / F.col("_s")).alias("proba"))
+
+
 def leftover_mask(masks: DataFrame, mask_col: str = "mask") -> DataFrame:
     """AGG-12: dimensions used by no mask, as one extra mask (one row, or none
     when every dimension is covered)."""

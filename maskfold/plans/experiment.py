@@ -12,11 +12,12 @@ auc, prauc, f1, n_test, n_outlier, pct_outlier, pct_inlier.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h_col, h_sql_seed
-from ..session import checkpoint_dir, files_of, staged
+from ..session import checkpoint_dir, failure_text, files_of, staged
 from ..operators.distance import subspace_distance
 from ..operators.ecod import ecod_long, ecod_subspace_scores
 from ..operators.ensemble import weighted_average
@@ -35,6 +36,7 @@ METHODS = {
     "ecod": ("FullSpace + Embedding", "ECOD"),
     "trivial": ("Random", "Random"),
 }
+UNAVAILABLE = {"learned": ("Learned + Embedding", "LUNAR")}  # in the grid, as error rows
 SPACE = "Embedding"
 EMB_MODEL = "embeddings"
 
@@ -60,50 +62,103 @@ COLUMNS = ["method", "space", "base", "dataset", "emb_model", "run", "auc", "pra
 def store_path(spark, sf_dir, n_runs=N_RUNS) -> str:
     """Where the result rows of this table (its files, their lengths and times of change) and these parameters lie."""
     source = f"{sf_dir.rstrip('/')}/embeddings.parquet"
-    key = repr((source, sorted(files_of(spark, source).items()), n_runs, BASE_SEED, METHODS, SPACE, EMB_MODEL))
+    key = repr((source, sorted(files_of(spark, source).items()), n_runs, BASE_SEED, METHODS, UNAVAILABLE, SPACE, EMB_MODEL))
     return f"{checkpoint_dir(spark).rstrip('/')}/results-{hashlib.md5(key.encode()).hexdigest()}"
 
 
+def _stored(spark, sf_dir, n_runs):
+    store = ModelStore(spark, store_path(spark, sf_dir, n_runs))
+    if not store.versions():
+        results, errors = compute(spark, sf_dir, n_runs)
+        store.save({"results": results, "errors": errors}, partition_by=("dataset", "run"))
+    return store.load()[1]
+
+
 def results_grid(spark, sf_dir, n_runs=N_RUNS):
     """The stored result rows; they are computed and written if the store lacks them.  Sessions that start at once
     each write a version of their own, of which readers take a complete one."""
-    store = ModelStore(spark, store_path(spark, sf_dir, n_runs))
-    if not store.versions():
-        store.save({"results": _compute(spark, sf_dir, n_runs)}, partition_by=("dataset", "run"))
-    return store.load()[1]["results"].select(*COLUMNS)
+    return _stored(spark, sf_dir, n_runs)["results"].select(*COLUMNS)
 
 
-def _compute(spark, sf_dir, n_runs):
-    x, g = grid_dataset(spark, sf_dir, n_runs)
+def error_rows(spark, sf_dir, n_runs=N_RUNS):
+    """MDL-23: (method, dataset, run, error) of the grid's cells that failed."""
+    return _stored(spark, sf_dir, n_runs)["errors"].select("method", "dataset", F.col("run").cast("int").alias("run"), "error")
+
+
+def scorers(spark, x, g):
+    """Method -> a function that plans its scored rows (dataset, run, row_id, outlier, score) over all cells of the grid."""
     keys = ["dataset", "run"]
     test = g.filter("split = 'test'").select(*keys, "row_id", "outlier")
     d = width(x)
     masks = fixed_masks(spark, d, 8)
-    dist = subspace_distance(x, masks, d).select("row_id", F.col("distance").alias("score"))
     # per-(row, dim) ECOD terms feed both the full-space and the per-subspace
     # scores; written once so the two branches do not recompute the ECDF tables
-    o = staged(ecod_long(g, ["row_id"], group_cols=keys), "grid-terms")
-    full = o.groupBy(*keys, "row_id").agg(F.greatest(F.sum("o_l"), F.sum("o_r"), F.sum("o_a")).alias("score"))
-    ml = masks.select("subspace_id", F.posexplode("mask").alias("dim", "u")).filter("u = 1") \
-        .select("subspace_id", F.col("dim").cast("int").alias("dim"))
-    per = ecod_subspace_scores(o, ml, ["row_id"], group_cols=keys)
-    ens = weighted_average(per, masks, ["row_id"], group_cols=keys, out_col="score")
-    triv = test.select(*keys, "row_id", (h_col("row_id", F.col("run") + 100) / F.lit(2147483648.0)).alias("score"))
-    parts = []
-    for key, frame in (("distance", test.join(dist, "row_id")), ("ensemble", test.join(ens, keys + ["row_id"])),
-                       ("ecod", test.join(full, keys + ["row_id"])),
-                       ("trivial", test.join(triv, keys + ["row_id"]))):
+    terms = cache(lambda: staged(ecod_long(g, ["row_id"], group_cols=keys), "grid-terms"))
+
+    def distance():
+        dist = subspace_distance(x, masks, d).select("row_id", F.col("distance").alias("score"))
+        return test.join(dist, "row_id")
+
+    def ecod():
+        full = terms().groupBy(*keys, "row_id").agg(F.greatest(F.sum("o_l"), F.sum("o_r"), F.sum("o_a")).alias("score"))
+        return test.join(full, keys + ["row_id"])
+
+    def ensemble():
+        ml = masks.select("subspace_id", F.posexplode("mask").alias("dim", "u")).filter("u = 1") \
+            .select("subspace_id", F.col("dim").cast("int").alias("dim"))
+        per = ecod_subspace_scores(terms(), ml, ["row_id"], group_cols=keys)
+        return test.join(weighted_average(per, masks, ["row_id"], group_cols=keys, out_col="score"), keys + ["row_id"])
+
+    def trivial():
+        return test.withColumn("score", h_col("row_id", F.col("run") + 100) / F.lit(2147483648.0))
+
+    def learned():
+        raise NotImplementedError("scorers that train a network are not part of this package")
+
+    return {"distance": distance, "ensemble": ensemble, "ecod": ecod, "trivial": trivial, "learned": learned}
+
+
+def evaluated(frames: dict):
+    """The metrics of planned methods, in one job."""
+    scored = None
+    for key, frame in frames.items():
         name, base = METHODS[key]
-        parts.append(frame.select(F.lit(name).alias("method"), F.lit(base).alias("base"), *keys, "outlier",
-                                  F.round("score", 6).alias("score")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+        part = frame.select(F.lit(name).alias("method"), F.lit(base).alias("base"), "dataset", "run", "outlier", F.round("score", 6).alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
     m = binary_metrics(scored, ["method", "base", "dataset", "run"])
-    out = m.select("method", F.lit(SPACE).alias("space"), "base", "dataset", F.lit(EMB_MODEL).alias("emb_model"),
-                    F.col("run").cast("int").alias("run"), "auc", "prauc", "f1", "n_test", "n_outlier",
-                    "pct_outlier", "pct_inlier")
-    return out
+    return staged(m.select("method", F.lit(SPACE).alias("space"), "base", "dataset", F.lit(EMB_MODEL).alias("emb_model"),
+                           F.col("run").cast("int").alias("run"), "auc", "prauc", "f1", "n_test", "n_outlier",
+                           "pct_outlier", "pct_inlier"), "grid-results")
+
+
+def compute(spark, sf_dir, n_runs=N_RUNS, make=scorers):
+    """(results, errors).  All methods that can be planned run in one job; if that fails, each runs in a job of its own, and
+    the cells of those that fail are error rows."""
+    x, g = grid_dataset(spark, sf_dir, n_runs)
+    frames, failed = {}, {}
+
+    def attempt(key, run):
+        try:
+            return run()
+        except Exception as e:  # the method's own failure, reported as rows
+            failed[key] = failure_text(e)
+
+    for key, plan in make(spark, x, g).items():
+        frame = attempt(key, plan)
+        if frame is not None:
+            frames[key] = frame
+    try:
+        results = evaluated(frames)
+    except Exception:
+        results = None
+        for key, frame in frames.items():
+            one = attempt(key, lambda f={key: frame}: evaluated(f))
+            results = one if results is None else results if one is None else results.unionByName(one)
+        if results is None:
+            raise
+    cells = g.select("dataset", "run").distinct()
+    said = spark.createDataFrame([((METHODS | UNAVAILABLE)[k][0], e) for k, e in failed.items()], "method string, error string")
+    return results, cells.join(F.broadcast(said), how="inner", on=F.lit(True)).select("method", "dataset", "run", "error")
 
 
 def results_grid_sql() -> str:

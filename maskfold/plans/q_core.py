@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators.distance import subspace_distance
 from ..operators.masks import (average_subspace, drop_zero_masks, fixed_masks, leftover_mask,
-                               sample_subspaces, subspace_distribution, top_subspaces)
+                               sample_subspaces, subspace_distribution, top_subspaces, with_leftover)
 from ..operators.metrics import binary_metrics, metrics_sql
 from ..sources.datasets import embedding_dataset, embedding_matrix, width
 from .catalog import register
@@ -132,3 +132,54 @@ def q_leftover_subspace(spark, sf_dir):
     lo = leftover_mask(drawn)
     return lo.select(V.mask_text("mask").alias("mask_key"),
                      F.aggregate("mask", F.lit(0), lambda a, v: a + v).cast("long").alias("n_dims"))
+
+
+@register("subspaces_with_leftover", f"""
+WITH {_draw_sql()},
+freq AS (SELECT m.mask_key, COUNT(*) / (SELECT COUNT(*) FROM embeddings) AS p
+         FROM drawn d JOIN mtext m ON d.subspace_id = m.subspace_id GROUP BY m.mask_key),
+used AS (SELECT m.dim, MAX(m.u) AS used FROM drawn d JOIN ml m ON d.subspace_id = m.subspace_id GROUP BY m.dim),
+lo AS (SELECT string_agg(CAST(1 - used AS VARCHAR), '' ORDER BY dim) AS mask_key, 1.0 AS p FROM used HAVING SUM(1 - used) > 0),
+al AS (SELECT mask_key, p FROM freq UNION ALL SELECT mask_key, p FROM lo)
+SELECT mask_key, ROUND(p / (SELECT SUM(p) FROM al), 6) AS proba FROM al""")
+def q_subspaces_with_leftover(spark, sf_dir):
+    """AGG-12: the drawn masks and the leftover one, with weights (p, 1) that are scaled to 1 together."""
+    drawn, _ = _drawn(spark, sf_dir)
+    return with_leftover(subspace_distribution(drawn)).select(V.mask_text("mask").alias("mask_key"), F.round("proba", 6).alias("proba"))
+
+
+@register("normalized_subspace_distance", f"""WITH ds AS ({emb_dataset_sql(0)}),
+xl AS ({emb_long_sql('ds', 'row_id')}),
+masks AS ({fixed_masks_long_sql()}),
+n AS (SELECT x.row_id, m.subspace_id, SUM(v * v) AS xx, SUM(v * v * u) AS xu, SUM(v * v * u * u) AS uu
+      FROM xl x JOIN masks m ON x.dim = m.dim GROUP BY ALL),
+d AS (SELECT row_id, SQRT(GREATEST(xx / POW(GREATEST(SQRT(xx), 1e-12), 2) + uu / POW(GREATEST(SQRT(uu), 1e-12), 2)
+        - 2 * xu / (GREATEST(SQRT(xx), 1e-12) * GREATEST(SQRT(uu), 1e-12)), 0)) AS d FROM n)
+SELECT d.row_id, ds.outlier, ROUND(MIN(d) / SQRT({WIDTH_SQL}), 6) AS distance FROM d JOIN ds ON ds.row_id = d.row_id
+WHERE ds.split = 'test' GROUP BY d.row_id, ds.outlier""")
+def q_normalized_subspace_distance(spark, sf_dir):
+    """UDF-02 + AGG-14 + PRJ-08: the distance to the nearest subspace after a transform of both sides, here unit length."""
+    ds = embedding_dataset(spark, sf_dir, 0).filter("split = 'test'")
+    d = width(ds)
+    s = subspace_distance(ds, fixed_masks(spark, d, 8), d, transform=V.row_l2_normalize)
+    return s.select("row_id", "outlier", F.round("distance", 6).alias("distance"))
+
+
+def class_masks(x):
+    """A caller's masks (UDF-04): per label the components whose mean within the label is above their mean."""
+    long = x.where("label is not null").select("label", F.posexplode("x").alias("dim", "v"))
+    mean = long.groupBy("dim").agg(F.avg("v").alias("all"))
+    m = long.groupBy("label", "dim").agg(F.avg("v").alias("own")).join(mean, "dim")
+    return m.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", (F.col("own") > F.col("all")).cast("int").alias("u")))).alias("s")) \
+        .select(F.col("label").alias("subspace_id"), F.transform("s", lambda t: t["u"]).alias("mask"))
+
+
+@register("class_mask_distance", f"""WITH xl AS (SELECT vec_id AS row_id, label, UNNEST(range(len(embedding))) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS v FROM embeddings),
+a AS (SELECT dim, AVG(v) AS m FROM xl WHERE label IS NOT NULL GROUP BY dim),
+c AS (SELECT xl.label, xl.dim, CAST(AVG(v) > ANY_VALUE(a.m) AS INTEGER) AS u FROM xl JOIN a ON a.dim = xl.dim WHERE label IS NOT NULL GROUP BY ALL),
+d AS (SELECT xl.row_id, c.label, SQRT(SUM(v * v * (1 - u))) AS d FROM xl JOIN c ON c.dim = xl.dim GROUP BY ALL)
+SELECT row_id, ROUND(MIN(d) / SQRT({WIDTH_SQL}), 6) AS distance FROM d GROUP BY row_id""")
+def q_class_mask_distance(spark, sf_dir):
+    """UDF-04 + AGG-14: the distance of every row to the nearest of the caller's subspaces, one per label."""
+    x = embedding_matrix(spark, sf_dir)
+    return subspace_distance(x, class_masks(x), width(x)).select("row_id", F.round("distance", 6).alias("distance"))

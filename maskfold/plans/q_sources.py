@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -13,7 +13,7 @@ from ..operators.metrics import classification_report
 from ..session import checkpoint_dir, path_kind, scratch_path
 from ..sources.cache import RowCache
 from ..sources.datasets import DatasetSpec, embedding_dataset, read_dataset, read_datasets, split_column, validate_prepared
-from ..sources.results import gated_scan, scan_result_tree, upsert, write_results_csv_tree
+from ..sources.results import gated_scan, scan_result_tree, select_rows, upsert, write_results_csv_tree
 from ..sources.tables import table
 from .catalog import register
 from .experiment import results_grid, results_grid_sql
@@ -123,7 +123,7 @@ def q_standardized_specs(spark, sf_dir):
 # ---------------------------------------------------------------- incremental caches
 def _tokens(df: DataFrame) -> DataFrame:
     words = TX.words(TX.clean(F.coalesce("text", F.lit(""))))
-    return df.select("doc_id", "label", F.flatten(F.transform(words, lambda w: F.transform(TX.token_pieces(w), TX.token_id))).alias("tokens"))
+    return df.select("doc_id", "label", F.transform(TX.pieces_of(words), TX.token_id).alias("tokens"))
 
 
 @register("token_cache", f"""WITH d AS (SELECT d.doc_id, {_sql_words(_sql_clean("coalesce(d.text, '')"))} AS ws
@@ -201,6 +201,16 @@ def q_result_store_upsert(spark, sf_dir):
     return upsert(r, new, ["method", "dataset", "run"]).withColumn("auc", F.round("auc", 6))
 
 
+@register("selected_results", f"""WITH {_R}
+SELECT method, dataset, run, ROUND(auc, 6) AS auc FROM results
+WHERE base IN ('ECOD') AND space IN ('Embedding', 'Token') AND method NOT IN ('FullSpace + Embedding') AND run NOT IN (1, 7)""")
+def q_selected_results(spark, sf_dir):
+    """PRJ-15: result rows by lists of values to include and to exclude."""
+    r = select_rows(results_grid(spark, sf_dir), {"base": ["ECOD"], "space": ["Embedding", "Token"]},
+                    {"method": ["FullSpace + Embedding"], "run": [1, 7]})
+    return r.select("method", "dataset", "run", F.round("auc", 6).alias("auc"))
+
+
 @register("filled_from_base_rows", f"""WITH {_R},
 a AS (SELECT dataset, method, AVG(CASE WHEN method LIKE 'FullSpace%' OR hash_even THEN auc END) AS auc
       FROM (SELECT *, run % 2 = 0 AND method LIKE 'SubspaceD%' AS hash_even FROM results) GROUP BY ALL),

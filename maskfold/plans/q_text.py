@@ -15,7 +15,7 @@ from ..operators.ecod import ecod_scores
 from ..operators.masks import MASK_SEED
 from ..operators.metrics import binary_metrics, metrics_sql
 from ..sources.datasets import document_dataset
-from ..session import materialize
+from ..session import materialize, staged
 from ..sources.tables import table
 from .catalog import register
 from .sqlparts import split_sql
@@ -174,11 +174,6 @@ def _bit(draw, j):
     return F.shiftright(draw, 8 + j).bitwiseAND(1)
 
 
-def _kept(ws, draws, j):
-    """The words that mask j keeps, null for the others."""
-    return F.zip_with(ws, draws, lambda w, d: F.when(_bit(d, j) == 1, w))
-
-
 @register("word_token_masks", f"""WITH w AS (SELECT doc_id, UNNEST({_sql_words(_sql_clean('text'))}) AS word,
         UNNEST(range(len({_sql_words(_sql_clean('text'))}))) AS pos FROM documents),
 t AS (SELECT doc_id, pos, GREATEST(1, CEIL(length(word) / 4)) AS n_tok, {_bit_sql('pos', 0)} AS m FROM w)
@@ -251,9 +246,7 @@ def q_token_padding(spark, sf_dir):
     """FN-08/09/10 + PRJ-16: default tokenizer, pad to the global max length
     (one scalar aggregate), effective length, padding removal, truncation to 256."""
     d = table(spark, sf_dir, "documents")
-    toks = d.select("doc_id", F.flatten(F.transform(TX.words(TX.clean("text")),
-                                                    lambda w: F.transform(TX.token_pieces(w), TX.token_id)))
-                    .alias("tokens"))
+    toks = d.select("doc_id", F.transform(TX.pieces_of(TX.words(TX.clean(F.coalesce("text", F.lit(""))))), TX.token_id).alias("tokens"))
     L = toks.agg(F.max(F.size("tokens")).alias("L"))
     # Padding only adds pad ids at the end: lengths are taken from the tokens, and no array is padded
     # to the longest document here.  L is one aggregate row.
@@ -296,22 +289,35 @@ SPACES = ("word", "token")
 
 def _units(ws, space: str):
     """MDL-17/18: the positions that masks cover, words or the pieces of the default tokenizer."""
-    return ws if space == "word" else F.flatten(F.transform(ws, lambda w: TX.token_pieces(w)))
+    return ws if space == "word" else TX.pieces_of(ws)
+
+
+def position_draws(spark, n: int):
+    """The draws of the first ``n`` positions as one constant array: they depend on the position only, so they are made once
+    and not per document.  As long as the longest text of the table."""
+    draws = spark.range(n).select(F.sort_array(F.collect_list(F.struct("id", h("id", MASK_SEED).cast("int").alias("d")))).alias("s")) \
+        .select(F.transform("s", lambda t: t["d"]).alias("d")).first()["d"]
+    return F.from_json(F.lit(str(draws)), "array<int>")  # folded to a literal of the plan
 
 
 def _text_views(spark, sf_dir, space="word"):
     ds = _docs(spark, sf_dir)
-    # Masked sums are profiles of the kept words joined: a fold inside the row, no row per word.
-    # The divisor is the number of all words; a document without words has zero views.
-    w = ds.select("row_id", _units(TX.words(TX.clean(F.coalesce("text", F.lit("")))), space).alias("ws"))
-    w = w.select("row_id", F.size("ws").alias("nw"), "ws", _draws(F.col("ws")).alias("draws"))
-    w = w.select("row_id", "nw", _joined("ws").alias("all"), *[
-        F.array_join(_kept("ws", "draws", j), "").alias(f"kept{j}") for j in range(N_TEXT_MASKS)])
+    w = staged(ds.select("row_id", _units(TX.words(TX.clean(F.coalesce("text", F.lit("")))), space).alias("ws")), "units")
+    draws = position_draws(spark, w.agg(F.max(F.size("ws"))).first()[0] or 0)
+    # Masked sums over rows of words fold before the shuffle.  The divisor is the number of all words; a document without words
+    # has zero views.
+    u = w.select("row_id", F.posexplode_outer("ws").alias("pos", "word"))
+    u = u.select("row_id", "word", F.coalesce(F.get(draws, F.col("pos")), F.lit(0)).alias("draw"), TX.char_profile(F.coalesce("word", F.lit(""))).alias("f"))
+    d = len(TX.PROFILE_FEATURES)
+    fs = [F.get("f", F.lit(k)).cast("long") for k in range(d)]
+    sums = [F.sum(f).alias(f"a{k}") for k, f in enumerate(fs)]
+    sums += [F.sum(F.when(_bit(F.col("draw"), j) == 1, f).otherwise(0)).alias(f"m{j}_{k}") for j in range(N_TEXT_MASKS) for k, f in enumerate(fs)]
+    s = u.groupBy("row_id").agg(F.count("word").alias("nw"), *sums)
     n = F.greatest("nw", F.lit(1))
-    mean = lambda c: F.transform(TX.char_profile(c), lambda x: x / n)
-    views = F.array(*[F.struct(F.lit(j).alias("subspace_id"), mean(f"kept{j}").alias("x")) for j in range(N_TEXT_MASKS)])
+    mean = lambda cols: F.array(*[F.col(c) / n for c in cols])
+    views = F.array(*[F.struct(F.lit(j).alias("subspace_id"), mean([f"m{j}_{k}" for k in range(d)]).alias("x")) for j in range(N_TEXT_MASKS)])
     # one row per document, read by two branches (per-view ECOD and the distance)
-    return ds, materialize(w.select("row_id", mean("all").alias("full"), views.alias("views")))
+    return ds, materialize(s.select("row_id", mean([f"a{k}" for k in range(d)]).alias("full"), views.alias("views")))
 
 
 def text_subspace_scores(spark, sf_dir, space="word"):

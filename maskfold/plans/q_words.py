@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.vectors import l2_norm
-from ..operators.words import nearest_entries, pooled_vectors, word_counts
+from ..operators.words import fitted_vectors, nearest_entries, pooled_vectors, word_counts
 from ..sources.tables import table
 from .catalog import register
-from .q_text import _sql_clean, _sql_profile, _sql_vocab_clean, _sql_words
+from .q_text import _sql_profile, _sql_vocab_clean, _sql_words
 
 # Words that no query may get, whatever its vector (besides itself).
 NEVER = ["the", "of", "and", "to", "in"]
@@ -95,3 +95,14 @@ def q_vocabulary_lookup(spark, sf_dir):
         .join(F.broadcast(size), how="inner", on=F.lit(True)) \
         .select("query", F.col("word").isNotNull().alias("known"), "of_vector",
                 F.coalesce("n", F.lit(0)).cast("long").alias("words_of_vector"), "vocabulary_size")
+
+
+@register("fitted_document_vectors")
+def q_fitted_document_vectors(spark, sf_dir):
+    """MDL-21 without given vectors: word vectors from the co-occurrences of all documents, pooled over whole documents.  Their
+    lengths are returned, since the basis is free."""
+    d = table(spark, sf_dir, "documents")
+    words = TX.words(TX.vocab_clean(_text(d)))
+    vectors = fitted_vectors(d, words, d=16)
+    p = pooled_vectors(word_counts(d, words), vectors, 16)
+    return p.select("doc_id", "n_words", "n_known", F.round(l2_norm("x"), 4).alias("norm"))

@@ -102,6 +102,17 @@ def files_of(spark: SparkSession, source: str) -> dict[str, tuple[int, int]]:
             if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
 
 
+def failure_text(e: Exception) -> str:
+    """Kind and first line of a failure; of one inside Spark, of what caused it."""
+    java = getattr(e, "java_exception", None)
+    if java is None:
+        lines = str(e).strip().splitlines()
+        return f"{type(e).__name__}: {lines[0] if lines else ''}"
+    while java.getCause() is not None:
+        java = java.getCause()
+    return str(java.toString()).strip().splitlines()[0]
+
+
 def staged(df, name: str):
     """Write ``df`` once as Parquet to the shared folder and read it back: several branches of a
     plan may read it, nothing stays cached on executors, and a lost one costs a re-read."""

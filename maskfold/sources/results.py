@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from .cache import RowCache
 
-RESULT_PARTITIONS = ("dataset", "emb_model", "run")
-
-
-def write_results(df: DataFrame, path: str, partition_cols=RESULT_PARTITIONS) -> None:
-    """SRC-16: append result rows, partitioned so later scans prune by folder."""
-    df.write.mode("append").partitionBy(*partition_cols).parquet(path)
-
-
 def write_results_csv_tree(df: DataFrame, root: str) -> None:
     """Write the reference's folder layout dataset/model/run_k/results.csv."""
     out = df.withColumn("run_dir", F.concat(F.lit("run_"), F.col("run").cast("string")))
@@ -36,6 +28,16 @@ def gated_scan(results: DataFrame, criteria: DataFrame, keys=("dataset", "emb_mo
     return results.join(criteria.select(*keys).distinct(), list(keys), "inner")
 
 
+def select_rows(results: DataFrame, include: dict[str, list] | None = None, exclude: dict[str, list] | None = None) -> DataFrame:
+    """PRJ-15: rows whose columns hold one of the values to include and none of those to exclude; a null holds no value, so it
+    is in no list."""
+    for column, values in (include or {}).items():
+        results = results.where(F.col(column).isin(list(values)))
+    for column, values in (exclude or {}).items():
+        results = results.where(~F.coalesce(F.col(column).isin(list(values)), F.lit(False)))
+    return results
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys) -> DataFrame:
     """SRC-17: rows of ``new`` replace rows of ``existing`` with the same keys."""
     return existing.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

@@ -114,6 +114,16 @@ def test_scratch_scope_deletes_its_own_tables_only(spark):
     assert path_kind(spark, folder) == "none" and path_kind(spark, outside) == "folder"
 
 
+def test_rows_by_lists_of_values(spark):
+    from maskfold.sources.results import select_rows
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", None)], "k string, n int")
+    keys = lambda d: sorted(str(r.k) for r in d.collect())
+    assert keys(select_rows(df)) == ["None", "a", "b", "c"]
+    assert keys(select_rows(df, {"k": ["a", "c"]})) == ["a", "c"]
+    assert keys(select_rows(df, None, {"k": ["a"], "n": [2]})) == ["None", "c"]
+    assert keys(select_rows(df, {"k": []})) == []
+
+
 def test_dataset_specs(spark, tmp_path):
     from maskfold.sources.datasets import DatasetSpec, read_dataset, read_datasets, validate_prepared
     spark.createDataFrame([(i, f"t{i}", i % 3, "en" if i < 6 else "de") for i in range(9)], "id long, t string, y int, lang string") \
@@ -152,3 +162,23 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Cluster)
+
+
+def test_a_method_that_fails_is_error_rows(spark, tmp_path):
+    """Failing while it is planned or while it runs; the other methods' rows are those of a grid without it."""
+    from maskfold.plans.experiment import compute, scorers
+    rows = [(i, [float((i * 7 + d * 3) % 11) + 0.1 * d for d in range(8)], i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def broken(spark, x, g):
+        made = scorers(spark, x, g)
+        plan = made["ecod"]
+        made["ecod"] = lambda: plan().withColumn("score", F.raise_error(F.lit("broken while running")).cast("double"))
+        return {k: made[k] for k in ("distance", "ecod", "learned")}
+
+    results, errors = compute(spark, str(tmp_path), 2, broken)
+    plain, _ = compute(spark, str(tmp_path), 2, lambda *a: {"distance": scorers(*a)["distance"]})
+    assert sorted(map(tuple, results.collect())) == sorted(map(tuple, plain.collect()))
+    got = errors.collect()
+    assert len(got) == 2 * 2 * 2 and {r.method for r in got} == {"FullSpace + Embedding", "Learned + Embedding"}
+    assert any("broken while running" in r.error for r in got) and any(r.error.startswith("NotImplementedError") for r in got)

@@ -174,3 +174,20 @@ def test_mask_chunks_hold_every_mask_once(spark):
     masks = spark.createDataFrame([(j, [1] * 10, 0.1) for j in range(50)], "subspace_id int, mask array<int>, proba double")
     chunks = list(mask_chunks(masks, max_cells=100))
     assert len(chunks) > 3 and sorted(s for c in chunks for s, _ in c) == list(range(50))
+
+
+def test_fixtures_in_mmd_and_distance(spark):
+    from maskfold.functions import text as TX
+    from maskfold.operators.distance import subspace_distance
+    from maskfold.sources.fixtures import correlated_gaussian, plane_axis_mixture, shifted_patterns
+    masks = spark.createDataFrame([(0, [1, 1, 0], 0.5), (1, [0, 0, 1], 0.5)], "subspace_id int, mask array<int>, proba double")
+    plane = plane_axis_mixture(spark, 200, 1.0)
+    r = {x["subspace_id"]: x["mmd2"] for x in mmd_masks(plane, masks).collect()}
+    assert abs(r[0]) < 1e-9 < 0.05 < r[1]  # the plane is its own projection
+    both = subspace_distance(plane_axis_mixture(spark, 100, 0.5), masks, 3).agg(F.max("distance")).first()[0]
+    assert both < 1e-12  # every row lies in one of the two subspaces
+    x = correlated_gaussian(spark, 300)
+    pairs = [np.corrcoef(np.array([[q.x[i], q.x[j]] for q in x.collect()]).T)[0, 1] for i, j in ((0, 1), (3, 4), (0, 3), (5, 6))]
+    assert min(pairs[:2]) > 0.95 and max(map(abs, pairs[2:])) < 0.3
+    words = shifted_patterns(spark, ["a b", "c"], 3).select("row_id", F.size(TX.words("x")).alias("n")).orderBy("row_id").collect()
+    assert [r.n for r in words] == [2, 2, 2, 2, 2, 2]
