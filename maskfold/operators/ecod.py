@@ -44,15 +44,16 @@ def value_ranges(long: DataFrame, keys, n_ranges: int | None = None) -> DataFram
     hot = F.filter("_edges", lambda e: F.size(F.filter("_p", lambda x: x == e)) > 1)
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_edges") - 1) / CHUNK).cast("int")),
                          lambda i: F.slice("_edges", i * CHUNK + 1, CHUNK))
-    return per.select(*keys, "_n", "_neg", hot.alias("_hot"), chunks.alias("_chunks"), F.transform(
-        chunks, lambda c: F.element_at(c, -1)).alias("_tops"))
+    per = per.select(*keys, "_n", "_neg", hot.alias("_hot"), chunks.alias("_chunks"))
+    # the last chunk needs no top: a value above all others is in it
+    tops = F.transform(F.slice("_chunks", F.lit(1), F.size("_chunks") - 1), lambda c: F.element_at(c, -1))
+    return per.withColumn("_tops", tops)
 
 
 def range_of(v: Column) -> Column:
     """The number of v's range, in order: even for a range, odd for a hot value; null for a null."""
-    chunk = F.size(F.filter("_tops", lambda t: t < v))
-    below = chunk * CHUNK + F.when(chunk < F.size("_chunks"), F.size(F.filter(F.get("_chunks", chunk), lambda e: e < v))).otherwise(0)
-    below = F.least(below, F.aggregate("_chunks", F.lit(0), lambda a, c: a + F.size(c)))
+    chunk = F.when(F.size("_tops") > 0, F.size(F.filter("_tops", lambda t: t < v))).otherwise(0)
+    below = chunk * CHUNK + F.size(F.filter(F.get("_chunks", chunk), lambda e: e < v))
     return F.when(v.isNotNull(), 2 * below + F.array_contains("_hot", v).cast("int"))
 
 
@@ -61,10 +62,11 @@ def _in_ranges(long: DataFrame, ranges: DataFrame, keys) -> DataFrame:
 
 
 def _offsets(placed: DataFrame, keys) -> DataFrame:
-    """(keys, range, before, in): rows of the lower ranges and of this one; keys x ranges rows."""
-    n = placed.where("_range is not null").groupBy(*keys, "_range").agg(F.count("*").alias("_in"))
+    """(keys, range, value, before, in): rows of the lower ranges and of this one, and its value, which is the only one of a
+    hot value's range; keys x ranges rows."""
+    n = placed.where("_range is not null").groupBy(*keys, "_range").agg(F.count("*").alias("_in"), F.min("v").alias("_value"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select(*keys, "_range", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    return n.select(*keys, "_range", "_value", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
 
 
 def _terms(le: Column, lt: Column) -> list[Column]:
@@ -80,16 +82,19 @@ def with_terms(long: DataFrame, keys, n_ranges: int | None = None) -> DataFrame:
     others = [c for c in long.columns if c not in (*keys, "v")]
     ranges = staged(value_ranges(long, keys, n_ranges), "value-ranges")
     placed = _in_ranges(long, ranges, keys)
-    offsets = staged(_offsets(placed, keys), "range-offsets")
+    offsets = staged(_offsets(placed, keys), "range-offsets").drop("_value")
     at = placed.join(offsets, [*keys, "_range"], "left")
     single = at.where("_range is null or _range % 2 = 1")
     single = single.select(*keys, *others, *_terms(F.col("_before") + F.col("_in"), F.col("_before")))
-    spread = at.where("_range % 2 = 0")
+    return single.unionByName(_spread_terms(at.where("_range % 2 = 0"), keys, others))
+
+
+def _spread_terms(spread: DataFrame, keys, others) -> DataFrame:
+    """The terms of rows whose range holds several values, by one window inside each range."""
     order = Window.partitionBy(*keys, "_range").orderBy("v")
     upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     spread = spread.withColumns({"_le": F.count("*").over(upto), "_lt": F.rank().over(order) - 1})
-    return single.unionByName(spread.select(
-        *keys, *others, *_terms(F.col("_before") + F.col("_le"), F.col("_before") + F.col("_lt"))))
+    return spread.select(*keys, *others, *_terms(F.col("_before") + F.col("_le"), F.col("_before") + F.col("_lt")))
 
 
 def _checked(v, nulls: str):
@@ -131,16 +136,49 @@ def ecod_subspace_scores(o_long: DataFrame, masks_long: DataFrame, id_cols=("row
 
 
 def ecod_columns(df: DataFrame, cols, out_col: str = "score", keep=(), nulls: str = "error") -> DataFrame:
-    """ECOD over plain numeric columns of a table that has no row id.  Rows get a number when they are written
-    once (the used columns only); their columns are unpivoted, ranked, and summed again per row, with the other
-    columns riding on the first of them."""
+    """ECOD over plain numeric columns of a table that has no row id.  Hot values get their terms from a bounded table.
+    If one column has other values too, they are ranked with their rows; if several have, rows get a number when they are written
+    once, their values are unpivoted and ranked, and the sums join them by the number."""
     cols = list(cols)
-    rows = staged(df.select(F.struct(*keep, *cols).alias("_row")).withColumn("_rid", F.monotonically_increasing_id()), "numbered-rows")
-    values = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"_row.{c}").cast("double").alias("v"),
-                                (F.col("_row") if i == 0 else F.lit(None)).alias("_row")) for i, c in enumerate(cols)])
-    long = rows.select("_rid", F.explode(values).alias("t")).select("_rid", "t.dim", _checked(F.col("t.v"), nulls).alias("v"), "t._row")
-    s = with_terms(long, ["dim"]).groupBy("_rid").agg(F.max("_row").alias("_row"), *[F.sum(c).alias(c) for c in TERMS])
-    return s.select(*[F.col(f"_row.{c}").alias(c) for c in (*keep, *cols)], F.greatest(*TERMS).alias(out_col))
+
+    def values(names):
+        return F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)])
+
+    long = df.select(F.explode(values(cols)).alias("t")).select("t.dim", _checked(F.col("t.v"), nulls).alias("v"))
+    ranges = staged(value_ranges(long, ["dim"]), "value-ranges")
+    offsets = staged(_offsets(_in_ranges(long, ranges, ["dim"]), ["dim"]), "range-offsets")
+    hot = staged(offsets.where("_range % 2 = 1").join(ranges.select("dim", "_n", "_neg"), "dim").select(
+        "dim", "_value", *_terms(F.col("_before") + F.col("_in"), F.col("_before"))), "hot-values")
+    # the columns that have values outside the hot ones: as many numbers as columns
+    spread = sorted(r["dim"] for r in offsets.where("_range % 2 = 0").select("dim").distinct().collect())
+    wide = df.select(F.struct(*keep, *cols).alias("_row"))
+    for i, c in enumerate(cols):
+        own = hot.where(F.col("dim") == i).select(F.col("_value").alias(f"_v{i}"), *[F.col(t).alias(f"_{t}{i}") for t in TERMS])
+        # a column has fewer hot values than ranges, so this side is bounded
+        wide = wide.join(F.broadcast(own), F.col(f"_row.{c}").cast("double") == F.col(f"_v{i}"), "left")
+    at_once = [sum((F.coalesce(F.col(f"_{t}{i}"), F.lit(0.0)) for i in range(len(cols))), F.lit(0.0)).alias(f"_s{t}") for t in TERMS]
+    left = F.array(*[F.struct(F.lit(i).alias("dim"), F.when(F.col(f"_v{i}").isNull() & ~F.isnan(F.col(f"_row.{cols[i]}").cast("double")),
+                                                         F.col(f"_row.{cols[i]}").cast("double")).alias("v")) for i in spread])
+    wide = wide.select("_row", *at_once, left.alias("_left"))
+    sums = [f"_s{t}" for t in TERMS]
+
+    def ranked(rows, others):
+        """Terms of (dim, v); 0 for a value that is missing or already taken."""
+        placed = _in_ranges(rows, ranges, ["dim"])
+        none = placed.where("_range is null").select("dim", *others, *[F.lit(0.0).alias(t) for t in TERMS])
+        some = placed.where("_range is not null").join(offsets.select("dim", "_range", "_before"), ["dim", "_range"])
+        return none.unionByName(_spread_terms(some, ["dim"], others))
+
+    if len(spread) > 1:  # several values of a row are ranked apart and come back to it by its number
+        wide = staged(wide.withColumn("_rid", F.monotonically_increasing_id()), "numbered-rows")
+        each = ranked(wide.select("_rid", F.explode("_left").alias("t")).select("_rid", "t.dim", "t.v").where("v is not null"), ["_rid"])
+        wide = wide.join(each.groupBy("_rid").agg(*[F.sum(t).alias(t) for t in TERMS]), "_rid", "left")
+    elif spread:  # a row's only one takes the row along
+        wide = ranked(wide.select("_row", *sums, F.explode("_left").alias("t")).select("_row", *sums, "t.dim", "t.v"), ["_row", *sums])
+    else:
+        wide = wide.select("*", *[F.lit(0.0).alias(t) for t in TERMS])
+    total = [F.col(f"_s{t}") + F.coalesce(F.col(t), F.lit(0.0)) for t in TERMS]
+    return wide.select(*[F.col(f"_row.{c}").alias(c) for c in (*keep, *cols)], F.greatest(*total).alias(out_col))
 
 
 # ---------------------------------------------------------------- a fitted table and rows that come later

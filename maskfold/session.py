@@ -51,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="maskfold-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # the setting can't be changed in a running session, so the folder is kept beside it
+        sc = spark.sparkContext
+        d = sc._maskfold_folder = getattr(sc, "_maskfold_folder", None) or tempfile.mkdtemp(prefix="maskfold-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

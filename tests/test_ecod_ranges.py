@@ -85,3 +85,22 @@ def test_every_component_counts_whatever_the_width(spark, tmp_path):
     d = q["subspace_distance_scores"][0](spark, str(tmp_path)).toPandas()
     assert (d.score > 0.05).all()
     assert q["average_subspace"][0](spark, str(tmp_path)).agg(F.max("dim")).first()[0] == 79
+
+
+@pytest.mark.parametrize("kinds", [("few", "one"), ("few", "flat"), ("flat", "hot", "few"), ("hot",)])
+def test_columns_with_and_without_spread_values(spark, kinds):
+    """No column, one and several columns with values outside the hot ones; missing values add nothing."""
+    x = np.stack([data(k) for k in kinds], 1)
+    x[5, 0] = np.nan
+    rows = [(i, *[None if i == 7 and j == 0 else float(c) for j, c in enumerate(r)]) for i, r in enumerate(x)]
+    names = [f"c{j}" for j in range(len(kinds))]
+    df = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {r.row_id: r.score for r in ecod_columns(df, names, keep=["row_id"], nulls="neutral").collect()}
+    sums = np.zeros((len(x), 3))
+    for j in range(len(kinds)):
+        known = np.array([i not in ((5, 7) if j == 0 else ()) for i in range(len(x))])
+        v = x[known, j]
+        left, right = terms(v, v)
+        m3 = (v ** 3).mean() - 3 * v.mean() * (v ** 2).mean() + 2 * v.mean() ** 3
+        sums[known] += np.stack([left, right, left if m3 < 0 else right], 1)
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], sums.max(1), atol=1e-9)

@@ -182,3 +182,26 @@ def test_a_method_that_fails_is_error_rows(spark, tmp_path):
     got = errors.collect()
     assert len(got) == 2 * 2 * 2 and {r.method for r in got} == {"FullSpace + Embedding", "Learned + Embedding"}
     assert any("broken while running" in r.error for r in got) and any(r.error.startswith("NotImplementedError") for r in got)
+
+
+def test_a_local_session_without_the_setting_gets_one_folder():
+    from maskfold.session import checkpoint_dir
+
+    class Context:
+        master = "local[2]"
+        made = None
+
+        def getCheckpointDir(self):
+            return self.made
+
+        def setCheckpointDir(self, d):
+            self.made = d
+
+    class Local:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        sparkContext = Context()
+
+    first = checkpoint_dir(Local)
+    assert os.path.isdir(first) and checkpoint_dir(Local) == first == Local.sparkContext.made
