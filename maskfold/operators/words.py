@@ -7,7 +7,11 @@ A vocabulary is (word string, v array<double>), one row a word.  Documents becom
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +46,69 @@ def pooled_vectors(counts: DataFrame, vocabulary: DataFrame, d: int, id_col: str
         *[F.col(f"_s{k}") / F.col("n_known") for k in range(d)]).alias("x"))
 
 
+SLICE = 512  # words of a row that are paired together
+FOLD = 500_000  # words of a task whose pairs are folded together
+
+
+def _pairs(docs: DataFrame, words: str, window: int) -> DataFrame:
+    """(a, b, x): unordered pairs of words, a <= b, at most ``window`` places apart; x sums unit / distance as whole numbers.
+    Documents come in slices that overlap by the window, so an Arrow batch is bounded, whatever the texts are."""
+    unit, ws = math.lcm(*range(1, window + 1)), F.col(words)
+    last = F.floor((F.size(ws) - 1) / SLICE).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(ws, i * SLICE + 1, SLICE + window))
+    rows = docs.where(F.size(ws) > 1).select(F.explode(slices).alias("ws"))
+
+    def folded(held):
+        lists = pa.chunked_array(held).combine_chunks()
+        coded, length = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = pc.sort_indices(coded.dictionary)
+        names, rank = coded.dictionary.take(order), np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        code = rank[coded.indices.to_numpy()]
+        start = np.repeat(np.cumsum(length) - length, length)
+        at, end = np.arange(len(code)) - start, start + np.repeat(length, length)
+        keys, worth = [], []
+        for j in range(1, window + 1):
+            here = np.nonzero((at < SLICE) & (np.arange(len(code)) + j < end))[0]  # a slice's last words only follow others
+            x, y = code[here], code[here + j]
+            keys.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+            worth.append(np.full(len(here), unit // j, np.int64))
+        key, worth = np.concatenate(keys), np.concatenate(worth)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.nonzero(np.diff(key, prepend=-1))[0]
+        sums, key = np.add.reduceat(worth[order], first) if len(first) else worth[:0], key[first]
+        for k in range(0, len(key), 100_000):
+            s = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(key[s] // len(names))), names.take(pa.array(key[s] % len(names))),
+                                              pa.array(sums[s])], names=["a", "b", "x"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0))
+            n += len(b.column(0).flatten())
+            if n >= FOLD:
+                yield from folded(held)
+                held, n = [], 0
+        if n:
+            yield from folded(held)
+
+    return rows.mapInArrow(run, "a string, b string, x long").groupBy("a", "b").agg(F.sum("x").alias("x"))
+
+
+def _both_ways(pairs: DataFrame, window: int) -> DataFrame:
+    """(word, context, weight) from unordered pairs; a pair of equal words counts for either order."""
+    same, weight = F.col("a") == F.col("b"), F.col("x") / F.lit(float(math.lcm(*range(1, window + 1))))
+    ways = F.when(same, F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context"), (weight * 2).alias("weight")))).otherwise(
+        F.array(*[F.struct(F.col(p).alias("word"), F.col(q).alias("context"), weight.alias("weight")) for p, q in (("a", "b"), ("b", "a"))]))
+    return pairs.select(F.explode(ways).alias("p")).select("p.*")
+
+
 def cooccurrences(docs: DataFrame, words: str = "ws", window: int = 4) -> DataFrame:
     """(word, context, weight): words at most ``window`` places apart, each pair weighted by 1 / distance, folded
-    before the shuffle."""
-    ws = F.col(words)
-    near = F.flatten(F.transform(ws, lambda w, i: F.transform(
-        F.slice(ws, i + 2, window), lambda c, j: F.struct(w.alias("a"), c.alias("b"), (1.0 / (j + 1)).alias("x")))))
-    p = docs.select(F.explode(near).alias("p")).select("p.*")
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "x"))
-    return both.groupBy(F.col("a").alias("word"), F.col("b").alias("context")).agg(F.sum("x").alias("weight"))
+    before the shuffle, where a pair is one row for both orders."""
+    return _both_ways(_pairs(docs, words, window), window)
 
 
 def fitted_vectors(docs: DataFrame, words: Column, d: int = 32, window: int = 4, least: int = 5, rounds: int = 3,
@@ -61,17 +119,20 @@ def fitted_vectors(docs: DataFrame, words: Column, d: int = 32, window: int = 4,
     occur less than ``least`` times have no vector (the feature's own parameter)."""
     spark = docs.sparkSession
     ws = docs.select(words.alias("ws"))
-    kept = ws.select(F.explode("ws").alias("word")).groupBy("word").count().where(F.col("count") >= least).select("word")
-    pairs = cooccurrences(ws, window=window)
-    pairs = pairs.join(kept, "word", "left_semi").join(kept.withColumnRenamed("word", "context"), "context", "left_semi")
-    pairs = staged(pairs.select("word", "context", "weight"), "cooccurrences")
+    kept = ws.select(F.explode("ws").alias("word")).groupBy("word").count().where(F.col("count") >= least)
+    # words are numbers from here on
+    kept = staged(kept.select("word", F.monotonically_increasing_id().alias("id")), "kept-words")
+    pairs = _pairs(ws, "ws", window)
+    for c in ("a", "b"):
+        pairs = pairs.join(kept.withColumnRenamed("word", c), c).drop(c).withColumnRenamed("id", f"_{c}")
+    pairs = _both_ways(staged(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "x"), "cooccurrences"), window)
     total = pairs.agg(F.sum("weight")).first()[0] or 1.0
     sums = staged(pairs.groupBy("word").agg(F.sum("weight").alias("s")), "word-sums")
     pmi = F.log(F.col("weight") * total / (F.col("s") * F.col("t")))
     m = staged(pairs.join(sums, "word").join(sums.select(F.col("word").alias("context"), F.col("s").alias("t")), "context")
                .select("word", "context", pmi.alias("x")).where("x > 0"), "pointwise-information")
     draws = F.array(*[(F.pmod(F.xxhash64("word", F.lit(seed * 1000 + k)), F.lit(2000001)) / 1000000.0 - 1.0) for k in range(d)])
-    columns = sums.select("word", draws.alias("v"))
+    columns = staged(kept.select(F.col("id").alias("word"), draws.alias("v")), "word-draws")
 
     def rotated(df: DataFrame, matrix: np.ndarray) -> DataFrame:
         cols = [F.array(*[F.lit(float(c)) for c in matrix[:, j]]) for j in range(matrix.shape[1])]
@@ -94,7 +155,8 @@ def fitted_vectors(docs: DataFrame, words: Column, d: int = 32, window: int = 4,
         values, turn = values[order], turn[:, order]
         scale = np.where(values > 1e-12 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
         columns = staged(rotated(product, turn * scale), "word-basis")  # orthonormal columns
-    return rotated(columns, np.diag(np.sqrt(np.sqrt(np.maximum(values, 0)))))  # columns times root singular values
+    columns = rotated(columns, np.diag(np.sqrt(np.sqrt(np.maximum(values, 0)))))  # columns times root singular values
+    return columns.withColumnRenamed("word", "id").join(kept, "id").select("word", "v")
 
 
 def nearest_entries(queries: DataFrame, vocabulary: DataFrame, exclusions: DataFrame | None = None, digits: int = 9) -> DataFrame:
