@@ -7,7 +7,9 @@ A vocabulary is (word string, v array<double>), one row a word.  Documents becom
 
 from __future__ import annotations
 
+import gc
 import math
+import os
 import tempfile
 
 import numpy as np
@@ -52,7 +54,7 @@ FOLD = 250_000  # words of a task whose pairs are folded together, whatever an A
 HELD, GROUP = 1_500_000, 1_000_000  # folded pairs that a task holds at once; pairs, as they occur, of a packed group
 MAX_SENT = 32_000_000  # bytes of words that are sent to every task
 MAX_KEPT = 24_000_000  # numbers of word vectors that the driver keeps, in files of its own
-MAX_COLUMNS = 4_000_000  # numbers of them that are sent to a task, and that it sums, at once
+MAX_COLUMNS = 2_000_000  # numbers of them that are sent to a task, and that it sums, at once
 
 
 def _added(key: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +219,7 @@ def _basis(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, turn * np.where(values > 1e-12 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
 
 
-def _sums_per_word(pairs: DataFrame, n: int, width: int, terms) -> tuple[np.ndarray, np.ndarray]:
+def _sums_per_word(pairs: DataFrame, n: int, width: int, terms) -> tuple[np.ndarray, list[np.ndarray]]:
     """(places, their sums): ``terms(a, b, x)`` names which pairs count and yields, ``width`` times, what they add to a and to b.
     A task sums its pairs densely, one task a core."""
     def run(batches):
@@ -241,7 +243,13 @@ def _sums_per_word(pairs: DataFrame, n: int, width: int, terms) -> tuple[np.ndar
     some = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(
         run, ", ".join(f"{c} {'double' if k else 'long'}" for k, c in enumerate(names)))
     found = some.groupBy("place").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
-    return found["place"].to_numpy(), np.stack([found[c].to_numpy() for c in names[1:]], 1)
+    return found["place"].to_numpy(), [found[c].to_numpy() for c in names[1:]]
+
+
+def _freed(spark) -> None:
+    """Spark deletes the shuffle files of jobs that nobody holds any more, which else stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _sent_vectors(ws: DataFrame, kept: DataFrame, n: int, n_words: int, d: int, window: int, rounds: int, folder: str) -> DataFrame:
@@ -258,11 +266,12 @@ def _sent_vectors(ws: DataFrame, kept: DataFrame, n: int, n_words: int, d: int,
 
     s = np.zeros(n)
     places, found = _sums_per_word(pairs, n, 1, counted)
-    s[places] = found[:, 0] / unit
+    s[places] = found[0] / unit
     sent_sums, total = spark.sparkContext.broadcast(s), s.sum()
     known.unpersist()
+    _freed(spark)
 
-    def product(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def product(part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         sent, width = spark.sparkContext.broadcast(part), part.shape[1]
 
         def terms(a, b, x):
@@ -274,6 +283,7 @@ def _sent_vectors(ws: DataFrame, kept: DataFrame, n: int, n_words: int, d: int,
 
         found = _sums_per_word(pairs, n, width, terms)
         sent.destroy()
+        _freed(spark)
         return found
 
     def first(own: list[int]) -> np.ndarray:
@@ -285,13 +295,18 @@ def _sent_vectors(ws: DataFrame, kept: DataFrame, n: int, n_words: int, d: int,
         made = np.memmap(f"{folder}/{i}", np.float64, "w+", shape=(max(1, n), d))
         for at in range(0, d, step):
             own = range(at, min(at + step, d))
-            places, part = product(first(own) if columns is None else np.array(columns[:n, own.start:own.stop]))
-            made[places, own.start:own.stop] = part
+            places, sums = product(first(own) if columns is None else np.array(columns[:n, own.start:own.stop]))
+            for k, x in zip(own, sums):
+                made[places, k] = x
+            del sums
+            pa.default_memory_pool().release_unused()
         parts = range(0, n, 100_000)
         values, turn = _basis(sum((made[p:p + 100_000].T @ made[p:p + 100_000] for p in parts), np.zeros((d, d))))
         for p in parts:
             made[p:p + 100_000] = made[p:p + 100_000] @ turn
         columns = made  # orthonormal
+        if i:
+            os.unlink(f"{folder}/{i - 1}")
     scale, out = np.sqrt(np.sqrt(np.maximum(values, 0))), None  # columns times root singular values
     places = np.sort(places)
     for at in range(0, max(1, len(places)), 100_000):
